@@ -216,7 +216,7 @@ def part_records(spark: SparkSession, sf: str) -> DataFrame:
             volume=text(F.when(is_article, F.col("p_size"))),
             number=text(F.when(is_article & (F.col("p_size") > 25), F.col("p_size") - 25)),
             pages=text(F.when(is_article, F.concat_ws("-", F.col("p_partkey").cast("string"), (F.col("p_partkey") + F.col("p_size")).cast("string")))),
-            date=m.one(m.value("date", F.when(F.col("p_size") != 7, m.partial_date(part_year())))),
+            date=m.one(m.value("date", F.when((F.col("p_size") != 7) & (F.col("p_size") % 8 != 4), m.partial_date(part_year())))),
         ).alias("attrs"),
     )
 
