@@ -12,10 +12,9 @@ ACCENTS = {
     "^": ("AEIOUaeiou", "ÂÊÎÔÛâêîôû"),
     '"': ("AEIOUaeiouy", "ÄËÏÖÜäëïöüÿ"),
     "~": ("AONaon", "ÃÕÑãõñ"),
+    ".": ("CEGIZcgz", "ĊĖĠİŻċġż"),
     "c": ("Cc", "Çç"),
 }
-# Letters with a dot above are only written, never read.
-DOTTED = ("CEGIZcgz", "ĊĖĠİŻċġż")
 # Commands that stand for a character.
 SYMBOLS = {
     "ss": "ß", "ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ",
@@ -30,7 +29,7 @@ def _literal_map(pairs: dict[str, str]) -> Column:
 # A command with its argument, or plain text, or a single brace. One alternative always fits.
 _TOKEN = "|".join(
     [
-        r"\\['`^\"~]\s*(?:\{\s*\\?[A-Za-z]\s*\}|\\i\b|[A-Za-z])",
+        r"\\['`^\"~.]\s*(?:\{\s*\\?[A-Za-z]\s*\}|\\i\b|[A-Za-z])",
         r"\\c(?:\s*\{\s*[A-Za-z]\s*\}|\s+[A-Za-z])",
         r"\\[A-Za-z]+[0-9]*(?:\s*\{\}|\s+)?",
         r"\\[^A-Za-z]",
@@ -52,7 +51,7 @@ def latex_decode(text: Column) -> Column:
         number = F.regexp_extract(bare, r"^char(\d+)$", 1).try_cast("int")
         # UTF-32 takes the code point as it is.
         char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-        accented = token.rlike(r"^\\(?:['`^\"~]|c[\s{])")
+        accented = token.rlike(r"^\\(?:['`^\"~.]\s*[A-Za-z{\\]|c[\s{])")
         return (
             F.when(~token.startswith("\\"), F.when(token.isin("{", "}"), "").otherwise(token))
             .when(accented, F.coalesce(F.try_element_at(accent_map, bare), bare))
@@ -65,13 +64,21 @@ def latex_decode(text: Column) -> Column:
     return F.when(text.rlike(r"[\\{}]"), F.array_join(F.transform(tokens, one), "")).otherwise(text)
 
 
+def accent_code(command: str, letter: str) -> str:
+    """``\\'e``; an accented i loses its dot; ``\\c`` is a word and has to end before its letter."""
+    if letter == "i" and command != ".":
+        letter = "{\\i}"
+    elif command == "c":
+        letter = "{" + letter + "}"
+    return "\\" + command + letter
+
+
 def latex_encode(text: Column) -> Column:
     """Every character outside plain ASCII, and ``{ } % \\ $``, as a command."""
     table = {}
     for command, (letters, accented) in ACCENTS.items():
         for a, b in zip(letters, accented):
-            table[b] = "\\" + command + ("{\\i}" if a == "i" else a)
-    table.update({b: "\\." + a for a, b in zip(*DOTTED)})
+            table[b] = accent_code(command, a)
     table.update({b: "\\" + a + "{}" for a, b in SYMBOLS.items()})
     commands = _literal_map(table)
     plain = r"[ !-#&-\[\]-z|~\x7f]+"

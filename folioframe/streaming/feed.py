@@ -94,19 +94,20 @@ class StateTable:
         self.spark, self.path, self.buckets = spark, path, buckets
         self.schema = f"{schema}, bucket int, batch bigint"
 
-    def _exists(self, path: str) -> bool:
-        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    def _batches(self) -> set[int]:
+        """Finished batches, from the folder listing."""
+        sc = self.spark.sparkContext
+        folder = sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest/batch=*/_SUCCESS")
+        found = folder.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(folder)
+        return {int(f.getPath().getParent().getName().split("=")[1]) for f in found or []}
 
     def _placement(self, before: int | None = None) -> dict[int, int]:
         """Bucket to batch; one row per bucket, so it fits on the driver."""
-        if not self._exists(f"{self.path}/manifest"):
+        done = [n for n in self._batches() if before is None or n < before]
+        if not done:
             return {}
-        rows = self.spark.read.schema("bucket int, held bigint, batch bigint").parquet(f"{self.path}/manifest")
-        if before is not None:
-            rows = rows.filter(F.col("batch") < before)
-        newest = rows.agg(F.max("batch")).first()[0]
-        return {r.bucket: r.held for r in rows.filter(F.col("batch") == newest).collect()} if newest is not None else {}
+        rows = self.spark.read.schema("bucket int, held bigint").parquet(f"{self.path}/manifest/batch={max(done)}")
+        return {r.bucket: r.held for r in rows.collect()}
 
     def read(self, buckets: list[int] | None = None, before: int | None = None) -> DataFrame:
         """The state; with ``buckets`` only those, which prunes the folders that are read."""
@@ -147,12 +148,6 @@ class StateTable:
         rows = self.spark.createDataFrame(list(placement.items()), "bucket int, held bigint")
         rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/batch={batch}")
 
-    def _batches(self) -> set[int]:
-        if not self._exists(f"{self.path}/manifest"):
-            return set()
-        rows = self.spark.read.schema("bucket int, held bigint, batch bigint").parquet(f"{self.path}/manifest")
-        return {r.batch for r in rows.select("batch").distinct().collect()}
-
 
 def follow(changes: DataFrame, table: StateTable, checkpoint: str):
     """Starts the stream that keeps ``table`` current; one pass over what is there."""
