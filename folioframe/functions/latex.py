@@ -31,7 +31,7 @@ _TOKEN = "|".join(
     [
         r"\\['`^\"~.]\s*(?:\{\s*\\?[A-Za-z]\s*\}|\\i\b|[A-Za-z])",
         r"\\c(?:\s*\{\s*[A-Za-z]\s*\}|\s+[A-Za-z])",
-        r"\\[A-Za-z]+[0-9]*(?:\s*\{\}|\s+)?",
+        r"\\[A-Za-z]+[0-9]*(?:\{\})?",
         r"\\[^A-Za-z]",
         r"[^\\{}]+",
         r"(?s).",

@@ -168,12 +168,13 @@ def to_values(records: DataFrame, attrs: str = "attrs") -> DataFrame:
     return rows.select("key", "attr", "pos", *[F.col(f"_value.{c}").alias(c) for c in VALUE_COLUMNS])
 
 
-def values_of(df: DataFrame, key: Column, attr: str, pos: Column, kind: str, payload: Column,
+def values_of(df: DataFrame, key: Column, attr: str | Column, pos: Column, kind: str, payload: Column,
               quals_: Column | None = None) -> DataFrame:
-    """Long rows of one attribute, straight from the columns of any table."""
+    """Long rows of an attribute, straight from the columns of any table."""
     v = value(kind, payload, quals_)
+    name = F.lit(attr) if isinstance(attr, str) else attr
     rows = df.select(
-        key.cast("bigint").alias("key"), F.lit(attr).alias("attr"), pos.cast("int").alias("pos"), v.alias("_v")
+        key.cast("bigint").alias("key"), name.alias("attr"), pos.cast("int").alias("pos"), v.alias("_v")
     ).filter(F.col("_v").isNotNull())
     return rows.select("key", "attr", "pos", *[F.col(f"_v.{c}").alias(c) for c in VALUE_COLUMNS])
 
