@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .names import let
+
 # Accent command, letters, accented letters.
 ACCENTS = {
     "'": ("AEIOUYCZNaeiouyczn", "ÁÉÍÓÚÝĆŹŃáéíóúýćźń"),
@@ -22,8 +24,12 @@ SYMBOLS = {
 }
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _literal_map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    return F.expr("map(" + ", ".join(_quoted(x) for pair in pairs.items() for x in pair) + ")")
 
 
 # A command with its argument, or plain text, or a single brace. One alternative always fits.
@@ -46,20 +52,23 @@ def latex_decode(text: Column) -> Column:
         accents.update({command + a: b for a, b in zip(letters, accented)})
     accent_map, symbol_map = _literal_map(accents), _literal_map(SYMBOLS)
 
-    def one(token: Column) -> Column:
-        bare = F.regexp_replace(token, r"[\\{}\s]", "")
+    def command(token: Column, bare: Column) -> Column:
         number = F.regexp_extract(bare, r"^char(\d+)$", 1).try_cast("int")
         # UTF-32 takes the code point as it is.
         char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
         accented = token.rlike(r"^\\(?:['`^\"~.]\s*[A-Za-z{\\]|c[\s{])")
         return (
-            F.when(~token.startswith("\\"), F.when(token.isin("{", "}"), "").otherwise(token))
-            .when(accented, F.coalesce(F.try_element_at(accent_map, bare), bare))
-            .when(number.isNotNull(), char)
+            F.when(accented, F.coalesce(F.try_element_at(accent_map, bare), bare))
+            .when(bare.rlike(r"^char\d+$"), char)
             .when(token.rlike(r"^\\[A-Za-z]"), F.coalesce(F.try_element_at(symbol_map, bare), bare))
             .otherwise(F.substring(token, 2, 1))
         )
 
+    def one(token: Column) -> Column:
+        plain = F.when(token.isin("{", "}"), "").otherwise(token)
+        coded = let(F.regexp_replace(token, r"[\\{}\s]", ""), lambda bare: command(token, bare))
+        return F.when(token.startswith("\\"), coded).otherwise(plain)
+
     tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
     return F.when(text.rlike(r"[\\{}]"), F.array_join(F.transform(tokens, one), "")).otherwise(text)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ from ..model import person
 COMMA_FORMATS = ("ris", "isi", "marc", "endnote", "wok")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _nth(parts: Column, n: int) -> Column:
     return F.try_element_at(parts, F.lit(n))
 
@@ -44,7 +51,7 @@ def collapse_dot_dash(text: Column) -> Column:
 
 def split_names(raw: Column) -> Column:
     """A name list cut at its top-level ``and``s; empty names are dropped."""
-    names = F.split(F.concat(F.lit(" "), raw, F.lit(" ")), r"(?<=\s)and(?=\s)(?![^{}]*\})")
+    names = F.split(F.concat(F.lit(" "), raw, F.lit(" ")), r"(?<=\s)and(?=\s)(?![^{}]*(?:\{[^{}]*\}[^{}]*)*\})")
     return F.filter(F.transform(names, lambda n: F.regexp_replace(n, r"^[\s~]+|[\s~]+$", "")), lambda n: n != "")
 
 
@@ -77,7 +84,7 @@ def person_rule(name: Column, words: Column, types: Column) -> Column:
     commas = F.size(F.filter(words, lambda w: w == ","))
     last_word = F.try_element_at(words, F.lit(-1))
     return (
-        F.when(name.rlike(r"(?s)^\{[^{}]*\}$"), "braced")
+        F.when(name.rlike(r"(?s)^\{(?:[^{}]|\{[^{}]*\})*\}$"), "braced")
         .when(F.size(words) == 0, "empty")
         .when(commas > 1, "error")
         .when(commas == 1, "comma")
@@ -113,6 +120,19 @@ def person_by_rule(rule: Column, name: Column, words: Column, types: Column) ->
     )
 
 
+def read_person(name: Column) -> Column:
+    """``STRUCT<rule, person>`` of one name. Words and types are bound once, so that the rules
+    that look at them many times do not compute them again."""
+
+    def by_types(words: Column, types: Column) -> Column:
+        return let(
+            person_rule(name, words, types),
+            lambda rule: F.struct(rule.alias("rule"), person_by_rule(rule, name, words, types).alias("person")),
+        )
+
+    return let(name_words(name), lambda words: let(word_types(words), lambda types: by_types(words, types)))
+
+
 # --- display forms -------------------------------------------------------------------------
 
 

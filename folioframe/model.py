@@ -169,13 +169,18 @@ def to_values(records: DataFrame, attrs: str = "attrs") -> DataFrame:
 
 
 def values_of(df: DataFrame, key: Column, attr: str | Column, pos: Column, kind: str, payload: Column,
-              quals_: Column | None = None) -> DataFrame:
-    """Long rows of an attribute, straight from the columns of any table."""
+              quals_: Column | None = None, present: Column | None = None) -> DataFrame:
+    """Long rows of an attribute, straight from the columns of any table. ``present`` is a
+    cheap test that the payload is there; by default the payload itself is tested."""
+    if present is not None:
+        df = df.filter(present)
     v = value(kind, payload, quals_)
     name = F.lit(attr) if isinstance(attr, str) else attr
     rows = df.select(
         key.cast("bigint").alias("key"), name.alias("attr"), pos.cast("int").alias("pos"), v.alias("_v")
-    ).filter(F.col("_v").isNotNull())
+    )
+    if present is None:
+        rows = rows.filter(F.col("_v").isNotNull())
     return rows.select("key", "attr", "pos", *[F.col(f"_v.{c}").alias(c) for c in VALUE_COLUMNS])
 
 

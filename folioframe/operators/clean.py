@@ -25,11 +25,8 @@ def clean_persons(raw: DataFrame, column: str = "raw", fmt: str = "bibtex") -> D
             F.when(F.col("person").isNull(), "error").otherwise(fmt).alias("rule"),
         )
     rows = raw.select("*", F.posexplode(n.split_names(F.col(column))).alias("pos", "name"))
-    rows = rows.withColumn("_words", n.name_words(F.col("name")))
-    rows = rows.withColumn("_types", n.word_types(F.col("_words")))
-    rows = rows.withColumn("rule", n.person_rule(F.col("name"), F.col("_words"), F.col("_types")))
-    person = n.person_by_rule(F.col("rule"), F.col("name"), F.col("_words"), F.col("_types"))
-    return rows.withColumn("person", person).select(*raw.columns, "pos", "name", "person", "rule")
+    rows = rows.withColumn("_read", n.read_person(F.col("name")))
+    return rows.select(*raw.columns, "pos", "name", F.col("_read.person").alias("person"), F.col("_read.rule").alias("rule"))
 
 
 def clean_dates(raw: DataFrame, column: str = "raw") -> DataFrame:

@@ -62,11 +62,8 @@ def clean_persons(spark, sf):
 def person_from_bibtex(spark, sf):
     """The expressions of the job by themselves, over names already split."""
     split = _raw_names(spark, sf).select("key", F.posexplode(names.split_names(F.col("raw"))).alias("pos", "name"))
-    typed = split.withColumn("words", names.name_words(F.col("name"))).withColumn("types", names.word_types(F.col("words")))
-    args = (F.col("name"), F.col("words"), F.col("types"))
-    ruled = typed.withColumn("rule", names.person_rule(*args))
-    person = names.person_by_rule(F.col("rule"), *args)
-    return ruled.select("key", "pos", person["first"].alias("first"), person["last"].alias("last"), "rule")
+    read = split.withColumn("r", names.read_person(F.col("name")))
+    return read.select("key", "pos", F.col("r.person.first").alias("first"), F.col("r.person.last").alias("last"), "r.rule")
 
 
 @query(f"SELECT rule, count(*) AS n FROM ({_PERSONS}) GROUP BY rule")

@@ -342,14 +342,15 @@ def _pubmed_path(spark, sf) -> str:
 
 
 _PUBMED_VALUES = f"""{SQL_PARTS},
-econ AS (SELECT p_partkey + 1 AS key, p_partkey, p_size, 10000 + p_partkey AS start FROM part WHERE p_type = 'ECONOMY'),
+pp AS (SELECT p_partkey + 1 AS key, p_size, p_type, CAST(10000 + p_partkey AS VARCHAR) AS start FROM part),
 pm AS (
   SELECT key, CASE attr WHEN 'id' THEN 'pmid' ELSE attr END AS attr, pos, value FROM vals WHERE attr IN ('id', 'title', 'author')
-  UNION ALL SELECT v.key, 'journal', 0, CASE WHEN p_size <= 25 THEN value ELSE 'Short' END FROM vals v JOIN econ USING (key) WHERE attr = 'journal'
-  UNION ALL SELECT key, 'journal.issn', 0, '12-' || p_size FROM econ
+  UNION ALL SELECT pp.key, 'journal', 0, CASE WHEN p_size <= 25 AND p_type = 'ECONOMY' THEN value ELSE 'Short' END
+    FROM pp LEFT JOIN vals v ON v.key = pp.key AND attr = 'journal'
+  UNION ALL SELECT key, 'journal.issn', 0, '12-' || p_size FROM pp WHERE p_type = 'ECONOMY'
   UNION ALL SELECT key, 'journal.volume', 0, value FROM vals WHERE attr = 'volume'
-  UNION ALL SELECT v.key, 'journal.year', 0, left(value, 4) FROM vals v JOIN econ USING (key) WHERE attr = 'date'
-  UNION ALL SELECT key, 'journal.pages', 0, start || '-' || CASE WHEN start % 100 < 99 THEN left(CAST(start AS VARCHAR), length(CAST(start AS VARCHAR)) - 2) || '99' ELSE '99' END FROM econ)"""
+  UNION ALL SELECT v.key, 'journal.year', 0, left(value, 4) FROM vals v JOIN pp USING (key) WHERE attr = 'date' AND p_type = 'ECONOMY'
+  UNION ALL SELECT key, 'journal.pages', 0, start || '-' || CASE WHEN right(start, 2) < '99' THEN left(start, length(start) - 2) || '99' ELSE '99' END FROM pp)"""
 
 
 @query(f"WITH {_PUBMED_VALUES} SELECT key, attr, pos, value FROM pm")

@@ -8,19 +8,25 @@ names, dates, document types.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clean import month_number
 from ..functions.latex import latex_decode
-from ..functions.names import name_words, person_by_rule, person_rule, split_names, word_types
+from ..functions.names import let, read_person, split_names
 from ..model import Schema, partial_date, txo, union_all, values_of
 from ..operators.taxonomy import by_name
+from ..session import cut
 from .common import Ingest, file_place, keyed, violations
 
+# The helper travels with the job: executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The macros every file may use.
 MONTH_MACROS = {
     "jan": "January", "feb": "February", "mar": "March", "apr": "April", "may": "May", "jun": "June",
@@ -213,15 +219,16 @@ def ingest_bibtex(
     zero = F.lit(0)
 
     def typed(kind: str, text: Column) -> DataFrame:
-        return values_of(of(kind), F.col("key"), F.col("name"), zero, kind, text)
+        return values_of(of(kind), F.col("key"), F.col("name"), zero, kind, text, present=F.col("raw").isNotNull())
 
     people = of("person").select("key", "name", F.posexplode(split_names(F.col("raw"))).alias("pos", "one"))
-    people = people.withColumn("decoded", latex_decode(F.col("one")))
-    people = people.withColumn("words", name_words(F.col("decoded"))).withColumn("types", word_types(F.col("words")))
-    args = (F.col("decoded"), F.col("words"), F.col("types"))
     whole = F.col("one").rlike(r"^\{(?:[^{}]|\{[^{}]*\})*\}$")
-    people = people.withColumn("rule", F.when(whole, "braced").otherwise(person_rule(*args)))
-    people = people.withColumn("person", person_by_rule(F.col("rule"), *args))
+    plain = latex_decode(F.col("one"))
+    text = F.when(whole, F.concat(F.lit("{"), plain, F.lit("}"))).otherwise(plain)
+    people = people.withColumn("_read", let(text, read_person))
+    people = people.select("key", "name", "pos", "one", "_read.rule", "_read.person")
+    # One branch takes the persons, another the names nobody can read: read them once.
+    people = cut(people)
 
     named = found.select("key", "cite_key", F.lower("type").alias("type"))
     coded = by_name(named, items, schema.attrs["doctype"].grp, "type")
@@ -236,7 +243,7 @@ def ingest_bibtex(
             typed("text", latex_decode(F.col("raw"))),
             typed("url", F.regexp_replace(F.replace(F.col("raw"), F.lit("\u00a0"), F.lit("~")), r"[\\{}]", "")),
             typed("id", F.col("raw")),
-            values_of(people, F.col("key"), F.col("name"), F.col("pos"), "person", F.col("person")),
+            values_of(people, F.col("key"), F.col("name"), F.col("pos"), "person", F.col("person"), present=F.col("person").isNotNull()),
             values_of(named, F.col("key"), "id", zero, "id", F.col("cite_key")),
             values_of(coded, F.col("key"), "doctype", zero, "txo", F.when(F.col("id").isNotNull(), txo("doctype", F.col("id")))),
             values_of(dates, F.col("key"), "date", zero, "date", F.when(dated, partial_date(F.col("y"), F.col("m")))),
