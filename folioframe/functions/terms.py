@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .names import let
+
 # What separates words: everything but letters, digits and the underscore, in any script.
 NON_WORD = r"[^\p{L}\p{N}_]+"
 
@@ -48,9 +50,13 @@ def has_word(text: Column, word: str, lower: bool = True) -> Column:
     word = word.lower()
     if not re.fullmatch(r"\w+", word):
         return F.lit(False)
+    # The literal comes first, so that the scan for it is a plain comparison; only where it
+    # is found are its neighbours looked at.
+    inside = r"[\p{L}\p{N}_]"
+    literal = re.escape(word)
+    pattern = f"{literal}(?<!{inside}{literal})(?!{inside})"
     text = F.coalesce(F.lower(text) if lower else text, F.lit(""))
-    edge = r"[^\p{L}\p{N}_]"
-    return text.contains(word) & text.rlike(f"(?:^|{edge}){re.escape(word)}(?:{edge}|$)")
+    return let(text, lambda t: t.contains(word) & t.rlike(pattern))
 
 
 def value_has_word(v, word: str, url_lower: bool = False) -> Column:

@@ -162,9 +162,14 @@ def attributes(**fields: Column) -> Column:
 
 
 def to_values(records: DataFrame, attrs: str = "attrs") -> DataFrame:
-    """Nested to long form, without a shuffle."""
-    lists = records.select("key", F.explode(attrs).alias("attr", "_values"))
-    rows = lists.select("key", "attr", F.posexplode("_values").alias("pos", "_value"))
+    """Nested to long form, without a shuffle.
+
+    The outer explode is on purpose: for the inner one Spark adds a test of the size of the
+    list below it, which computes the list a second time.
+    """
+    lists = records.select("key", F.explode_outer(attrs).alias("attr", "_values"))
+    rows = lists.select("key", "attr", F.posexplode_outer("_values").alias("pos", "_value"))
+    rows = rows.filter(F.col("pos").isNotNull())
     return rows.select("key", "attr", "pos", *[F.col(f"_value.{c}").alias(c) for c in VALUE_COLUMNS])
 
 

@@ -22,6 +22,8 @@ def closure(items: DataFrame) -> DataFrame:
         "grp", F.col("parent").alias("ancestor"), "id", F.lit(1).alias("dist")
     )
     reach = cut(step)
+    if not reach.filter(F.col("ancestor") == F.col("id")).isEmpty():
+        raise ValueError("taxonomy has a cycle")
     frontier = reach
     length = 1
     for _ in range(_MAX_DOUBLINGS):
@@ -31,6 +33,8 @@ def closure(items: DataFrame) -> DataFrame:
                 "l.grp", "l.ancestor", "r.id", (F.col("l.dist") + F.col("r.dist")).alias("dist")
             )
         )
+        if not longer.filter(F.col("ancestor") == F.col("id")).isEmpty():
+            break
         if longer.isEmpty():
             return nodes.unionByName(reach).select("grp", "ancestor", "id")
         length *= 2

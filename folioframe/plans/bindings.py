@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model as m
+from ..session import spread
 from . import scan
 
 LANGUAGES = ("en", "fr", "de", "es")
@@ -27,6 +28,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents"))
+
+
 def code_of(column: Column, names_: tuple[str, ...]) -> Column:
     """Position from 1 in a short fixed list; NULL for other strings."""
     found = F.array_position(F.array(*[F.lit(n) for n in names_]), column)
@@ -52,7 +57,7 @@ def doc_title() -> Column:
 
 def doc_records(spark: SparkSession, sf: str) -> DataFrame:
     """Nested records: title, abstract, language, source, and quality where it is labelled."""
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    docs = documents(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left")
     return docs.select(
         doc_key().alias("key"),
         m.attributes(
@@ -71,7 +76,7 @@ def doc_values(spark: SparkSession, sf: str, *fields: str) -> DataFrame:
     zero = F.lit(0)
     make = {
         "title": lambda: m.values_of(docs, doc_key(), "title", zero, "text", doc_title()),
-        "abstract": lambda: m.values_of(docs, doc_key(), "abstract", zero, "text", F.col("text")),
+        "abstract": lambda: m.values_of(documents(spark, sf).select("doc_id", "text"), doc_key(), "abstract", zero, "text", F.col("text")),
         "language": lambda: m.values_of(docs, doc_key(), "language", zero, "txo", m.txo("lang", code_of(F.col("lang"), LANGUAGES))),
         "source": lambda: m.values_of(docs, doc_key(), "source", zero, "id", F.col("source")),
         "quality": lambda: m.values_of(labels, doc_key(), "quality", zero, "text", F.col("quality").cast("string")),

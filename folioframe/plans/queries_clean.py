@@ -221,20 +221,20 @@ def _sql_latex() -> str:
 
 @query(f"SELECT doc_id + 1 AS key, {_sql_latex()} AS coded FROM documents")
 def latex_encode(spark, sf):
-    return b.table(spark, sf, "documents").select(b.doc_key().alias("key"), latex.latex_encode(F.col("text")).alias("coded"))
+    return b.documents(spark, sf).select(b.doc_key().alias("key"), latex.latex_encode(F.col("text")).alias("coded"))
 
 
 @query("SELECT doc_id + 1 AS key, text FROM documents")
 def latex_decode(spark, sf):
     """Encoding and decoding whole texts gives them back."""
     coded = latex.latex_encode(F.col("text"))
-    return b.table(spark, sf, "documents").select(b.doc_key().alias("key"), latex.latex_decode(coded).alias("text"))
+    return b.documents(spark, sf).select(b.doc_key().alias("key"), latex.latex_decode(coded).alias("text"))
 
 
 @query(f"SELECT doc_id + 1 AS key, regexp_replace(text, '{_BLANKS}', ' ', 'g') AS clean FROM documents")
 def clean_text(spark, sf):
     """Coded texts become plain ones with single blanks."""
-    coded = b.table(spark, sf, "documents").select(b.doc_key().alias("key"), latex.latex_encode(F.col("text")).alias("raw"))
+    coded = b.documents(spark, sf).select(b.doc_key().alias("key"), latex.latex_encode(F.col("text")).alias("raw"))
     return jobs.clean_text(coded).select("key", "clean")
 
 

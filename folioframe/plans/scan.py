@@ -112,15 +112,15 @@ def run(
         return {"count": F.sum, "sum": F.sum, "max": F.max, "min": F.min}[fn](total).over(before)
 
     carries = border.select(
-        F.col("_part").alias("_c_part"),
+        F.col("_part").alias("_border"),
         *[F.col(g).alias(f"_c_{i}") for i, g in enumerate(group)],
         *[carried(fn, name).alias(f"_c_{name}") for name, (fn, _) in outputs.items()],
-        F.count(F.lit(1)).over(before).alias("_c_n"),
-    ).filter(F.col("_c_n") > 0)
+        F.count(F.lit(1)).over(before).alias("_earlier"),
+    ).filter(F.col("_earlier") > 0)
     local = rows.select(
         "*", *[_over(fn, value, here).alias(f"_l_{name}") for name, (fn, value) in outputs.items()]
     )
-    same = F.col("_part") == F.col("_c_part")
+    same = F.col("_part") == F.col("_border")
     for i, g in enumerate(group):
         same = same & F.col(g).eqNullSafe(F.col(f"_c_{i}"))
     # At most one group per partition continues from the one before: bounded broadcast.

@@ -68,12 +68,16 @@ class _Row:
 def entry_lines(values: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Entries with their fields in order of name. ``keys`` adds records without values."""
     keys = values.select("key").distinct() if keys is None else keys
-    line = F.struct(F.col("pos").alias("at"), _element(_Row(), 3, _qualifiers(4)).alias("line"))
+    # Qualifiers first: their text goes into the line at several places.
+    inner = F.when(F.size("quals") > 0, _qualifiers(4)).otherwise("")
+    rows = values.withColumn("_inner", inner)
+    rows = rows.select("key", "attr", "pos", _element(_Row(), 3, F.col("_inner")).alias("_line"))
+    line = F.struct(F.col("pos").alias("at"), F.col("_line").alias("line"))
     opening = F.struct(F.lit(ln.BEFORE).alias("at"), F.concat(F.lit("  <attribute id="), ln.quoted(F.col("attr")), F.lit(">")).alias("line"))
     closing = F.struct(F.lit(ln.AFTER).alias("at"), F.lit("  </attribute>").alias("line"))
     # The first value of a field also brings the lines around the field.
     around = F.when(F.col("pos") == 0, F.array(opening, line, closing)).otherwise(F.array(line))
-    body = values.select("key", F.lit(1).alias("part"), F.col("attr").alias("field"), F.explode(around).alias("_l"))
+    body = rows.select("key", F.lit(1).alias("part"), F.col("attr").alias("field"), F.explode_outer(around).alias("_l"))
     body = body.select("key", "part", "field", F.col("_l.at").alias("pos"), "_l.line")
     opened = F.concat(F.lit(' <entry id="'), F.col("key").cast("string"), F.lit('">'))
     return body.unionByName(ln.frame(keys, opened, F.lit(" </entry>")))

@@ -60,7 +60,7 @@ def read_text(spark: SparkSession, path: str, separator: str) -> DataFrame:
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
-    """One row per element, with its place and the element itself in ``_xml``.
+    """One row per element, with its place.
 
     The text source cuts at the closing tag, so one large file is read by many tasks, and it
     does not matter whether a file has a root element. The schema is explicit: inference
@@ -71,7 +71,7 @@ def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataF
     rows = rows.withColumn("_xml", piece).filter(F.col("_xml") != "").drop("value")
     rows = rows.withColumn("_xml", F.concat("_xml", F.lit(f"</{row_tag}>")))
     parsed = F.from_xml("_xml", f"{schema}, _malformed string", XML_OPTIONS)
-    return rows.withColumn("_p", parsed).select("_file", "_block", "_xml", "_p.*")
+    return rows.select("_file", "_block", parsed.alias("_p")).select("_file", "_block", "_p.*")
 
 
 def read_xml_document(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import PERSON, QUAL, TXO, VALUE, Attribute, Qualifier, Schema, SchemaError, partial_date, to_values, union_all
+from ..model import PERSON, QUAL, TXO, VALUE, VALUE_COLUMNS, Attribute, Qualifier, Schema, SchemaError, partial_date, union_all
 from ..plans import scan
 from ..schemas import ITEMS
+from ..session import cut
 from .common import Ingest, file_place, malformed, read_xml, read_xml_document, violations
 
 _OWN = {
@@ -80,19 +81,28 @@ def _values(attr: Column) -> Column:
     return F.concat(*[_value_list(attr, k) for k in _KINDS])
 
 
+def _field(attr: Column) -> Column:
+    return F.struct(attr["_id"].alias("attr"), _values(attr).alias("vals"))
+
+
 def ingest_native_xml(spark: SparkSession, path: str, schema: Schema | None = None, row_tag: str = "entry") -> Ingest:
     """Reads entries; keys are those of the file. With a schema, fields and qualifiers it does
     not know are violations."""
-    rows = read_xml(spark, path, row_tag, _ENTRY).withColumnRenamed("_id", "key").drop("_file", "_block")
-    lists = rows.select("key", F.explode("attribute").alias("_a"))
-    records = lists.select("key", F.create_map(F.col("_a._id"), _values(F.col("_a"))).alias("attrs"))
-    values = to_values(records)
+    rows = read_xml(spark, path, row_tag, _ENTRY)
+    fields = F.filter(F.transform("attribute", _field), lambda f: f["attr"].isNotNull())
+    # Parsed once: values and violations both start from here.
+    rows = cut(rows.select(F.col("_id").alias("key"), fields.alias("fields"), "_malformed"))
+    lists = rows.select("key", F.explode_outer("fields").alias("_f")).filter(F.col("_f").isNotNull())
+    cells = lists.select("key", F.col("_f.attr").alias("attr"), F.posexplode_outer("_f.vals").alias("pos", "_v"))
+    values = cells.filter(F.col("pos").isNotNull()).select(
+        "key", "attr", "pos", *[F.col(f"_v.{c}").alias(c) for c in VALUE_COLUMNS]
+    )
     wrong = [malformed(rows)]
     repeated = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     wrong.append(violations(repeated, F.lit(None), "duplicate_key", F.col("n")))
     if schema is not None:
-        unknown = lists.filter(~F.col("_a._id").isin(list(schema.attrs)))
-        wrong.append(violations(unknown, F.col("_a._id"), "unknown_attribute", F.col("_a._id")))
+        unknown = lists.filter(~F.col("_f.attr").isin(list(schema.attrs)))
+        wrong.append(violations(unknown, F.col("_f.attr"), "unknown_attribute", F.col("_f.attr")))
         pairs = [f"{n}.{q}" for n, a in schema.attrs.items() for q in a.quals]
         qualified = values.filter(F.col("attr").isin(list(schema.attrs))).select("key", "attr", "pos", F.explode("quals").alias("_q"))
         odd = qualified.filter(~F.concat_ws(".", "attr", "_q.name").isin(pairs))
