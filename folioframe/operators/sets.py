@@ -55,15 +55,20 @@ def members(values: DataFrame, keys: DataFrame) -> DataFrame:
     return values.join(keys.select("key").distinct(), "key", "left_semi")
 
 
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of other keys, columns in their order."""
+    return rows.join(gone.select("key").distinct(), "key", "left_anti").select(*rows.columns)
+
+
 def cascade(member: DataFrame, deleted: DataFrame) -> DataFrame:
     """A deleted record leaves every set."""
-    return member.join(deleted.select("key").distinct(), "key", "left_anti")
+    return without(member, deleted)
 
 
 def destroy(values: DataFrame, index: DataFrame, member: DataFrame, rs_id: int):
     """Deletes the records of a set from the values, the index and all sets."""
     gone = select(member, rs_id).distinct()
-    return tuple(t.join(gone, "key", "left_anti") for t in (values, index, member))
+    return tuple(without(t, gone) for t in (values, index, member))
 
 
 def sizes(member: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import KEYED_COLUMNS, VALUE_COLUMNS, Schema, payload_text, union_all
 from ..plans import scan
+from .sets import without
 
 
 def keys_of(values: DataFrame) -> DataFrame:
@@ -55,8 +56,7 @@ def update_records(values: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFr
 
 def delete_records(values: DataFrame, index: DataFrame, member: DataFrame, deleted: DataFrame):
     """Deletes from the values, the index and all sets."""
-    gone = deleted.select("key").distinct()
-    return tuple(t.join(gone, "key", "left_anti") for t in (values, index, member))
+    return tuple(without(t, deleted) for t in (values, index, member))
 
 
 # --- validation ----------------------------------------------------------------------------

@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-XML_OPTIONS = {"ignoreNamespace": "true", "columnNameOfCorruptRecord": "_malformed", "mode": "PERMISSIVE"}
+XML_OPTIONS = {
+    "ignoreNamespace": "true",
+    "ignoreSurroundingSpaces": "false",
+    "columnNameOfCorruptRecord": "_malformed",
+    "mode": "PERMISSIVE",
+}
 
 
 class Ingest(NamedTuple):
