@@ -23,10 +23,14 @@ def first_citations(cites: DataFrame) -> DataFrame:
     return cites.groupBy("doc", "uid").agg(F.min("at").alias("at"))
 
 
+def order_of(firsts: DataFrame) -> DataFrame:
+    """``(doc, uid, pos)`` from first citations: order of first citation, from 1."""
+    return scan.rank(firsts, ["doc"], ["at", "uid"], "pos").select("doc", "uid", "pos")
+
+
 def document_order(cites: DataFrame) -> DataFrame:
-    """``(doc, uid, pos)``: distinct records in order of first citation, from 1."""
-    ranked = scan.rank(first_citations(cites), ["doc"], ["at", "uid"], "pos")
-    return ranked.select("doc", "uid", "pos")
+    """Distinct records of each document in order of first citation."""
+    return order_of(first_citations(cites))
 
 
 def numeric_keys(cites: DataFrame) -> DataFrame:
@@ -76,9 +80,13 @@ def disambiguate(based: DataFrame) -> DataFrame:
     return ranked.select("doc", "uid", F.concat("base", suffix).alias("cite_key"))
 
 
-def alpha_keys(cites: DataFrame, bases: DataFrame) -> DataFrame:
+def alpha_keys_of(firsts: DataFrame, bases: DataFrame) -> DataFrame:
     """Disambiguated keys. Citations of records that do not exist get none."""
-    return disambiguate(first_citations(cites).join(bases, "uid").select("doc", "uid", "at", "base"))
+    return disambiguate(firsts.join(bases, "uid").select("doc", "uid", "at", "base"))
+
+
+def alpha_keys(cites: DataFrame, bases: DataFrame) -> DataFrame:
+    return alpha_keys_of(first_citations(cites), bases)
 
 
 def rekey_changed(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -55,19 +55,24 @@ def doc_title() -> Column:
     return F.split_part("text", F.lit("\n"), F.lit(1))
 
 
-def doc_records(spark: SparkSession, sf: str) -> DataFrame:
-    """Nested records: title, abstract, language, source, and quality where it is labelled."""
-    docs = documents(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left")
-    return docs.select(
-        doc_key().alias("key"),
-        m.attributes(
-            title=m.one(m.value("text", doc_title())),
-            abstract=m.one(m.value("text", F.col("text"))),
-            language=m.one(m.value("txo", m.txo("lang", code_of(F.col("lang"), LANGUAGES)))),
-            source=m.one(m.value("id", F.col("source"))),
-            quality=m.one(m.value("text", F.col("quality").cast("string"))),
-        ).alias("attrs"),
-    )
+DOC_FIELDS = ("title", "abstract", "language", "source", "quality")
+
+
+def doc_records(spark: SparkSession, sf: str, *fields: str) -> DataFrame:
+    """Nested records: title, abstract, language, source, and quality where it is labelled.
+    With ``fields`` only those: the scan then reads only their columns."""
+    docs = documents(spark, sf) if not fields or {"title", "abstract"} & set(fields) else table(spark, sf, "documents")
+    if not fields or "quality" in fields:
+        docs = docs.join(table(spark, sf, "labels"), "doc_id", "left")
+    make = {
+        "title": lambda: m.value("text", doc_title()),
+        "abstract": lambda: m.value("text", F.col("text")),
+        "language": lambda: m.value("txo", m.txo("lang", code_of(F.col("lang"), LANGUAGES))),
+        "source": lambda: m.value("id", F.col("source")),
+        "quality": lambda: m.value("text", F.col("quality").cast("string")),
+    }
+    chosen = {f: m.one(make[f]()) for f in (fields or DOC_FIELDS)}
+    return docs.select(doc_key().alias("key"), m.attributes(**chosen).alias("attrs"))
 
 
 def doc_values(spark: SparkSession, sf: str, *fields: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import style
 from ..operators import cite
+from ..session import cut
 from ..sinks import bibliography as sink
 from . import bindings as b
 from .queries_clean import SQL_REFS, reference_rows
@@ -88,8 +89,10 @@ def _bibliography(spark, sf, out):
            SELECT doc, pos, cite_key, reference FROM ordered JOIN alpha USING (doc, uid) JOIN texts USING (uid)""")
 def bibliography(spark, sf):
     """All documents with their alphabetic keys."""
-    order = cite.document_order(b.cites(spark, sf))
-    return cite.bibliography(order, _alpha(spark, sf), reference_rows(spark, sf))
+    # Order and keys both start from the first citations: reduce the citations once.
+    firsts = cut(cite.first_citations(b.cites(spark, sf)))
+    keys = cite.alpha_keys_of(firsts, cite.alpha_bases(b.part_records(spark, sf)))
+    return cite.bibliography(cite.order_of(firsts), keys, reference_rows(spark, sf))
 
 
 @query(f"""WITH {SQL_REFS}, {_FIRST}

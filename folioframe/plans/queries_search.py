@@ -39,14 +39,14 @@ def database_len(spark, sf):
 @query("""SELECT doc_id + 1 AS key, CAST(quality AS VARCHAR) AS quality, source
           FROM documents LEFT JOIN labels USING (doc_id)""")
 def get_field(spark, sf):
-    records = b.doc_records(spark, sf)
+    records = b.doc_records(spark, sf, "quality", "source")
     text = lambda n: F.array_join(F.transform(m.get_field(n), lambda v: v["text"]), "; ")
     return records.select("key", text("quality").alias("quality"), text("source").alias("source"))
 
 
 @query("SELECT doc_id + 1 AS key, CAST(quality AS VARCHAR) AS quality FROM documents LEFT JOIN labels USING (doc_id)")
 def one_value(spark, sf):
-    return b.doc_records(spark, sf).select("key", m.one_value("quality")["text"].alias("quality"))
+    return b.doc_records(spark, sf, "quality").select("key", m.one_value("quality")["text"].alias("quality"))
 
 
 @query("""SELECT p_partkey + 1 AS key, CASE p_size % 4 WHEN 0 THEN NULL ELSE p_size % 4 END AS n_authors
@@ -88,7 +88,7 @@ _HAS_WORD = f"list_contains({sql_words('text')}, '{WORD}')"
 
 @query(f"SELECT doc_id + 1 AS key FROM documents WHERE {_HAS_WORD}")
 def any_word(spark, sf):
-    return search.match(b.doc_records(spark, sf), nested.any_word(WORD))
+    return search.match(b.doc_records(spark, sf, "title", "abstract"), nested.any_word(WORD))
 
 
 @query(f"SELECT doc_id + 1 AS key FROM documents WHERE {_HAS_WORD}")
@@ -129,7 +129,7 @@ def q_and(spark, sf):
     closed = taxonomy.closure(b.name_items(spark, "lang", b.LANGUAGES))
     english = taxonomy.subtree_ids(closed, "lang", 1)
     condition = nested.in_taxonomy("language", "lang", english, b.DOC_SCHEMA) & nested.any_word(WORD)
-    return search.match(b.doc_records(spark, sf), condition)
+    return search.match(b.doc_records(spark, sf, "abstract", "language"), condition)
 
 
 @query(f"""SELECT doc_id + 1 AS key FROM documents
@@ -151,12 +151,12 @@ def q_not(spark, sf):
 @query("SELECT doc_id + 1 AS key FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def q_null(spark, sf):
     """The empty condition leaves the other side of a combination as it is."""
-    return search.match(b.doc_records(spark, sf), search.all_of(None, nested.has_field("quality")))
+    return search.match(b.doc_records(spark, sf, "quality"), search.all_of(None, nested.has_field("quality")))
 
 
 @query(f"SELECT count(*) AS n FROM documents WHERE {_HAS_WORD} AND doc_id IN (SELECT doc_id FROM labels)")
 def count_query(spark, sf):
-    records = b.doc_records(spark, sf)
+    records = b.doc_records(spark, sf, "abstract", "quality")
     return search.count(search.match(records, nested.any_word(WORD) & nested.has_field("quality")))
 
 
@@ -201,7 +201,7 @@ def build_index(spark, sf):
 @query(f"SELECT doc_id + 1 AS key FROM documents WHERE {_HAS_WORD}")
 def index_lookup(spark, sf):
     """A word through the index: agrees with the search by filter."""
-    return index.lookup(index.index_rows_nested(b.doc_records(spark, sf)), WORD)
+    return index.lookup(index.index_rows_nested(b.doc_records(spark, sf, "title", "abstract")), WORD)
 
 
 @query(f"""WITH idx AS ({_INDEX}),
@@ -349,7 +349,7 @@ def rs_destroy(spark, sf):
 
 @query("SELECT source AS value, count(*) AS n FROM documents GROUP BY source")
 def collate(spark, sf):
-    return sets.part_sizes(sets.collate_nested(b.doc_records(spark, sf), "source"))
+    return sets.part_sizes(sets.collate_nested(b.doc_records(spark, sf, "source"), "source"))
 
 
 @query("""SELECT CAST(quality AS VARCHAR) AS value, doc_id + 1 AS key

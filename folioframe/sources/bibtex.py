@@ -212,6 +212,9 @@ def ingest_bibtex(
     for name, change in (hooks or {}).items():
         fields = fields.withColumn("raw", F.when(F.col("name") == name, change(F.col("raw"))).otherwise(F.col("raw")))
 
+    # Every type of field starts from here: take the entries apart and replace macros once.
+    fields = cut(fields)
+
     by_type: dict[str, list[str]] = {}
     for name, attr in schema.attrs.items():
         by_type.setdefault(attr.type, []).append(name)
