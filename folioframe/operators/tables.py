@@ -236,6 +236,23 @@ def create(path: str, values: DataFrame, schema: Schema, items: DataFrame, heade
     spark.createDataFrame([(header,)], "header string").write.parquet(f"{path}/header")
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def save(path: str, values: DataFrame, schema: Schema, items: DataFrame, header: str = "") -> None:
+    """Stores a database again. The new one is complete before the old one becomes ``.bak``,
+    so ``values`` may be read from the old one."""
+    spark = values.sparkSession
+    create(f"{path}.next", values, schema, items, header)
+    (new, fs), (old, _), (backup, _) = (_folder(spark, p) for p in (f"{path}.next", path, f"{path}.bak"))
+    fs.delete(backup, True)
+    if fs.exists(old):
+        fs.rename(old, backup)
+    fs.rename(new, old)
+
+
 def open_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of a stored database; fails when there is none."""
     names = ("values", "schema_attr", "schema_qual", "txo_item", "header")
@@ -243,6 +260,5 @@ def open_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def destroy_tables(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    folder, fs = _folder(spark, path)
+    fs.delete(folder, True)

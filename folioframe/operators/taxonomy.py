@@ -11,8 +11,9 @@ from ..session import cut
 _MAX_DOUBLINGS = 40
 
 
-def closure(items: DataFrame) -> DataFrame:
-    """``(grp, ancestor, id)`` for every item and each of its ancestors, itself included.
+def closure(items: DataFrame, distances: bool = False) -> DataFrame:
+    """``(grp, ancestor, id)`` for every item and each of its ancestors, itself included; with
+    ``distances`` also ``dist``, the steps between them.
 
     ``items`` has ``(grp, id, parent)``. The reach doubles with every round, so a tree of
     depth d takes log2(d) joins.
@@ -36,7 +37,8 @@ def closure(items: DataFrame) -> DataFrame:
         if not longer.filter(F.col("ancestor") == F.col("id")).isEmpty():
             break
         if longer.isEmpty():
-            return nodes.unionByName(reach).select("grp", "ancestor", "id")
+            every = nodes.unionByName(reach)
+            return every if distances else every.select("grp", "ancestor", "id")
         length *= 2
         reach = reach.unionByName(longer)
         frontier = longer.filter(F.col("dist") == length)

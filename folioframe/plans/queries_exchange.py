@@ -130,9 +130,6 @@ def import_result_set(spark, sf):
 
 # --- RIS and ISI ----------------------------------------------------------------------------
 
-_AUTHORS = ("author",)
-
-
 def _ris_path(spark, sf) -> str:
     """Parts as RIS with CR LF: a continued title, unsupported and unknown tags."""
     rec = b.part_records(spark, sf).select("key", "attrs")
@@ -238,8 +235,19 @@ def export_native_xml(spark, sf):
     return written.groupBy("key", "field").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-@query("""SELECT CAST(1 AS BIGINT) AS rs_id, 'english & more' AS name, doc_id + 1 AS key FROM documents WHERE lang = 'en'
-          UNION ALL SELECT 2, 'labelled', doc_id + 1 FROM labels""".replace("english & more", "english"))
+@query("""WITH places AS (
+            SELECT 1 AS d, r_regionkey + 1 AS id, r_name AS name FROM region
+            UNION ALL SELECT 2, n_nationkey + 100, n_name FROM nation UNION ALL SELECT 3, c_custkey + 1000, c_name FROM customer)
+          SELECT repeat(' ', d + 1) || '<txo-item id="' || id || '">' || chr(10) || repeat(' ', d + 1) || ' <name lang="C">' || name || '</name>' AS line FROM places
+          UNION ALL SELECT repeat(' ', d + 1) || '</txo-item>' FROM places
+          UNION ALL SELECT ' <txo-group id="geo">' UNION ALL SELECT ' </txo-group>'""")
+def export_taxonomy(spark, sf):
+    """The tree of places as nested elements, one row per line."""
+    return native_xml.item_lines(b.geo_items(spark, sf)).select("line")
+
+
+@query("""SELECT CAST(1 AS BIGINT) AS rs_id, 'english' AS name, doc_id + 1 AS key FROM documents WHERE lang = 'en'
+          UNION ALL SELECT 2, 'labelled', doc_id + 1 FROM labels""")
 def ingest_native_sets(spark, sf):
     """Result sets written and read line by line."""
     from ..operators import sets

@@ -48,3 +48,18 @@ def ordered(lines: DataFrame) -> DataFrame:
 def write(lines: DataFrame, path: str) -> None:
     """``lines`` has key, part, field, pos, line."""
     ordered(lines).select("line").write.text(path)
+
+
+def document(lines: DataFrame, head: str, foot: str) -> DataFrame:
+    """Adds the first and the last line of the whole output, such as a root element."""
+    ends = F.array(
+        *[
+            F.struct(F.lit(key).cast("bigint").alias("key"), F.lit(text).alias("line"))
+            for key, text in ((-(2**63), head), (2**63 - 1, foot))
+        ]
+    )
+    spark = lines.sparkSession
+    rows = spark.range(1).select(F.explode(ends).alias("_e")).select(
+        "_e.key", F.lit(0).alias("part"), F.lit("").alias("field"), F.lit(0).alias("pos"), "_e.line"
+    )
+    return lines.unionByName(rows)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Schema
+from ..operators.taxonomy import closure
 from . import lines as ln
 
 
@@ -128,8 +129,48 @@ def schema_text(schema: Schema) -> list[str]:
     return out
 
 
-def write_database(path: str, values: DataFrame, schema: Schema, member: DataFrame, meta: DataFrame, header: str = "") -> None:
-    """Entries, sets, schema and header of a database, each in a folder of its own."""
+def item_lines(items: DataFrame) -> DataFrame:
+    """``(grp, path, pos, line)`` of the taxonomy groups. An item opens at its path from the
+    root and closes behind everything below it, so nesting is just an order of lines."""
+    steps = closure(items, distances=True).groupBy("grp", "id").agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("dist")).alias("d"), F.col("ancestor").alias("a")))).alias("_s")
+    )
+    # a path is as long as the tree is deep
+    rows = items.join(steps.select("grp", "id", F.col("_s.a").alias("path")), ["grp", "id"])
+    pad = F.rpad(F.lit(" "), F.size("path") + 1, F.lit(" "))
+
+    def name(e: Column) -> Column:
+        lang = F.when(e["key"] == "", F.lit("")).otherwise(F.concat(F.lit(" lang="), ln.quoted(e["key"])))
+        return F.concat(pad, F.lit(" <name"), lang, F.lit(">"), ln.escape(e["value"]), F.lit("</name>\n"))
+
+    names = F.array_join(F.transform(F.array_sort(F.map_entries("names")), name), "")
+    opened = F.concat(pad, F.lit('<txo-item id="'), F.col("id").cast("string"), F.lit('">\n'), names)
+    ends = F.array(
+        F.struct(F.col("path").alias("path"), F.regexp_replace(opened, r"\n$", "").alias("line")),
+        F.struct(F.concat("path", F.array(F.lit(ln.AFTER))).alias("path"), F.concat(pad, F.lit("</txo-item>")).alias("line")),
+    )
+    body = rows.select("grp", F.explode_outer(ends).alias("_e")).select("grp", "_e.path", "_e.line")
+    groups = items.select("grp").distinct()
+    around = F.array(
+        F.struct(F.array(F.lit(ln.BEFORE)).alias("path"), F.concat(F.lit(" <txo-group id="), ln.quoted(F.col("grp")), F.lit(">")).alias("line")),
+        F.struct(F.array(F.lit(ln.AFTER), F.lit(ln.AFTER)).alias("path"), F.lit(" </txo-group>").alias("line")),
+    )
+    frame = groups.select("grp", F.explode(around).alias("_e")).select("grp", "_e.path", "_e.line")
+    return body.unionByName(frame)
+
+
+def write_items(lines: DataFrame, path: str) -> None:
+    """One file per group at most: a group is one element."""
+    lines.repartition("grp").sortWithinPartitions("grp", "path").select("line").write.text(path)
+
+
+def write_database(
+    path: str, values: DataFrame, schema: Schema, member: DataFrame, meta: DataFrame, header: str = "",
+    items: DataFrame | None = None,
+) -> None:
+    """Entries, sets, schema, taxonomies and header of a database, each in a folder of its own."""
+    if items is not None:
+        write_items(item_lines(items), f"{path}/items")
     spark = values.sparkSession
     ln.write(entry_lines(values), f"{path}/entries")
     write_sets(set_lines(member, meta), f"{path}/sets")

@@ -149,6 +149,17 @@ class StateTable:
         rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/batch={batch}")
 
 
+    def vacuum(self) -> None:
+        """Deletes the data of batches that no bucket is read from any more. Not while a batch
+        is running: one that failed is written again from the state before it."""
+        done = self._batches()
+        used = set(self._placement().values())
+        sc = self.spark.sparkContext
+        for batch in done - used - {max(done, default=None)}:
+            folder = sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/data/batch={batch}")
+            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def follow(changes: DataFrame, table: StateTable, checkpoint: str):
     """Starts the stream that keeps ``table`` current; one pass over what is there."""
     return (

@@ -167,6 +167,26 @@ def test_schema_files(spark, tmp_path):
         native.load_schema(spark, twice)
 
 
+def test_items_round_trip(spark, tmp_path):
+    tree = items(spark, [("g", 1, None, "one"), ("g", 10, 1, "ten & up"), ("g", 11, 10, "x"), ("g", 2, None, "two"), ("h", 1, None, "other")])
+    path = str(tmp_path / "items")
+    native_xml.write_items(native_xml.item_lines(tree), path)
+    # a document needs a root: put one around the lines of a file
+    text = "".join(p.read_text() for p in sorted((tmp_path / "items").glob("part-*")))
+    got = native.load_items(spark, write(tmp_path, "items.xml", f"<s>{text}</s>"))
+    assert sorted(map(tuple, got.select("grp", "id", "parent", F.col("names")["C"]).collect()), key=str) == sorted(
+        map(tuple, tree.select("grp", "id", "parent", F.col("names")["C"]).collect()), key=str)
+
+
+def test_root_element_is_first_and_last(spark, tmp_path):
+    values = make_values(spark, [(k, "text", "text", "t") for k in range(1, 30)])
+    path = str(tmp_path / "doc")
+    lines.write(lines.document(native_xml.entry_lines(values), "<root>", "</root>"), path)
+    text = "".join(p.read_text() for p in sorted((tmp_path / "doc").glob("part-*")))
+    assert text.startswith('<root>\n <entry id="1">') and text.endswith(" </entry>\n</root>\n")
+    assert native.ingest_native_xml(spark, path).values.count() == 29
+
+
 def test_enrich(spark):
     coords = lambda df: df.select("k", *enrich.coordinates(*[F.col(c) for c in "tlvpy"]))
     ddl = "k string, t string, l string, v string, p string, y string"

@@ -111,6 +111,8 @@ def test_stored_database(spark, tmp_path):
     assert tables.diff_records(values, stored["values"]).count() == 0
     with pytest.raises(Exception, match="already exists"):
         tables.create(path, values, SCHEMA, items(spark, [("a", 1, None, "x")]))
+    tables.save(path, stored["values"].withColumn("text", F.upper("text")), SCHEMA, items(spark, [("a", 1, None, "x")]))
+    assert [tables.open_tables(spark, p)["values"].first().text for p in (path, path + ".bak")] == ["É", "é"]
     tables.destroy_tables(spark, path)
     with pytest.raises(Exception, match="(?i)path"):
         tables.open_tables(spark, path)
