@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lm_score, packing, simhash, suffix_dedup
+from . import byte_bpe, exact_dedup, langid, lm_score, packing, quality, simhash, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,6 +47,12 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+# The vocabulary is a file.
+@query()
+def op1_longest_match_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.count(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 # Removed bytes are judged byte by byte on all pairs of places, which SQL does not do on whole tables.
 @query()
 def op2_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,6 +79,18 @@ def op4_harmonic_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+# A fitted model.
+@query()
+def op5_string_kernel_language(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.identify(documents(spark, sf), folds=5, held_out=0)
+
+
+# Fertility figures come from a tokenizer file.
+@query()
+def op6_tokenizer_fertility(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.measure(documents(spark, sf), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query(
     """
 WITH texts AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
@@ -84,6 +102,19 @@ def op7_tree_merge_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.classify(documents(spark, sf), largest=True)
 
 
+# Ranks come from a tokenizer file.
+@query()
+def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode(documents(spark, sf), path, public_tokenizers.PATTERN)
+    return byte_bpe.decode(encoded, path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 # XXH64 and the transitive closure over all fingerprints have no SQL that ends on whole tables.
 @query()
 def op10_simhash_bk_tree(spark: SparkSession, sf: str) -> DataFrame:
