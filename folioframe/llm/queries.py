@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, langid, lm_score, packing, quality, simhash, suffix_dedup, token_counts
+from . import byte_bpe, exact_dedup, html_extract, langid, lm_score, packing, quality, simhash, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -115,6 +115,13 @@ def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# A fitted model.
+@query()
+def op9_crf_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    ship(spark)
+    return html_extract.extract(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
 # XXH64 and the transitive closure over all fingerprints have no SQL that ends on whole tables.
 @query()
 def op10_simhash_bk_tree(spark: SparkSession, sf: str) -> DataFrame:
