@@ -20,10 +20,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import SPACE, Block, Parts, batch, blocks, mixed, row_sums, texts
+from .blocks import SPACE, Block, Parts, batch, blocks, mixed, row_sums, spread, texts
 
 BLOCK = 8 << 20
 WINDOW = 8
@@ -148,6 +148,39 @@ def within(band: Band, tokens: int, chars: float, byte: float, entropy: float) -
     return band.low * (1 - give) <= chars <= band.high * (1 + give) and byte <= band.bytes + give and entropy >= least
 
 
+def _figures(block: Block, path: str, bands: dict[str, Band]) -> tuple:
+    """The columns of ``measure`` after doc_id."""
+    processor, is_byte = _processor(path)
+    parts = Parts(block, whole=False)
+    distinct, which = parts.distinct()
+    encoded = processor.encode([w.decode("utf-8", "replace") for w in distinct])
+    size = np.array([len(x) for x in encoded], np.int64)
+    flat = np.array([i for x in encoded for i in x], np.int64)
+    start = np.cumsum(np.append(0, size))[:-1]
+    n = size[which] if len(which) else size
+    ids = flat[spread(start[which], n)] if len(which) else flat
+    first = np.cumsum(np.append(0, n))[parts.first]
+    tokens, words = np.diff(first), np.diff(parts.first)
+    chars = row_sums(((block.data & 0xC0) != 0x80) & ~SPACE[block.data], block.at)
+    symbols = row_sums(_SYMBOL[block.data], block.at)
+    repeats = row_sums(repeated_windows(parts.hashes, parts.first), parts.first)
+    failed = (words < MIN_WORDS) | (100 * repeats > MAX_REPEATED * words)
+    per = chars / np.maximum(tokens, 1)
+    byte = row_sums(is_byte[ids], first) / np.maximum(tokens, 1)
+    entropy = _entropy(ids, first)
+    lines = [_repeated_lines(block.raw(i)) for i in range(len(block))]
+    names = [lang if lang in bands else script(block.raw(i)) for i, lang in enumerate(block.rows["_lang"].to_pylist())]
+    kept = [
+        not f and (name not in bands or within(bands[name], *x))
+        for f, name, *x in zip(failed.tolist(), names, tokens.tolist(), per.tolist(), byte.tolist(), entropy.tolist())
+    ]
+    return words, chars, symbols, lines, repeats, failed, tokens, per, byte, entropy, names, kept
+
+
+def _language(docs: DataFrame) -> Column:
+    return F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+
+
 def measure(docs: DataFrame, path: str, bands: dict[str, Band] | None = None) -> DataFrame:
     """One row for each row of ``docs`` with its counts, fertility figures, band and verdict."""
     bands = BANDS if bands is None else bands
@@ -158,46 +191,28 @@ def measure(docs: DataFrame, path: str, bands: dict[str, Band] | None = None) ->
         + [("band", pa.string()), ("kept", pa.bool_())]
     )
 
-    def figures(block: Block) -> pa.RecordBatch:
-        processor, is_byte = _processor(path)
-        parts = Parts(block, whole=False)
-        distinct, which = parts.distinct()
-        encoded = processor.encode([w.decode("utf-8", "replace") for w in distinct])
-        size = np.array([len(x) for x in encoded], np.int64)
-        flat = np.array([i for x in encoded for i in x], np.int64)
-        start = np.cumsum(np.append(0, size))[:-1]
-        n = size[which] if len(which) else size
-        ends = np.cumsum(np.append(0, n))
-        place = np.repeat(start[which] - ends[:-1], n) + np.arange(ends[-1]) if len(which) else np.zeros(0, np.int64)
-        ids, first = flat[place], ends[parts.first]
-        tokens = np.diff(first)
-        chars = np.zeros(len(block.data) + 1, np.int64)
-        np.cumsum(((block.data & 0xC0) != 0x80) & ~SPACE[block.data], out=chars[1:])
-        chars = np.diff(chars[block.at])
-        symbols = np.zeros(len(block.data) + 1, np.int64)
-        np.cumsum(_SYMBOL[block.data], out=symbols[1:])
-        words = np.diff(parts.first)
-        repeats = row_sums(repeated_windows(parts.hashes, parts.first), parts.first)
-        failed = (words < MIN_WORDS) | (100 * repeats > MAX_REPEATED * words)
-        per = chars / np.maximum(tokens, 1)
-        byte = row_sums(is_byte[ids], first) / np.maximum(tokens, 1)
-        entropy = _entropy(ids, first)
-        lines = [_repeated_lines(block.raw(i)) for i in range(len(block))]
-        names = [
-            lang if lang in bands else script(block.raw(i)) for i, lang in enumerate(block.rows["lang"].to_pylist())
-        ]
-        kept = [
-            not f and (name not in bands or within(bands[name], *x))
-            for f, name, *x in zip(failed.tolist(), names, tokens.tolist(), per.tolist(), byte.tolist(), entropy.tolist())
-        ]
-        return batch(
-            schema, block.rows["doc_id"], words, chars, np.diff(symbols[block.at]), lines, repeats,
-            failed, tokens, per, byte, entropy, names, kept,
-        )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, limit=BLOCK):
-            yield figures(block)
+            yield batch(schema, block.rows["doc_id"], *_figures(block, path, bands))
+
+    return texts(docs, _language(docs).alias("_lang")).mapInArrow(run, _FIELDS)
+
+
+def keep(docs: DataFrame, path: str, bands: dict[str, Band] | None = None) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns and without a shuffle."""
+    bands = BANDS if bands is None else bands
+    width = len(docs.columns)
+    whole = docs.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(docs.columns)])
+    own = {n: f"c{i}" for i, n in enumerate(docs.columns)}
+    lang = F.col(own["lang"]).cast("string") if "lang" in own else F.lit(None).cast("string")
+    text = F.coalesce(F.col(own["text"]).cast("string"), F.lit(""))
+    rows = whole.withColumns({"_lang": lang, "_text": text})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, limit=BLOCK, column="_text"):
+            passed = pa.array(_figures(block, path, bands)[-1], pa.bool_())
+            yield block.rows.select(list(range(width))).filter(passed)
 
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    return texts(docs, lang.alias("lang")).mapInArrow(run, _FIELDS)
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in whole.schema)
+    kept = rows.mapInArrow(run, types)
+    return kept.select(*[F.col(c).alias(n) for n, c in own.items()])

@@ -51,12 +51,15 @@ def shingle_hashes(raw: bytes, words: int) -> bytes:
     return b"".join([digest(joined[s : e - 1], 42) for s, e in zip(at, at[words:])])
 
 
-def majority(hashes: bytes) -> int:
-    """The bits set in over half of the hashes, as a signed 64-bit number."""
-    rows = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
+def majority_bits(rows: np.ndarray) -> np.ndarray:
+    """The bits set in over half of the rows of eight bytes."""
     counts = np.bincount((rows + _PLACES).ravel(), minlength=2048).reshape(8, 256) @ _SET_BITS
-    bits = counts.ravel() * 2 > len(rows)
-    return int(np.packbits(bits).view(">i8")[0])
+    return counts.ravel() * 2 > len(rows)
+
+
+def majority(hashes: bytes) -> int:
+    """The fingerprint of joined hashes, as a signed 64-bit number."""
+    return int(np.packbits(majority_bits(np.frombuffer(hashes, np.uint8).reshape(-1, 8))).view(">i8")[0])
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -130,10 +133,10 @@ class BKTree:
 
 
 def shard_links(fps: list[int], radius: int) -> Iterator[tuple[int, int]]:
-    """Links that join all fingerprints of a shard which are within the radius, directly or in steps."""
+    """Pairs of places that join all fingerprints (not negative) within the radius, directly or in steps."""
     if len(fps) == 2:  # most shards
-        if ((fps[0] ^ fps[1]) & (1 << 64) - 1).bit_count() <= radius:
-            yield fps[0], fps[1]
+        if (fps[0] ^ fps[1]).bit_count() <= radius:
+            yield 0, 1
         return
     tree, root = BKTree(), list(range(len(fps)))
 
@@ -144,17 +147,21 @@ def shard_links(fps: list[int], radius: int) -> Iterator[tuple[int, int]]:
         return i
 
     for fp in fps:
-        near = tree.near(fp & (1 << 64) - 1, radius)
-        new = tree.add(fp & (1 << 64) - 1)
+        near = tree.near(fp, radius)
+        new = tree.add(fp)
         for i in near:
             if top(i) != top(new):
                 root[top(i)] = top(new)
-                yield fps[i], fp
+                yield i, new
 
 
 def _tree_links(shards: DataFrame, radius: int) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def linked(fps: np.ndarray) -> list[tuple[int, int]]:
+        found = shard_links(fps.view(np.uint64).tolist(), radius)
+        return [(fps[i], fps[j]) for i, j in found]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((3, 0), np.int64)  # the shard that may go on in the next batch
         for rows in batches:
@@ -165,11 +172,11 @@ def _tree_links(shards: DataFrame, radius: int) -> DataFrame:
             links = []
             for s, e in zip(borders[:-1], borders[1:]):
                 if e - s > 1:
-                    links += shard_links(new[2, s:e].tolist(), radius)
+                    links += linked(np.ascontiguousarray(new[2, s:e]))
             held = new[:, borders[-1] :] if len(borders) else new
             if links:
                 yield batch(schema, *zip(*links))
-        links = list(shard_links(held[2].tolist(), radius)) if held.shape[1] > 1 else []
+        links = linked(np.ascontiguousarray(held[2])) if held.shape[1] > 1 else []
         if links:
             yield batch(schema, *zip(*links))
 

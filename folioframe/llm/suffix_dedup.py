@@ -285,46 +285,95 @@ def repeated_ranges(docs: DataFrame, length: int, keep: str, gram: int = GRAM, g
     return settled.union(found).union(_by_digest(cut_out.filter("large"), length, keep == "first"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> DataFrame:
-    """Every row of ``docs``: doc_id, n_bytes, spans (start, end of the removed runs), kept (binary)."""
-    rows = texts(docs).withColumn("_row", F.xxhash64("doc_id", "text"))
+def _ranged(rows: DataFrame, length: int, keep: str) -> DataFrame:
+    """``rows`` (doc_id, text, _row and more) with the byte ranges to remove, or null."""
     ranges = (
-        repeated_ranges(rows, length, keep)
+        repeated_ranges(rows.select("doc_id", "text", "_row"), length, keep)
         .groupBy("_row")
         .agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     )
-    return _remove(rows.join(ranges, "_row", "left").select("doc_id", "text", "ranges"))
+    return rows.join(ranges, "_row", "left")
+
+
+def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
+    """Ranges in order, those that touch joined."""
+    out: list[list[int]] = []
+    for s, e in sorted((r["start"], r["end"]) for r in ranges or []):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return [(s, e) for s, e in out]
+
+
+def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    at, left = 0, []
+    for s, e in spans:
+        left.append(raw[at:s])
+        at = e
+    return b"".join(left) + raw[at:] if spans else raw
+
+
+def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans less the bytes at their ends that belong to characters partly outside."""
+    out = []
+    for s, e in spans:
+        while s < e and raw[s] & 0xC0 == 0x80:
+            s += 1
+        while e > s and e < len(raw) and raw[e] & 0xC0 == 0x80:
+            e -= 1
+        if s < e:
+            out.append((s, e))
+    return out
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
 
-def _remove(rows: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> DataFrame:
+    """Every row of ``docs``: doc_id, n_bytes, spans (start, end of the removed runs), kept (binary)."""
+    rows = texts(docs).withColumn("_row", F.xxhash64("doc_id", "text"))
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(_SPAN)), ("kept", pa.binary())]
     )
 
-    def merged(ranges) -> tuple[list[dict], list[tuple[int, int]]]:
-        out: list[list[int]] = []
-        for s, e in sorted((r["start"], r["end"]) for r in ranges):
-            if out and s <= out[-1][1]:
-                out[-1][1] = max(out[-1][1], e)
-            else:
-                out.append([s, e])
-        return [{"start": s, "end": e} for s, e in out], out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            spans = [merged(r) for r in block.rows["ranges"].to_pylist()]
+            kept = [without(block.raw(i), own) for i, own in enumerate(spans)]
+            listed = [[{"start": s, "end": e} for s, e in own] for own in spans]
+            yield batch(schema, block.rows["doc_id"], np.diff(block.at), listed, kept)
+
+    found = _ranged(rows, length, keep).select("doc_id", "text", "ranges")
+    return found.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+
+
+def strip_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> DataFrame:
+    """``docs`` with repeated strings cut out of ``text``, whole characters only; n_chars follows.
+
+    All rows and columns stay; a text that repeats as a whole becomes empty.
+    """
+    names = docs.columns
+    whole = docs.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)])
+    own = {n: f"c{i}" for i, n in enumerate(names)}
+    rows = whole.withColumns(
+        {"doc_id": F.col(own["doc_id"]).cast("long"), "text": F.coalesce(F.col(own["text"]).cast("string"), F.lit(""))}
+    ).withColumn("_row", F.xxhash64("doc_id", "text"))
+    kept = [c for n, c in own.items() if n != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            spans, kept = [], []
+            out = []
             for i, ranges in enumerate(block.rows["ranges"].to_pylist()):
                 raw = block.raw(i)
-                found, pairs = merged(ranges or [])
-                spans.append(found)
-                at, left = 0, []
-                for s, e in pairs:
-                    left.append(raw[at:s])
-                    at = e
-                kept.append(b"".join(left) + raw[at:] if pairs else raw)
-            yield batch(schema, block.rows["doc_id"], np.diff(block.at), spans, kept)
-
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+                out.append(without(raw, whole_characters(raw, merged(ranges))).decode("utf-8", "replace"))
+            columns = [*(block.rows[c] for c in kept), pa.array(out, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "text"])
+
+    found = _ranged(rows, length, keep).select(*kept, "text", "ranges")
+    types = [f"{c} {found.schema[c].dataType.simpleString()}" for c in kept]
+    done = found.mapInArrow(run, ", ".join([*types, "text string"]))
+    result = {n: F.col("text") if n == "text" else F.col(c) for n, c in own.items()}
+    if "n_chars" in own:
+        result["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return done.select(*[c.alias(n) for n, c in result.items()])
