@@ -90,6 +90,7 @@ def classify(docs: DataFrame, largest: bool = True) -> DataFrame:
 def drop_copies(docs: DataFrame, largest: bool = True) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     # The numbered rows are written, as row numbers of a scan are only sure within one pass.
-    table = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    kept = _resolve(cut(_digests(table)), largest).filter(F.abs(F.col("_best.row")) == F.col("_row"))
-    return table.join(kept.select("_row"), "_row", "left_semi").drop("_row")
+    table = cut(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")))
+    rows = table.select(F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"), "_row")
+    kept = _resolve(cut(_digests(rows)), largest).filter(F.abs(F.col("_best.row")) == F.col("_row"))
+    return table.join(kept.select("_row"), "_row", "left_semi").select("_doc.*")

@@ -132,29 +132,56 @@ class BKTree:
         return new
 
 
-def shard_links(fps: list[int], radius: int) -> Iterator[tuple[int, int]]:
-    """Pairs of places that join all fingerprints (not negative) within the radius, directly or in steps."""
-    if len(fps) == 2:  # most shards
-        if (fps[0] ^ fps[1]).bit_count() <= radius:
-            yield 0, 1
-        return
-    tree, root = BKTree(), list(range(len(fps)))
+class Parts:
+    """Sets of places that are joined so far."""
+
+    def __init__(self, n: int):
+        self.root = list(range(n))
 
-    def top(i: int) -> int:
+    def top(self, i: int) -> int:
+        root = self.root
         while root[i] != i:
             root[i] = root[root[i]]
             i = root[i]
         return i
 
+    def join(self, i: int, j: int) -> bool:
+        """Joins two sets; false if they are one already."""
+        i, j = self.top(i), self.top(j)
+        self.root[i] = j
+        return i != j
+
+
+def shard_links(fps: list[int], radius: int) -> Iterator[tuple[int, int]]:
+    """Pairs of places that join all fingerprints (not negative) within the radius, directly or in steps."""
+    if len(fps) == 2:  # most shards
+        if (fps[0] ^ fps[1]).bit_count() <= radius:
+            yield 0, 1
+        return
+    tree, parts = BKTree(), Parts(len(fps))
     for fp in fps:
         near = tree.near(fp, radius)
         new = tree.add(fp)
         for i in near:
-            if top(i) != top(new):
-                root[top(i)] = top(new)
+            if parts.join(i, new):
                 yield i, new
 
 
+def nearest_links(fps: list[int], radius: int) -> Iterator[tuple[int, int, int]]:
+    """As ``shard_links`` with the distance, the closest pairs first: a least spanning tree.
+
+    Two fingerprints are then joined in steps that are each no longer than their own distance.
+    """
+    tree, parts, pairs = BKTree(), Parts(len(fps)), []
+    for j, fp in enumerate(fps):
+        pairs += [(fp ^ fps[i]).bit_count() << 48 | i << 24 | j for i in tree.near(fp, radius)]
+        tree.add(fp)
+    for pair in sorted(pairs):
+        i, j = pair >> 24 & 0xFFFFFF, pair & 0xFFFFFF
+        if parts.join(i, j):
+            yield i, j, pair >> 48
+
+
 def _tree_links(shards: DataFrame, radius: int) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 

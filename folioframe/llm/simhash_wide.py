@@ -1,12 +1,17 @@
 """Near duplicates of a chosen similarity, by wide SimHash fingerprints.
 
 Two fingerprint bits of a pair with cosine c differ with probability arccos(c) / pi, and shingle
-sets of Jaccard similarity J have c = 2J / (1 + J). So a limit on differing bits is a limit on
-similarity: of 256 bits, ``RADIUS`` is about 0.8. At such distances no block of bits is sure to
-agree, so shards are drawn by chance: in each of ``TABLES`` tables, documents that agree on
-``SAMPLE`` bits of the table's own order share a shard, and a pair at the limit meets in one of
-them with a probability of 0.95; closer pairs almost surely. A shard is searched by its BK-tree
-over the whole fingerprints, as in ``simhash``.
+sets of Jaccard similarity J have c = 2J / (1 + J). A pair of J = 0.8 differs in 39 of 256 bits,
+give or take 6. Pairs of at most ``SURE`` bits are near duplicates; those of at most ``RADIUS``
+are if their shingle sets, compared whole, have a similarity of ``SIMILAR`` or more.
+
+At such distances no block of bits is sure to agree, so shards are drawn by chance: in each of
+``TABLES`` tables, documents that agree on ``SAMPLE`` bits of the table's own order share a
+shard. A pair at the limit meets in one of them with a probability of 0.998 (0.98 if it differs
+in one deviation more), closer pairs almost surely. A shard is searched by its BK-tree over half
+of the fingerprint bits, as in ``simhash``, and returns a least spanning tree of the pairs it
+finds, so a group of copies gives about as many links as it has documents. Chance company in a
+shard is one document for each 2 ** ``SAMPLE`` documents; larger corpora want more bits and tables.
 
 A shard larger than ``SHARD`` is dealt again by more bits of its table, in a new shuffle, until
 none is left over; fingerprints that agree on all bits are one to begin with.
@@ -25,149 +30,195 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .blocks import batch, mixed, texts
 from .components import components
-from .simhash import majority_bits, shard_links, shingle_hashes
+from .simhash import majority_bits, nearest_links, shingle_hashes
 
-WORDS, BITS, RADIUS = 5, 256, 40
-TABLES, SAMPLE, MORE, SHARD = 80, 20, 12, 1024
+WORDS, BITS, SIMILAR = 5, 256, 0.8
+SURE, RADIUS, NEAR = 22, 56, 36  # differing bits of all; of the first half, in a shard
+TABLES, SAMPLE, MORE, SHARD = 128, 18, 12, 1024
 _SEEDS = [0, 0x51ED270B1F9A3C4D, 0x2B7E151628AED2A6, 0x6A09E667F3BCC909]
+_WHOLE = ["f0", "f1", "f2", "f3"]
+_HALF = _WHOLE[:2]
 
 
-def fingerprint(raw: bytes, words: int) -> bytes:
-    """Majority bits of the shingle hashes under four hash families; zeros without words."""
+def fingerprint(raw: bytes, words: int) -> np.ndarray:
+    """Majority bits of the shingle hashes under four hash families, 64 each; zeros without words."""
     hashes = shingle_hashes(raw, words)
     if not hashes:
-        return bytes(BITS // 8)
+        return np.zeros(4, np.int64)
     first = np.frombuffer(hashes, ">u8").astype(np.uint64)
     families = [first if not seed else mixed(first ^ np.uint64(seed)) for seed in _SEEDS]
-    return b"".join(np.packbits(majority_bits(h.view(np.uint8).reshape(-1, 8))).tobytes() for h in families)
+    bits = np.concatenate([majority_bits(h.view(np.uint8).reshape(-1, 8)) for h in families])
+    return np.packbits(bits).view(np.int64)
 
 
-@lru_cache(maxsize=1)
-def _orders() -> np.ndarray:
-    """For each table its own order of all bits."""
-    draw = np.random.Generator(np.random.PCG64(20))
-    return np.stack([draw.permutation(BITS) for _ in range(TABLES)])
+@lru_cache(maxsize=2)
+def _orders(bits: int) -> np.ndarray:
+    """For each table its own order of the bits."""
+    draw = np.random.Generator(np.random.PCG64(bits))
+    return np.stack([draw.permutation(bits) for _ in range(TABLES)])
 
 
-def _keys(fps: np.ndarray, table: np.ndarray | None, first: int, last: int) -> np.ndarray:
-    """Bits ``first`` to ``last`` of the tables' orders as numbers: all tables, or one for each row."""
-    bits = np.unpackbits(fps, axis=1).astype(np.int64)
-    last = min(last, BITS)
-    weights = 1 << np.arange(last - first, dtype=np.int64)
-    if table is not None:
-        return np.take_along_axis(bits, _orders()[table, first:last], axis=1) @ weights
-    return np.stack([bits[:, order[first:last]] @ weights for order in _orders()], axis=1)
+def _bits(columns: list[np.ndarray]) -> np.ndarray:
+    return np.unpackbits(np.stack(columns, axis=1).view(np.uint8), axis=1)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BITS // 8)
+def _numbers(rows: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
+    return [rows[n].to_numpy(zero_copy_only=False) for n in names]
 
 
 def marks(rows: DataFrame, words: int) -> DataFrame:
-    """``doc_id, _row, fp`` of every row; ``rows`` has doc_id, text, _row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("_row", pa.int64()), ("fp", pa.binary())])
+    """``doc_id, _row`` and the fingerprint of every row; ``rows`` has doc_id, text, _row."""
+    schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "_row", *_WHOLE)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in batches:
             raw = (t.as_buffer().to_pybytes() for t in own["text"].cast(pa.large_binary()))
-            yield batch(schema, own["doc_id"], own["_row"], [fingerprint(t, words) for t in raw])
+            found = np.array([fingerprint(t, words) for t in raw], np.int64).reshape(-1, 4)
+            yield batch(schema, own["doc_id"], own["_row"], *found.T)
 
-    return texts(rows, "_row").mapInArrow(run, "doc_id long, _row long, fp binary")
+    return texts(rows, "_row").mapInArrow(run, ", ".join(f"{n} long" for n in ("doc_id", "_row", *_WHOLE)))
 
 
 def _dealt(nodes: DataFrame) -> DataFrame:
-    """Every node once in each table: ``table, key, node, fp``."""
-    schema = pa.schema([("node", pa.int64()), ("fp", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    """Every node once in each table: ``table, key, node`` and half of its fingerprint."""
+    names = ["node", *_HALF, "keys"]
+    schema = pa.schema([*((n, pa.int64()) for n in names[:-1]), ("keys", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = 1 << np.arange(SAMPLE, dtype=np.int32)
         for own in batches:
             for at in range(0, own.num_rows, 2000):
                 part = own.slice(at, 2000)
-                keys = _keys(_matrix(part["fp"]), None, 0, SAMPLE)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), TABLES).cast(pa.list_(pa.int64()))
-                yield batch(schema, part["node"], part["fp"], lists)
+                bits = _bits(_numbers(part, _WHOLE)).astype(np.int32)
+                keys = np.stack([bits[:, order[:SAMPLE]] @ weights for order in _orders(BITS)], axis=1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * TABLES), pa.array(keys.ravel()))
+                yield batch(schema, *(part[n] for n in names[:-1]), lists)
 
-    keyed = nodes.select("node", "fp").mapInArrow(run, "node long, fp binary, keys array<long>")
-    return keyed.select(F.posexplode("keys").alias("table", "key"), "node", "fp")
+    keyed = nodes.select("node", *_WHOLE).mapInArrow(run, "node long, f0 long, f1 long, keys array<int>")
+    return keyed.select(F.posexplode("keys").alias("table", "key"), "node", *_HALF).withColumn("key", F.col("key").cast("long"))
 
 
-def _searched(dealt: DataFrame, radius: int, used: int) -> DataFrame:
+def _searched(dealt: DataFrame, used: int, size: int) -> DataFrame:
     """Links ``a, b`` of small shards, and the rows of large ones with a finer key."""
-    names = [("a", pa.int64()), ("b", pa.int64()), ("table", pa.int32()), ("key", pa.int64()), ("node", pa.int64()), ("fp", pa.binary())]
-    schema = pa.schema(names)
-
-    def again(rows: list[tuple]) -> pa.RecordBatch:
-        table, key, node, fp = zip(*rows)
-        more = _keys(_matrix(pa.array(fp)), np.array(table), used, used + MORE)
-        finer = mixed(np.array(key, np.int64).view(np.uint64) + mixed(more.view(np.uint64) + np.uint64(1))).view(np.int64)
-        none = [None] * len(rows)
-        return batch(schema, none, none, table, finer, node, fp)
-
-    def linked(rows: list[tuple]) -> list[tuple]:
-        found = shard_links([int.from_bytes(r[3]) for r in rows], radius)
-        return [(rows[i][2], rows[j][2]) for i, j in found]
+    whole = BITS // 2
+    schema = pa.schema(
+        [("a", pa.int64()), ("b", pa.int64()), ("table", pa.int32()), *((n, pa.int64()) for n in ("key", "node", *_HALF))]
+    )
+
+    def again(rows: np.ndarray) -> pa.RecordBatch:
+        """``rows``: table, key, node and half fingerprints, one shard or a part of it."""
+        order = _orders(whole)[rows[0, 0], used : used + MORE]
+        more = _bits(list(rows[3:]))[:, order].astype(np.uint64) @ (np.uint64(1) << np.arange(len(order), dtype=np.uint64))
+        finer = mixed(rows[1].view(np.uint64) + mixed(more + np.uint64(1))).view(np.int64)
+        none = [None] * rows.shape[1]
+        return batch(schema, none, none, rows[0].astype(np.int32), finer, *rows[2:])
+
+    def linked(rows: np.ndarray) -> list[tuple]:
+        halves = rows[3:].astype(np.uint64).tolist()
+        found = nearest_links([x << 64 | y for x, y in zip(*halves)], NEAR)
+        node = rows[2]
+        return [(node[i], node[j]) for i, j, _ in found]
 
     def give(links: list[tuple]) -> Iterator[pa.RecordBatch]:
         if links:
-            a, b = zip(*links)
             none = [None] * len(links)
-            yield batch(schema, a, b, none, none, none, none)
+            yield batch(schema, *zip(*links), none, none, none, none, none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        large = False
+        held = np.zeros((5, 0), np.int64)
+        large = None  # the shard that was found too large
         for own in batches:
+            new = np.stack([x.astype(np.int64) for x in _numbers(own, ["table", "key", "node", *_HALF])])
+            new = np.ascontiguousarray(np.concatenate([held, new], axis=1))
+            border = np.flatnonzero(np.any(new[:2, 1:] != new[:2, :-1], axis=0)) + 1
+            border = np.concatenate(([0], border, [new.shape[1]])) if new.shape[1] else border
             links: list[tuple] = []
-            for row in zip(*(own[n].to_pylist() for n in ("table", "key", "node", "fp"))):
-                if held and row[:2] != held[0][:2]:
-                    if large:
-                        yield again(held)
-                    elif len(held) > 1:
-                        links += linked(held)
-                    held, large = [], False
-                held.append(row)
-                if len(held) > SHARD and used < BITS:
-                    yield again(held)
-                    held, large = held[:0], True
+            for s, e in zip(border[:-1], border[1:]):
+                shard, last = np.ascontiguousarray(new[:, s:e]), e == new.shape[1]
+                name = (int(shard[0, 0]), int(shard[1, 0]))
+                if used < whole and (name == large or e - s > size):
+                    large = name
+                    yield again(shard)
+                elif last:
+                    break  # it may go on in the next batch
+                elif e - s > 1:
+                    links += linked(shard)
+            else:
+                s = new.shape[1]
+            held = new[:, s:]
             yield from give(links)
-        if held:
-            if large:
-                yield again(held)
-            elif len(held) > 1:
-                yield from give(linked(held))
+        if held.shape[1] > 1:
+            yield from give(linked(np.ascontiguousarray(held)))
 
     placed = dealt.repartition("table", "key").sortWithinPartitions("table", "key")
-    return placed.mapInArrow(run, "a long, b long, table int, key long, node long, fp binary")
+    return placed.mapInArrow(run, "a long, b long, table int, key long, node long, f0 long, f1 long")
 
 
-def links(nodes: DataFrame, radius: int) -> DataFrame:
-    """Links between the nodes; ``nodes``: node, fp (each fingerprint once)."""
-    found, rows, used = [], _dealt(nodes), SAMPLE
+def links(nodes: DataFrame, shard: int = SHARD) -> DataFrame:
+    """Links ``a, b, bits`` between the nodes; ``nodes``: node, f0 to f3 (each fingerprint once)."""
+    found, rows, used = [], _dealt(nodes), 0
     while True:
-        searched = cut(_searched(rows, radius, used))
+        searched = cut(_searched(rows, used, shard))
         found.append(searched.filter("a IS NOT NULL").select("a", "b"))
-        rows = searched.filter("a IS NULL").select("table", "key", "node", "fp")
+        rows = searched.filter("a IS NULL").select("table", "key", "node", *_HALF)
         if rows.isEmpty():
             break
         used += MORE
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
-    return out
+    out = out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    a, b = (nodes.select(F.col("node").alias(n), *[F.col(f).alias(f"{n}_{f}") for f in _WHOLE]) for n in ("a", "b"))
+    bits = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in _WHOLE), F.lit(0))
+    return out.join(a, "a").join(b, "b").select("a", "b", bits.alias("bits")).filter(F.col("bits") <= RADIUS)
+
+
+def _similar(pairs: DataFrame, table: DataFrame, words: int, similar: float) -> DataFrame:
+    """The pairs ``a, b`` of rows of ``table`` whose shingle sets are similar enough."""
+    schema = pa.schema([("_row", pa.int64()), ("shingles", pa.binary())])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in batches:
+            raw = (t.as_buffer().to_pybytes() for t in own["text"].cast(pa.large_binary()))
+            sets = [np.unique(np.frombuffer(shingle_hashes(t, words), ">u8").astype(np.uint64)) for t in raw]
+            yield batch(schema, own["_row"], [s.tobytes() for s in sets])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in batches:
+            keep = []
+            for left, right in zip(own["left"], own["right"]):
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (left, right))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similar * (len(x) + len(y) - both))
+            yield own.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    rows = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
+    sets = texts(table.join(rows, "_row", "left_semi"), "_row").select("_row", "text")
+    sets = cut(sets.mapInArrow(hashed, "_row long, shingles binary"))
+    left, right = (sets.select(F.col("_row").alias(n), F.col("shingles").alias(side)) for n, side in (("a", "left"), ("b", "right")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(compared, "a long, b long")
 
 
-def one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
     """The rows of ``docs`` that stay: of every group of near duplicates the least doc_id.
 
     All columns are kept. Null text counts as empty; texts without words are one group. Null
     doc_ids come last, repeated rows are near duplicates. An empty table gives no rows.
     """
     # The numbered rows are written, as row numbers of a scan are only sure within one pass.
-    table = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    own = cut(marks(table, words))
-    nodes = own.groupBy("fp").agg(F.min("_row").alias("node"))
-    parts = components(links(nodes, radius)).withColumn("node", F.col("node"))
-    grouped = own.join(nodes, "fp").join(parts, "node", "left")
+    table = cut(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")))
+    rows = table.select(F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"), "_row")
+    own = cut(marks(rows, words))
+    nodes = own.groupBy(*_WHOLE).agg(F.min("_row").alias("node"))
+    found = cut(links(nodes))
+    sure = found.filter(F.col("bits") <= SURE).select("a", "b")
+    # Of the others only those that would join two groups need their texts.
+    first = cut(components(sure))
+    a, b = (first.select(F.col("node").alias(n), F.col("component").alias(f"of_{n}")) for n in ("a", "b"))
+    open_ = found.filter(F.col("bits") > SURE).select("a", "b").join(a, "a", "left").join(b, "b", "left")
+    open_ = open_.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    parts = components(sure.union(_similar(cut(open_), rows, words, similar)))
+    grouped = own.join(nodes, _WHOLE).join(parts, "node", "left")
     least = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "_row"))
     stay = grouped.groupBy(F.coalesce("component", "node").alias("group")).agg(least.alias("least"))
-    return table.join(stay.select(F.col("least._row").alias("_row")), "_row", "left_semi").drop("_row")
+    return table.join(stay.select(F.col("least._row").alias("_row")), "_row", "left_semi").select("_doc.*")
