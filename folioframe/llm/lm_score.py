@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .blocks import Parts, batch, blocks, fold_of, mixed, row_sums, texts
 
-BLOCK = 12 << 20
+BLOCK = 4 << 20
+BLOCKS_A_RANGE = 4
 ROUNDS = 12
 BUCKETS = 64
 _END = np.uint64(0xE5D0E5D0E5D0E5D1)
@@ -309,7 +310,7 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, weigh: int = 6, ro
     fold = fold_of(folds)
     use = F.when(fold == held_out, _SCORE).when(fold == weigh, _WEIGH).otherwise(_LEARN)
     table = cut(_token_blocks(texts(docs, use.cast("int").alias("use"))))
-    parts = max(1, table.count())  # as many key ranges as there are blocks
+    parts = max(1, table.count() // BLOCKS_A_RANGE)  # key ranges grow with the blocks
     told = cut(_add_up(_ask(table, parts)))
     names = ("words", "known", "words_learned", "known_learned")
     totals = told.filter("block IS NULL").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first()
