@@ -39,7 +39,7 @@ from .blocks import Block, Hasher, batch, blocks, flat, spread, texts
 
 LENGTH = 400
 GRAM = 32
-GROUP = 4096
+GROUP = 1024
 _SORT_BYTES = 1 << 20  # strips sorted at once
 
 
@@ -90,21 +90,20 @@ def _strips(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes sorted by their first ``depth`` bytes (ties by place), and the run each row is in.
+    """Suffixes sorted by their first ``depth`` bytes, and the row where each row's run begins.
 
-    Prefix doubling from eight bytes; after each step only rows that are still tied are sorted.
+    A run is a stretch of suffixes that agree to that depth. Prefix doubling from eight bytes;
+    after each step only rows that are still tied are sorted.
     """
     n = len(data)
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
     key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = key << np.uint64(8) | padded[i : i + n].astype(np.uint64)
-    if depth < 8:
-        key >>= np.uint64(8 * (8 - depth))
-    order = np.argsort(key, kind="stable")
+    for i in range(min(8, depth)):
+        key = key << np.uint64(8) | padded[i : i + n]
+    order = np.argsort(key)
     key = key[order]
-    new = np.concatenate(([True], key[1:] != key[:-1])) if n else np.zeros(0, bool)
-    run = np.flatnonzero(new)[np.cumsum(new) - 1] if n else np.zeros(0, np.int64)
+    new = np.append(True, key[1:] != key[:-1])[:n]
+    run = np.flatnonzero(new)[np.cumsum(new) - 1]
     rank = np.zeros(n + depth + 1, np.int64)  # beyond the end: less than every suffix
     rank[order] = run + 1
     done = 8
@@ -114,29 +113,36 @@ def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         rows = np.flatnonzero(np.repeat(size > 1, size))
         if not len(rows):
             break
-        places = order[rows]
-        second = rank[places + step]
-        by = np.lexsort((places, second, run[rows]))
+        places, first = order[rows], run[rows]
+        key = first << 32 | rank[places + step]
+        by = np.argsort(key)
+        key = key[by]
         order[rows] = places[by]
-        first, second = run[rows], second[by]
-        split = np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
-        new[rows] = split
+        new[rows] = np.append(True, key[1:] != key[:-1])
         run = np.flatnonzero(new)[np.cumsum(new) - 1]
-        rank[order] = run + 1
+        rank[order[rows]] = run[rows] + 1
         done += step
     return order, run
 
 
 def repeated(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each of ``starts``: whether its string begins at an earlier, and at a later start too."""
+    """For each of ``starts``: whether its string begins at an earlier, and at a later start too.
+
+    The rows of a run are put in text order. The previous smaller position of a suffix is then
+    the row above it and the previous larger one the row below; the factor they share reaches
+    ``length`` within the run, and beyond its ends it does not.
+    """
     order, run = suffix_order(data, length)
     wanted = np.zeros(len(data), bool)
     wanted[starts] = True
     listed = wanted[order]
     order, run = order[listed], run[listed]
     same = run[1:] == run[:-1]
+    tied = np.flatnonzero(np.append(False, same) | np.append(same, False))[: len(order)]
+    by = np.argsort(run[tied] << 32 | order[tied])
+    order[tied] = order[tied][by]
     earlier, later = np.zeros(len(data), bool), np.zeros(len(data), bool)
-    earlier[order[1:][same]] = True  # the previous smaller position shares ``length`` bytes
+    earlier[order[1:][same]] = True
     later[order[:-1][same]] = True
     return earlier[starts], later[starts]
 
