@@ -14,9 +14,6 @@ from ..functions import style
 from ..model import get_field
 from ..plans import scan
 
-# 26^7 holders of one key are more than a table has rows.
-_MAX_LETTERS = 7
-
 
 def first_citations(cites: DataFrame) -> DataFrame:
     """``(doc, uid, at)`` of the first citation of each record in each document."""
@@ -69,7 +66,9 @@ def letters(n: Column) -> Column:
             F.when(acc["n"] > 0, F.concat(letter, acc["s"])).otherwise(acc["s"]).alias("s"),
         )
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(_MAX_LETTERS)), state, step, lambda acc: acc["s"])
+    # n has log26(n) letters at most, rounded up; a step with nothing left adds none.
+    most = F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.log(F.lit(26.0))) + 2
+    return F.aggregate(F.sequence(F.lit(1), most.cast("int")), state, step, lambda acc: acc["s"])
 
 
 def disambiguate(based: DataFrame) -> DataFrame:
@@ -115,9 +114,20 @@ def reference_rows(records: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def bibliography(order: DataFrame, keys: DataFrame, rows: DataFrame, fmt=style.plain, out=style.text) -> DataFrame:
-    """``(doc, pos, cite_key, reference)``: every cited record of each document, formatted.
+    """``(doc, pos, cite_key, reference)``: every citation of each document, formatted.
 
-    A reference is formatted once per record, before it meets the citations.
+    A reference is formatted once per record, before it meets the citations. A citation of a
+    record that does not exist keeps its place, with no reference; see ``dangling``.
     """
     formatted = rows.select("uid", fmt(out).alias("reference"))
-    return order.join(keys, ["doc", "uid"]).join(formatted, "uid").select("doc", "pos", "cite_key", "reference")
+    return (
+        order.join(keys, ["doc", "uid"], "left")
+        .join(formatted, "uid", "left")
+        .select("doc", "pos", "cite_key", "reference")
+    )
+
+
+def dangling(firsts: DataFrame, records: DataFrame) -> DataFrame:
+    """Violations ``(doc, uid, rule)``: citations of records that do not exist."""
+    known = records.select(F.col("key").alias("uid")).distinct()
+    return firsts.select("doc", "uid").join(known, "uid", "left_anti").select("doc", "uid", F.lit("unknown_record").alias("rule"))

@@ -19,13 +19,17 @@ def enrich_identifiers(records: DataFrame, reference: DataFrame) -> DataFrame:
     """``(key, n_hits, found)``: ``found`` is the identifier when there is exactly one.
 
     The reference is reduced to one row per coordinates first, so many records and many
-    entries with the same coordinates do not multiply.
+    entries with the same coordinates do not multiply. Without a title or a last name there
+    is nothing to look for: such records are unknown, and such entries are never found.
     """
-    hits = reference.groupBy(*COORDINATES).agg(
+    given = (F.col("title") != "") & (F.col("last") != "")
+    hits = reference.filter(given).groupBy(*COORDINATES).agg(
         F.count_distinct("identifier").alias("n_hits"), F.min("identifier").alias("_one")
     )
-    joined = records.select("key", *COORDINATES).join(hits, list(COORDINATES), "left")
-    return joined.select(
+    rows = records.select("key", *COORDINATES)
+    found = rows.filter(given).join(hits, list(COORDINATES), "left").select("key", "n_hits", "_one")
+    nothing = rows.filter(~given).select("key", F.lit(None).cast("bigint").alias("n_hits"), F.lit(None).cast("string").alias("_one"))
+    return found.unionByName(nothing).select(
         "key",
         F.coalesce("n_hits", F.lit(0)).alias("n_hits"),
         F.when(F.col("n_hits") == 1, F.col("_one")).alias("found"),

@@ -20,7 +20,7 @@ from types import SimpleNamespace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.terms import ROW, value_has_word, value_terms
+from ..functions.terms import ROW, has_word, value_has_word, value_terms
 from ..model import Schema
 
 
@@ -104,7 +104,8 @@ def _nested_has_field(name: str, schema: Schema | None = None) -> Column:
 
 
 def _nested_in_taxonomy(name: str, grp: str, ids: list[int], schema: Schema | None = None) -> Column:
-    """``ids`` is the subtree of the item, see ``taxonomy.subtree_ids``."""
+    """``ids`` is the subtree of the item where that is schema metadata, a short fixed list. A
+    taxonomy that is a table is searched in long form, by a join."""
     check_field(schema, name, "txo")
     values = F.try_element_at("attrs", F.lit(name))
     hit = F.exists(values, lambda v: (v["txo"]["grp"] == grp) & v["txo"]["id"].isin(ids))
@@ -127,6 +128,18 @@ nested = SimpleNamespace(
 stored = SimpleNamespace(any_word=_stored_any_word, has_field=_stored_has_field, null=null)
 
 
+# --- conditions over source columns ---------------------------------------------------------
+# Where a field is one column of the source, a condition on it is one on the column: the scan
+# can push it down, and rows that fail it are never searched for words.
+
+
+def column_any_word(word: str, *texts: Column) -> Column:
+    return reduce(lambda a, b: a | b, [has_word(t, word) for t in texts])
+
+
+columns = SimpleNamespace(any_word=column_any_word)
+
+
 def searchable(records: DataFrame) -> DataFrame:
     """Records with ``terms`` and ``attr_names`` as columns of their own, to be stored: a
     search then reads these and never the text."""

@@ -5,6 +5,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,35 +81,57 @@ def sizes(member: DataFrame) -> DataFrame:
 # --- stored sets ---------------------------------------------------------------------------
 
 
+# Every save writes its members into a folder of its own, and then the one-row table that names
+# the set and that folder. Until then readers see the old members, from then on the new ones;
+# an empty set is a name without a folder.
+
+_META = "name string, version string, rs_id bigint"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _meta(spark: SparkSession, path: str) -> DataFrame:
+    # The folder exists only once a set has been saved.
+    try:
+        return spark.read.schema(_META).parquet(f"{path}/meta")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _META)
+
+
 def save(path: str, rs_id: int, name: str, keys: DataFrame) -> None:
     """Writes one set with its name; other sets in the same place stay."""
     spark = keys.sparkSession
-    meta = spark.createDataFrame([(rs_id, name)], "rs_id bigint, name string")
-    for part, frame in (("member", of(keys, rs_id)), ("meta", meta)):
-        (
-            frame.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("rs_id")
-            .parquet(f"{path}/{part}")
-        )
+    old = [r.version for r in _meta(spark, path).filter(F.col("rs_id") == rs_id).collect()]
+    version = uuid.uuid4().hex
+    of(keys, rs_id).select("key").write.parquet(f"{path}/member/rs_id={rs_id}/version={version}")
+    meta = spark.createDataFrame([(name, version, rs_id)], _META)
+    switch = meta.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    switch.partitionBy("rs_id").parquet(f"{path}/meta")
+    for gone in old:
+        _delete(spark, f"{path}/member/rs_id={rs_id}/version={gone}")
 
 
 def load(spark: SparkSession, path: str, rs_id: int | None = None) -> DataFrame:
-    member = spark.read.schema("key bigint, rs_id bigint").parquet(f"{path}/member")
-    member = member.select("rs_id", "key")
-    return member if rs_id is None else member.filter(F.col("rs_id") == rs_id)
+    meta = _meta(spark, path)
+    meta = meta if rs_id is None else meta.filter(F.col("rs_id") == rs_id)
+    # Folders are partitions, and the names of sets are few: only the folders in force are read.
+    member = spark.read.schema("key bigint, rs_id bigint, version string").parquet(f"{path}/member")
+    return member.join(meta.select("rs_id", "version"), ["rs_id", "version"]).select("rs_id", "key")
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("name string, rs_id bigint").parquet(f"{path}/meta").select("rs_id", "name")
+    return _meta(spark, path).select("rs_id", "name")
 
 
 def drop(spark: SparkSession, path: str, rs_id: int) -> None:
-    """Forgets a set; its records stay."""
-    jvm = spark.sparkContext._jvm
-    for part in ("member", "meta"):
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}/rs_id={rs_id}")
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    """Forgets a set, name first; its records stay."""
+    for part in ("meta", "member"):
+        _delete(spark, f"{path}/{part}/rs_id={rs_id}")
 
 
 # --- partition of a set --------------------------------------------------------------------
@@ -115,9 +140,7 @@ def drop(spark: SparkSession, path: str, rs_id: int) -> None:
 def collate(values: DataFrame, field: str, keys: DataFrame) -> DataFrame:
     """Splits ``keys`` by the first value of ``field``: one ``(value, key)`` row per record,
     with NULL for records without the field. Long form, as one part may be most of the set."""
-    first = values.filter((F.col("attr") == field) & (F.col("pos") == 0)).select(
-        "key", payload_text().alias("value")
-    )
+    first = values.filter(F.col("attr") == field).groupBy("key").agg(F.min_by(payload_text(), "pos").alias("value"))
     return keys.select("key").distinct().join(first, "key", "left").select("value", "key")
 
 

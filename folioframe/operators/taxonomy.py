@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import scan
 from ..session import cut
 
-# Depth 2^40 cannot be a tree: the input has a cycle.
-_MAX_DOUBLINGS = 40
-
 
 def closure(items: DataFrame, distances: bool = False) -> DataFrame:
     """``(grp, ancestor, id)`` for every item and each of its ancestors, itself included; with
@@ -27,7 +25,7 @@ def closure(items: DataFrame, distances: bool = False) -> DataFrame:
         raise ValueError("taxonomy has a cycle")
     frontier = reach
     length = 1
-    for _ in range(_MAX_DOUBLINGS):
+    while True:
         left, right = frontier.alias("l"), reach.alias("r")
         longer = cut(
             left.join(right, (F.col("l.grp") == F.col("r.grp")) & (F.col("l.id") == F.col("r.ancestor"))).select(
@@ -35,14 +33,13 @@ def closure(items: DataFrame, distances: bool = False) -> DataFrame:
             )
         )
         if not longer.filter(F.col("ancestor") == F.col("id")).isEmpty():
-            break
+            raise ValueError("taxonomy has a cycle")
         if longer.isEmpty():
             every = nodes.unionByName(reach)
             return every if distances else every.select("grp", "ancestor", "id")
         length *= 2
         reach = reach.unionByName(longer)
         frontier = longer.filter(F.col("dist") == length)
-    raise ValueError("taxonomy has a cycle")
 
 
 def paths(closed: DataFrame) -> DataFrame:
@@ -58,12 +55,6 @@ def with_paths(values: DataFrame, path_table: DataFrame) -> DataFrame:
     ).drop("_grp", "_id")
 
 
-def subtree_ids(closed: DataFrame, grp: str, item: int) -> list[int]:
-    """The ids below one item, as query metadata on the driver."""
-    rows = closed.filter((F.col("grp") == grp) & (F.col("ancestor") == item)).select("id")
-    return sorted(r.id for r in rows.toLocalIterator())
-
-
 def resolve(values: DataFrame, items: DataFrame, name: str = "name") -> DataFrame:
     """Adds the ``C`` name of taxonomy values; NULL when the item is unknown."""
     names = items.select(
@@ -92,7 +83,8 @@ def check_names(items: DataFrame) -> DataFrame:
 
 
 def prune(values: DataFrame, closed: DataFrame) -> DataFrame:
-    """Drops a taxonomy value when the same field also holds one of its descendants."""
+    """Drops a taxonomy value when the same field also holds one of its descendants. The values
+    that are left of a field move up, so its positions stay without gaps."""
     strict = closed.filter(F.col("ancestor") != F.col("id"))
     held = values.filter(F.col("type") == "txo").select("key", "attr", "txo.grp", "txo.id").distinct()
     implied = (
@@ -107,4 +99,7 @@ def prune(values: DataFrame, closed: DataFrame) -> DataFrame:
         & (F.col("v.txo.grp") == F.col("i._grp"))
         & (F.col("v.txo.id") == F.col("i._id"))
     )
-    return v.join(i, same, "left_anti")
+    left = v.join(i, same, "left_anti")
+    fields = cut(v.join(i, same, "left_semi").select("key", "attr").distinct())
+    moved = scan.dense(left.join(fields, ["key", "attr"], "left_semi").select(*values.columns), ["key", "attr"])
+    return left.join(fields, ["key", "attr"], "left_anti").select(*values.columns).unionByName(moved)

@@ -40,6 +40,8 @@ def list_keys(values: DataFrame, field: str) -> DataFrame:
         longest = items.agg(F.max("pos").alias("m")).first().m
         if longest is None or longest < CHUNK:
             return _chunks(items).select("key", "parts")
+        # Chunks must start at the same value in every list, so positions may not have gaps.
+        items = scan.dense(items, ["key"])
         chunks = cut(_chunks(items))
         ranks = scan.number(chunks.select("parts").distinct(), ["parts"], "part")
         items = cut(chunks.join(ranks, "parts").select("key", "pos", "part"))

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model as m
-from ..session import spread
 from . import scan
 
 LANGUAGES = ("en", "fr", "de", "es")
@@ -29,7 +28,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents"))
+    return table(spark, sf, "documents")
 
 
 def code_of(column: Column, names_: tuple[str, ...]) -> Column:
@@ -143,8 +142,8 @@ def cust_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cust_dates(spark: SparkSession, sf: str) -> DataFrame:
-    """Dates of the finished orders of a customer, in order of the order key."""
-    orders = table(spark, sf, "orders").filter(F.col("o_orderstatus") == "F").select("o_custkey", "o_orderkey", "o_orderdate")
+    """Dates of the orders of a customer, in order of the order key."""
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
     ranked = scan.rank(orders, ["o_custkey"], ["o_orderkey"], "_r")
     d = F.col("o_orderdate")
     return m.values_of(

@@ -206,11 +206,17 @@ _BLANKS = r"[ \t\n\x0B\f\r]+"
 
 
 def _sql_latex() -> str:
-    """The coded form of each character of a text, from the same fixed values."""
-    coded = {}
-    for command, (letters, accented) in latex.ACCENTS.items():
-        coded.update({z: latex.accent_code(command, a) for a, z in zip(letters, accented)})
-    coded.update({z: "\\" + a + "{}" for a, z in latex.SYMBOLS.items()})
+    """The coded form of each character of a text, written out for the letters of the languages."""
+    # Characters and their LaTeX code.
+    coded = {
+        "À": "\\`A", "È": "\\`E", "à": "\\`a", "è": "\\`e", "ù": "\\`u",
+        "Á": "\\'A", "É": "\\'E", "Í": "\\'I", "Ó": "\\'O", "Ú": "\\'U",
+        "á": "\\'a", "é": "\\'e", "í": "\\'{\\i}", "ó": "\\'o", "ú": "\\'u",
+        "Â": "\\^A", "Ê": "\\^E", "â": "\\^a", "ê": "\\^e", "î": "\\^{\\i}", "ô": "\\^o", "û": "\\^u",
+        "Ñ": "\\~N", "ñ": "\\~n", "Ä": '\\"A', "Ë": '\\"E', "Ö": '\\"O', "Ü": '\\"U',
+        "ä": '\\"a', "ë": '\\"e', "ï": '\\"{\\i}', "ö": '\\"o', "ü": '\\"u',
+        "Ç": "\\c{C}", "ç": "\\c{c}", "ß": "\\ss{}",
+    }
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     keys = ", ".join(quote(k) for k in coded)
     values = ", ".join(quote(v) for v in coded.values())

@@ -88,12 +88,12 @@ _HAS_WORD = f"list_contains({sql_words('text')}, '{WORD}')"
 
 @query(f"SELECT doc_id + 1 AS key FROM documents WHERE {_HAS_WORD}")
 def any_word(spark, sf):
-    return search.match(b.doc_records(spark, sf, "title", "abstract"), nested.any_word(WORD))
+    return search.match(b.doc_records(spark, sf), nested.any_word(WORD))
 
 
 @query(f"SELECT doc_id + 1 AS key FROM documents WHERE {_HAS_WORD}")
 def any_word_long(spark, sf):
-    return search.match_values(b.doc_values(spark, sf, "title", "abstract"), search.any_word(WORD))
+    return search.match_values(b.doc_values(spark, sf, *b.DOC_FIELDS), search.any_word(WORD))
 
 
 @query(f"""SELECT page_id + 1 AS key FROM pages
@@ -125,25 +125,26 @@ def in_taxonomy(spark, sf):
 
 @query(f"SELECT doc_id + 1 AS key FROM documents WHERE lang = 'en' AND {_HAS_WORD}")
 def q_and(spark, sf):
-    """English documents that contain a word: one scan, one filter."""
-    closed = taxonomy.closure(b.name_items(spark, "lang", b.LANGUAGES))
-    english = taxonomy.subtree_ids(closed, "lang", 1)
-    condition = nested.in_taxonomy("language", "lang", english, b.DOC_SCHEMA) & nested.any_word(WORD)
-    return search.match(b.doc_records(spark, sf, "abstract", "language"), condition)
+    """English documents that contain a word in any field: the language is pushed to the scan."""
+    docs = b.documents(spark, sf).filter(F.col("lang") == b.LANGUAGES[0])
+    # The quality is a text field of its own table; the title is part of the text.
+    docs = docs.join(b.table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("grade")), "doc_id", "left")
+    found = docs.filter(search.columns.any_word(WORD, F.col("text"), F.col("grade")))
+    return found.select(b.doc_key().alias("key")).distinct()
 
 
 @query(f"""SELECT doc_id + 1 AS key FROM documents
            WHERE lang = 'fr' OR {_HAS_WORD}""")
 def q_or(spark, sf):
     closed = taxonomy.closure(b.name_items(spark, "lang", b.LANGUAGES))
-    values = taxonomy.with_paths(b.doc_values(spark, sf, "abstract", "language"), taxonomy.paths(closed))
+    values = taxonomy.with_paths(b.doc_values(spark, sf, *b.DOC_FIELDS), taxonomy.paths(closed))
     return search.match_values(values, search.in_taxonomy("language", "lang", 2) | search.any_word(WORD))
 
 
 @query(f"""SELECT doc_id + 1 AS key FROM documents
            WHERE NOT (doc_id IN (SELECT doc_id FROM labels) OR {_HAS_WORD})""")
 def q_not(spark, sf):
-    values = b.doc_values(spark, sf, "abstract", "quality")
+    values = b.doc_values(spark, sf, *b.DOC_FIELDS)
     condition = ~(search.has_field("quality") | search.any_word(WORD))
     return search.match_values(values, condition, b.doc_keys(spark, sf))
 
@@ -156,7 +157,7 @@ def q_null(spark, sf):
 
 @query(f"SELECT count(*) AS n FROM documents WHERE {_HAS_WORD} AND doc_id IN (SELECT doc_id FROM labels)")
 def count_query(spark, sf):
-    records = b.doc_records(spark, sf, "abstract", "quality")
+    records = b.doc_records(spark, sf)
     return search.count(search.match(records, nested.any_word(WORD) & nested.has_field("quality")))
 
 
@@ -169,7 +170,10 @@ def has_key(spark, sf):
 
 # --- index ----------------------------------------------------------------------------------
 
-_INDEX = f"SELECT DISTINCT unnest({sql_words('text')}) AS term, doc_id + 1 AS key FROM documents"
+_INDEX = f"""SELECT DISTINCT term, key FROM (
+  SELECT unnest({sql_words('text')}) AS term, doc_id + 1 AS key FROM documents
+  UNION ALL SELECT 'lang/' || {SQL_LANG}, doc_id + 1 FROM documents
+  UNION ALL SELECT CAST(quality AS VARCHAR), doc_id + 1 FROM labels) WHERE term IS NOT NULL"""
 
 
 @query(f"SELECT doc_id + 1 AS key, array_to_string({sql_words('text')}, ' ') AS terms FROM documents")
@@ -194,14 +198,16 @@ def url_terms(spark, sf):
 def build_index(spark, sf):
     """Built, stored sorted by term, and read back."""
     path = scratch_path(spark, "index")
-    index.write_index(index.index_rows(b.doc_values(spark, sf, "abstract")), path)
+    index.write_index(index.index_rows(b.doc_values(spark, sf, *b.DOC_FIELDS)), path)
     return index.read_index(spark, path)
 
 
 @query(f"SELECT doc_id + 1 AS key FROM documents WHERE {_HAS_WORD}")
 def index_lookup(spark, sf):
-    """A word through the index: agrees with the search by filter."""
-    return index.lookup(index.index_rows_nested(b.doc_records(spark, sf, "title", "abstract")), WORD)
+    """A word through a stored index: agrees with the search by filter."""
+    path = scratch_path(spark, "index")
+    index.write_index(index.index_rows_nested(b.doc_records(spark, sf)), path)
+    return index.lookup(index.read_index(spark, path), WORD)
 
 
 @query(f"""WITH idx AS ({_INDEX}),
@@ -211,14 +217,14 @@ def index_lookup(spark, sf):
            UNION ALL SELECT term, key FROM titles""")
 def index_update(spark, sf):
     """Labelled documents change: the good ones keep their title only, the others are deleted."""
-    rows = index.index_rows(b.doc_values(spark, sf, "abstract"))
+    rows = index.index_rows(b.doc_values(spark, sf, *b.DOC_FIELDS))
     titles = sets.members(b.doc_values(spark, sf, "title"), b.labelled_keys(spark, sf, 1))
     return index.update(rows, b.labelled_keys(spark, sf), titles)
 
 
 @query(f"WITH idx AS ({_INDEX}) SELECT term, count(*) AS n_records FROM idx GROUP BY term")
 def term_stats(spark, sf):
-    return index.term_stats(index.index_rows(b.doc_values(spark, sf, "abstract")))
+    return index.term_stats(index.index_rows(b.doc_values(spark, sf, *b.DOC_FIELDS)))
 
 
 @query(f"""SELECT doc_id + 1 AS key, CAST(len(list_distinct(list_concat({sql_words('text')},
@@ -304,15 +310,18 @@ def rs_remove(spark, sf):
     return sets.remove(_two_sets(spark, sf), 1, b.labelled_keys(spark, sf))
 
 
-@query(f"""SELECT CAST(2 AS BIGINT) AS rs_id, 'labelled' AS name, key FROM ({_LAB})""")
+@query(f"""SELECT CAST(2 AS BIGINT) AS rs_id, 'labelled' AS name, key FROM ({_LAB})
+           UNION ALL SELECT 3, 'emptied', NULL""")
 def rs_save_load(spark, sf):
-    """Three sets are saved, one is replaced, one dropped; the rest is listed and read."""
+    """Sets are saved, replaced, dropped and emptied; the rest is listed and read."""
     path = scratch_path(spark, "sets")
+    sets.save(path, 3, "emptied", b.doc_keys_in(spark, sf, "fr"))
+    sets.save(path, 3, "emptied", b.doc_keys_in(spark, sf, "none"))
     sets.save(path, 1, "english", b.doc_keys_in(spark, sf, "en"))
     sets.save(path, 2, "labelled", b.doc_keys_in(spark, sf, "de"))
     sets.save(path, 2, "labelled", b.labelled_keys(spark, sf))
     sets.drop(spark, path, 1)
-    return sets.listing(spark, path).join(sets.load(spark, path), "rs_id").select("rs_id", "name", "key")
+    return sets.listing(spark, path).join(sets.load(spark, path), "rs_id", "left").select("rs_id", "name", "key")
 
 
 @query(f"SELECT CAST(1 AS BIGINT) AS rs_id, count(*) AS n FROM ({_EN}) UNION ALL SELECT 2, count(*) FROM ({_LAB})")
@@ -360,7 +369,7 @@ def collate_members(spark, sf):
 
 
 @query("""SELECT c_custkey + 1 AS key, 'geo' AS attr, CASE WHEN c_acctbal > 0 THEN 2 ELSE 1 END AS n FROM customer
-          UNION ALL SELECT o_custkey + 1, 'date', count(*) FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey""")
+          UNION ALL SELECT o_custkey + 1, 'date', count(*) FROM orders GROUP BY o_custkey""")
 def field_arity(spark, sf):
     return sets.field_arity(b.cust_values(spark, sf, "geo", "date"))
 
@@ -368,24 +377,29 @@ def field_arity(spark, sf):
 # --- identifiers ----------------------------------------------------------------------------
 
 _ENRICHED = """
-ref AS (SELECT lower(p_name) AS t, lower(p_brand) AS l, lower(p_type) AS v, '10.1/' || p_partkey AS i FROM part WHERE p_size > 20),
-hits AS (SELECT t, l, v, count(*) AS n, min(i) AS i FROM ref GROUP BY t, l, v),
+ref AS (SELECT lower(p_name) AS t, replace(lower(p_brand), '#', ' ') AS l, lower(p_type) AS v, p_size AS p, 2000 + p_size % 2 AS y,
+               '10.1/' || p_partkey AS i FROM part),
+hits AS (SELECT t, l, v, p, y, count(*) AS n, min(i) AS i FROM ref GROUP BY t, l, v, p, y),
 enriched AS (
   SELECT l_orderkey, l_linenumber, l_partkey, coalesce(n, 0) AS n_hits, CASE WHEN n = 1 THEN i END AS found
   FROM lineitem JOIN part ON l_partkey = p_partkey
-  LEFT JOIN hits ON t = lower(p_name) AND l = lower(p_brand) AND v = lower(p_type))"""
+  LEFT JOIN hits ON t = CASE l_linenumber WHEN 1 THEN NULL ELSE lower(p_name) END AND l = replace(lower(p_brand), '#', ' ')
+    AND v = lower(p_type) AND p = CASE l_linenumber WHEN 2 THEN p_size + 1000 ELSE p_size END AND y = 2000 + p_size % 2)"""
 
 
 def _enriched(spark, sf):
-    """Each line item is a request with the coordinates of its part; the reference holds the
-    larger parts, some of which share coordinates."""
+    """Each line item is a request with the coordinates of its part, but the first lines have no
+    title and the second another page; the reference holds all parts, some with equal coordinates."""
     part = b.table(spark, sf, "part")
-    coords = lambda: enrich.coordinates(F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.lit(None), F.lit(None))
-    reference = part.filter(F.col("p_size") > 20).select(
-        *coords(), F.concat(F.lit("10.1/"), F.col("p_partkey").cast("string")).alias("identifier")
+    size, year = F.col("p_size"), F.lit(2000) + F.col("p_size") % 2
+    coords = lambda title, page: enrich.coordinates(title, F.col("p_brand"), F.col("p_type"), page, year)
+    reference = part.select(
+        *coords(F.col("p_name"), size), F.concat(F.lit("10.1/"), F.col("p_partkey").cast("string")).alias("identifier")
     )
     requests = b.table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
-    records = requests.select((F.col("l_partkey") + 1).alias("key"), *coords())
+    line = F.col("l_linenumber")
+    asked = coords(F.when(line != 1, F.col("p_name")), F.when(line == 2, size + 1000).otherwise(size))
+    records = requests.select((F.col("l_partkey") + 1).alias("key"), *asked)
     return enrich.enrich_identifiers(records, reference)
 
 

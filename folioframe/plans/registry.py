@@ -54,6 +54,6 @@ SQL_DATES = """
 dates AS (
   SELECT o_custkey + 1 AS key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos,
          strftime(o_orderdate, '%Y%m%d') AS sk, o_orderdate AS d
-  FROM orders WHERE o_orderstatus = 'F'
+  FROM orders
 ),
 datelists AS (SELECT key, list(sk ORDER BY pos) AS l FROM dates GROUP BY key)"""

@@ -134,6 +134,13 @@ def run(
     )
 
 
+def dense(df: DataFrame, group: Sequence[str], position: str = "pos") -> DataFrame:
+    """``position`` counted anew from 0 inside ``group``, in the same order."""
+    order = [*group, position]
+    ranked = unplace(run(place(df, order), group, {"_rank": ("count", F.lit(1))}))
+    return ranked.withColumn(position, (F.col("_rank") - 1).cast(df.schema[position].dataType)).select(*df.columns)
+
+
 def rank(df: DataFrame, group: Sequence[str], order: Order, name: str = "rank") -> DataFrame:
     """Rank from 1 inside ``group`` under a total order; groups may be of any size."""
     rows = place(df, [*group, *order])

@@ -65,13 +65,3 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the input comes in fewer pieces than there are cores.
-
-    For tables whose rows are expensive, like texts: a small table in one file would be the
-    work of a single task. A large table has more pieces than cores and stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    pieces = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if pieces < cores else df

@@ -47,22 +47,23 @@ def bibtex_lines(
     if keep is not None:
         values = values.join(keep.select("key").distinct(), "key", "left_semi")
     rows = resolve(values, items)
-    first = F.col("pos") == 0
-    # key and type of the entry: two short strings per record
-    heads = rows.filter(F.col("attr").isin("id", "doctype") & first).groupBy("key").agg(
-        F.max(F.when(F.col("attr") == "id", F.col("text"))).alias("id"),
-        F.max(F.when(F.col("attr") == "doctype", F.col("name"))).alias("kind"),
+    # key and type of the entry: the first of each, two short strings per record
+    heads = rows.filter(F.col("attr").isin("id", "doctype")).groupBy("key").agg(
+        F.min_by(F.col("text"), F.when(F.col("attr") == "id", F.col("pos"))).alias("id"),
+        F.min_by(F.col("name"), F.when(F.col("attr") == "doctype", F.col("pos"))).alias("kind"),
     )
     heads = values.select("key").distinct().join(heads, "key", "left")
     opened = F.concat(
         F.lit("@"), F.coalesce("kind", F.lit("misc")), F.lit("{"), F.coalesce(F.concat("id", F.lit(",")), F.lit(""))
     )
-    fields = rows.filter(~F.col("attr").isin("id", "doctype") & (first | ~_typed("date")))
+    fields = rows.filter(~F.col("attr").isin("id", "doctype"))
     # A date is written as its year, under the name readers know.
     fields = fields.withColumn("field", F.when(_typed("date"), "year").otherwise(F.col("attr")))
-    lasts = fields.groupBy("key", "field").agg(F.max("pos").alias("_last"))
+    lasts = fields.groupBy("key", "field").agg(F.min("pos").alias("_first"), F.max("pos").alias("_last"))
     shape = lasts.groupBy("key").agg(F.max("field").alias("_final"), F.max(F.length("field")).alias("_width"))
     fields = fields.join(lasts, ["key", "field"]).join(shape, "key")
+    first = F.col("pos") == F.col("_first")
+    fields = fields.filter(first | ~_typed("date")).withColumn("_last", F.when(_typed("date"), F.col("_first")).otherwise(F.col("_last")))
     text = _bibtex_value()
     for name, change in (hooks or {}).items():
         text = F.when(F.col("attr") == name, change(text)).otherwise(text)

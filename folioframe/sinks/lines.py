@@ -1,6 +1,6 @@
 """Writing records as lines of text.
 
-A value is a line, so no record is gathered anywhere: the lines are range-partitioned by key
+A value is a line, so no record is gathered in a row: the lines are range-partitioned by key
 and sorted. Every file holds whole records, in key order over the files.
 """
 
@@ -42,6 +42,7 @@ def frame(keys: DataFrame, opening: Column, closing: Column) -> DataFrame:
 
 def ordered(lines: DataFrame) -> DataFrame:
     order = ("key", "part", "field", "pos")
+    # By key alone: readers take files one by one, so a record may not go over a border.
     return lines.repartitionByRange("key").sortWithinPartitions(*order)
 
 

@@ -76,10 +76,11 @@ def entry_lines(values: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     line = F.struct(F.col("pos").alias("at"), F.col("_line").alias("line"))
     opening = F.struct(F.lit(ln.BEFORE).alias("at"), F.concat(F.lit("  <attribute id="), ln.quoted(F.col("attr")), F.lit(">")).alias("line"))
     closing = F.struct(F.lit(ln.AFTER).alias("at"), F.lit("  </attribute>").alias("line"))
-    # The first value of a field also brings the lines around the field.
-    around = F.when(F.col("pos") == 0, F.array(opening, line, closing)).otherwise(F.array(line))
-    body = rows.select("key", F.lit(1).alias("part"), F.col("attr").alias("field"), F.explode_outer(around).alias("_l"))
-    body = body.select("key", "part", "field", F.col("_l.at").alias("pos"), "_l.line")
+    # A field has its lines around it wherever its values start.
+    fields = values.select("key", "attr").distinct()
+    around = fields.select("key", "attr", F.explode(F.array(opening, closing)).alias("_l"))
+    body = rows.select("key", "attr", line.alias("_l")).unionByName(around)
+    body = body.select("key", F.lit(1).alias("part"), F.col("attr").alias("field"), F.col("_l.at").alias("pos"), "_l.line")
     opened = F.concat(F.lit(' <entry id="'), F.col("key").cast("string"), F.lit('">'))
     return body.unionByName(ln.frame(keys, opened, F.lit(" </entry>")))
 
@@ -160,8 +161,8 @@ def item_lines(items: DataFrame) -> DataFrame:
 
 
 def write_items(lines: DataFrame, path: str) -> None:
-    """One file per group at most: a group is one element."""
-    lines.repartition("grp").sortWithinPartitions("grp", "path").select("line").write.text(path)
+    """A large group may span several files, which follow each other in order."""
+    lines.repartitionByRange("grp", "path").sortWithinPartitions("grp", "path").select("line").write.text(path)
 
 
 def write_database(

@@ -21,6 +21,7 @@ from ..functions.latex import latex_decode
 from ..functions.names import let, read_person, split_names
 from ..model import Schema, partial_date, txo, union_all, values_of
 from ..operators.taxonomy import by_name
+from ..plans import scan
 from ..session import cut
 from .common import Ingest, file_place, keyed, violations
 
@@ -224,14 +225,19 @@ def ingest_bibtex(
     def typed(kind: str, text: Column) -> DataFrame:
         return values_of(of(kind), F.col("key"), F.col("name"), zero, kind, text, present=F.col("raw").isNotNull())
 
-    people = of("person").select("key", "name", F.posexplode(split_names(F.col("raw"))).alias("pos", "one"))
+    names = of("person").select("key", "name", F.posexplode(split_names(F.col("raw"))).alias("pos", "one"))
     whole = F.col("one").rlike(r"^\{(?:[^{}]|\{[^{}]*\})*\}$")
     plain = latex_decode(F.col("one"))
     text = F.when(whole, F.concat(F.lit("{"), plain, F.lit("}"))).otherwise(plain)
-    people = people.withColumn("_read", let(text, read_person))
-    people = people.select("key", "name", "pos", "one", "_read.rule", "_read.person")
+    names = names.withColumn("_read", let(text, read_person))
     # One branch takes the persons, another the names nobody can read: read them once.
-    people = cut(people)
+    names = cut(names.select("key", "name", "pos", "one", "_read.rule", "_read.person"))
+    # A name that cannot be read leaves no gap: the fields that have one are counted anew.
+    odd = names.filter(F.col("person").isNull()).select("key", "name").distinct()
+    people = names.filter(F.col("person").isNotNull())
+    people = people.join(odd, ["key", "name"], "left_anti").unionByName(
+        scan.dense(people.join(odd, ["key", "name"], "left_semi").select(*names.columns), ["key", "name"])
+    )
 
     named = found.select("key", "cite_key", F.lower("type").alias("type"))
     coded = by_name(named, items, schema.attrs["doctype"].grp, "type")
@@ -259,7 +265,7 @@ def ingest_bibtex(
         [
             violations(entry_rows.filter(F.col("kind") == "error"), F.lit(None), "unbalanced", F.col("raw")),
             violations(fields.filter(~F.col("name").isin(known)), F.col("name"), "unknown_attribute", F.col("name")),
-            violations(people.filter(F.col("rule") == "error"), F.col("name"), "unreadable", F.col("one"), F.col("pos")),
+            violations(names.filter(F.col("rule") == "error"), F.col("name"), "unreadable", F.col("one"), F.col("pos")),
             violations(coded.filter(F.col("id").isNull()), F.lit("doctype"), "unknown_item", F.col("type")),
             violations(bad_year, F.lit("date"), "unreadable", F.col("text")),
             violations(bad_month, F.lit("date"), "unreadable", F.col("text")),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import PERSON, QUAL, TXO, VALUE, VALUE_COLUMNS, Attribute, Qualifier, Schema, SchemaError, partial_date, union_all
+from ..operators.taxonomy import check_names
 from ..plans import scan
 from ..schemas import ITEMS
 from ..session import cut
@@ -110,16 +111,40 @@ def ingest_native_xml(spark: SparkSession, path: str, schema: Schema | None = No
     return Ingest(values, union_all(wrong), spark.createDataFrame([], "tag string, n bigint"))
 
 
+def _tags(spark: SparkSession, path: str, names: str) -> DataFrame:
+    """One row per tag of the given names, in file order: ``_file, _block, _mid, end, tag, value``.
+
+    The text source cuts at ``<``, so it does not matter how the tags lie on lines.
+    """
+    pieces = spark.read.option("lineSep", "<").text(path)
+    pieces = pieces.select(*file_place(), F.monotonically_increasing_id().alias("_mid"), "value")
+    name = F.regexp_extract("value", rf"^(/?)({names})(?=[\s/>])", 2)
+    return pieces.select(
+        "_file", "_block", "_mid", F.col("value").startswith("/").alias("end"), name.alias("tag"), "value"
+    ).filter(F.col("tag") != "")
+
+
+def _attribute(name: str) -> Column:
+    """An XML attribute in quotes of either kind, NULL when there is none."""
+    pattern = rf"\b{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
+    text = F.concat(F.regexp_extract("value", pattern, 1), F.regexp_extract("value", pattern, 2))
+    return F.when(F.col("value").rlike(pattern), _unescape(text))
+
+
+def _unescape(text: Column) -> Column:
+    for entity, mark in (("&#10;", "\n"), ("&#13;", "\r"), ("&#9;", "\t"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
+                         ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(mark))
+    return text
+
+
 def read_sets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(rs_id, key)`` and ``(rs_id, name)``. A set may be larger than a row should be, so its
-    lines are read, and each reference takes the set opened last before it."""
-    lines = spark.read.text(path).select(*file_place(), F.monotonically_increasing_id().alias("_mid"), "value")
-    tag = F.regexp_extract("value", r"<(resultset|ref)\b", 1)
-    rows = lines.select(
-        "_file", "_block", "_mid", tag.alias("tag"),
-        F.regexp_extract("value", r'\bid="(\d+)"', 1).try_cast("bigint").alias("id"),
-        F.regexp_extract("value", r'\bname="([^"]*)"', 1).alias("name"),
-    ).filter(F.col("tag") != "")
+    tags are read, and each reference takes the set opened last before it."""
+    rows = _tags(spark, path, "resultset|ref").filter(~F.col("end"))
+    rows = rows.select(
+        "_file", "_block", "_mid", "tag", _attribute("id").try_cast("bigint").alias("id"), _attribute("name").alias("name")
+    )
     opened = F.when(F.col("tag") == "resultset", F.col("id"))
     rows = scan.unplace(scan.run(scan.place(rows, ["_file", "_block", "_mid"]), [], {"rs_id": ("last", opened)}))
     member = rows.filter(F.col("tag") == "ref").select("rs_id", F.col("id").alias("key")).distinct()
@@ -160,25 +185,44 @@ def load_schema(spark: SparkSession, path: str, schema_id: str = "") -> Schema:
     return Schema(schema_id, attrs)
 
 
-def load_items(spark: SparkSession, path: str, levels: int = 12) -> DataFrame:
-    """``(grp, id, parent, names)`` from the taxonomy groups of a schema file. A tree with more
-    levels than asked for is an error, not cut."""
-    node = f"_id:int,{_NAMES}"
-    kind = f"struct<{node},`txo-item`:string>"
-    for _ in range(levels):
-        kind = f"struct<{node},`txo-item`:array<{kind}>>"
-    rows = read_xml_document(spark, path, "txo-group", f"_id string, `txo-item` array<{kind}>")
-    level = rows.select(F.col("_id").alias("grp"), F.lit(None).cast("int").alias("parent"), F.explode("txo-item").alias("n"))
-    parts = []
-    for depth in range(levels + 1):
-        names = F.map_from_entries(
-            F.transform("n.name", lambda x: F.struct(F.coalesce(x["_lang"], F.lit("")), x["_VALUE"]))
-        )
-        parts.append(level.select("grp", F.col("n._id").alias("id"), "parent", names.alias("names")))
-        if depth < levels:
-            level = level.select("grp", F.col("n._id").alias("parent"), F.explode("n.txo-item").alias("n"))
-    if not level.filter(F.col("n.txo-item").isNotNull()).isEmpty():
-        raise SchemaError(f"taxonomy has more than {levels + 1} levels")
-    items = union_all(parts)
+def load_items(spark: SparkSession, path: str) -> DataFrame:
+    """``(grp, id, parent, names)`` from the taxonomy groups of a schema file, of any depth.
+
+    Tags are rows. The depth is a running sum over them, and whatever stands at a depth belongs
+    to the item opened last one level above. A name used twice in a group is an error.
+    """
+    tags = _tags(spark, path, "txo-group|txo-item|name")
+    tags = tags.select(
+        "_file", "_block", "_mid", "end", "tag", _attribute("id").alias("id"), F.coalesce(_attribute("lang"), F.lit("")).alias("lang"),
+        _unescape(F.regexp_extract("value", r"^[^>]*>([\s\S]*)$", 1)).alias("text"),
+        F.col("value").rlike(r"/>\s*$").alias("empty"),
+    )
+    move = F.when((F.col("tag") != "txo-item") | F.col("empty"), 0).when(F.col("end"), -1).otherwise(1)
+    group = F.when((F.col("tag") == "txo-group") & ~F.col("end"), F.col("id"))
+    outside = F.when(F.col("tag") == "txo-group", F.col("end"))
+    placed = scan.run(
+        scan.place(tags, ["_file", "_block", "_mid"]), [],
+        {"level": ("sum", move), "grp": ("last", group), "_out": ("last", outside)},
+    )
+    # Names of attributes stand outside the groups; so do tags before the first one.
+    rows = cut(placed.filter(~F.coalesce("_out", F.lit(True)) & ~F.col("end") & (F.col("tag") != "txo-group")))
+    item = F.col("tag") == "txo-item"
+    level = F.col("level").cast("int") - F.when(item & ~F.col("empty"), 1).otherwise(0)
+    own = F.when(item, F.col("id").try_cast("int"))
+    # An item opens its level for what stands in it, and asks the level above for its parent.
+    asks = rows.select("grp", level.alias("level"), "_at", F.lit(0).alias("_n"), "tag", own.alias("id"), "lang", "text", F.lit(None).cast("int").alias("opens"))
+    opens = asks.filter(F.col("tag") == "txo-item").select(
+        "grp", (F.col("level") + 1).alias("level"), "_at", F.lit(1).alias("_n"), F.lit("open").alias("tag"), "id", "lang", "text", F.col("id").alias("opens")
+    )
+    both = asks.unionByName(opens).withColumnRenamed("_at", "_seq")
+    found = scan.unplace(scan.run(scan.place(both, ["grp", "level", "_seq", "_n"]), ["grp", "level"], {"parent": ("last", F.col("opens"))}))
+    names = found.filter(F.col("tag") == "name").groupBy("grp", F.col("parent").alias("id")).agg(
+        F.map_from_entries(F.collect_list(F.struct("lang", "text"))).alias("names")
+    )
+    items = found.filter(F.col("tag") == "txo-item").select("grp", "id", "parent")
+    items = cut(items.join(names, ["grp", "id"], "left").select("grp", "id", "parent", "names"))
     assert [f.name for f in items.schema] == [c.split()[0] for c in ITEMS.split(", ")]
+    twice = check_names(items).first()
+    if twice is not None:
+        raise SchemaError(f"taxonomy {twice['grp']!r} has the name {twice['name']!r} twice")
     return items

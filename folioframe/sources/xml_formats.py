@@ -150,7 +150,7 @@ PMID {_TEXT},
 MedlineJournalInfo struct<MedlineTA:string>,
 Article struct<
   ArticleTitle:string,
-  Abstract:struct<AbstractText:string>,
+  Abstract:struct<AbstractText:array<string>>,
   Journal:struct<Title:string, ISSN:{_TEXT},
     JournalIssue:struct<Volume:string, Issue:string, PubDate:struct<Year:string, Month:string>>>,
   Pagination:struct<MedlinePgn:string>,
@@ -158,6 +158,12 @@ Article struct<
 """
 
 
+def _plain(text: Column) -> Column:
+    """Text without the inline markup that PubMed allows; with markup inside it comes escaped."""
+    marked = text.rlike(r"</(?:b|i|sup|sub|u)>")
+    return F.when(marked, _unescape(F.regexp_replace(text, r"</?(?:b|i|sup|sub|u)\b[^>]*>", ""))).otherwise(text)
+
+
 def ingest_pubmed_xml(spark: SparkSession, path: str) -> Ingest:
     """Reads PubMed citations. A journal without a title takes the short one."""
     rows = keyed(read_xml(spark, path, "MedlineCitation", " ".join(_PUBMED.split())))
@@ -182,8 +188,9 @@ def ingest_pubmed_xml(spark: SparkSession, path: str) -> Ingest:
         "key",
         attributes(
             pmid=one(value("id", F.col("PMID._VALUE"))),
-            title=one(value("text", article["ArticleTitle"])),
-            abstract=one(value("text", article["Abstract"]["AbstractText"])),
+            title=one(value("text", _plain(article["ArticleTitle"]))),
+            # An abstract in sections has several texts; the first is the abstract.
+            abstract=one(value("text", _plain(F.try_element_at(article["Abstract"]["AbstractText"], F.lit(1))))),
             journal=one(value("text", title, about)),
             author=authors,
         ).alias("attrs"),

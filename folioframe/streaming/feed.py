@@ -52,7 +52,8 @@ def apply_changes(state: DataFrame, changes: DataFrame) -> tuple[DataFrame, Data
 
 
 def next_state(state: DataFrame, judged: DataFrame) -> DataFrame:
-    last = F.max(F.struct("seq", "op", "payload"))
+    # The order is the sequence number alone; a payload is never compared.
+    last = F.max_by(F.struct("seq", "op", "payload"), "seq")
     news = judged.filter("valid").groupBy("key").agg(last.alias("_l")).select(
         "key",
         (F.col("_l.op") != "delete").alias("live"),

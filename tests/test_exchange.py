@@ -160,8 +160,14 @@ def test_schema_files(spark, tmp_path):
     path = write(tmp_path, "s.xml", good)
     assert native.load_schema(spark, path).attrs["a"].quals["q"].type == "text"
     assert sorted((r.id, r.parent) for r in native.load_items(spark, path).collect()) == [(1, None), (2, 1), (3, 2), (4, None)]
+    deep = "".join(f"<txo-item id='{i}'>\n<name lang='C'>level &amp; {i}</name>" for i in range(1, 41)) + "</txo-item>" * 40
+    deep = f"<s><txo-group id='deep'>{deep}</txo-group><txo-group id='g'><txo-item id='1'><name>a</name></txo-item></txo-group></s>"
+    found = {(r.grp, r.id): r for r in native.load_items(spark, write(tmp_path, "d.xml", deep)).collect()}
+    assert len(found) == 41 and all(found["deep", i].parent == (i - 1 or None) for i in range(1, 41))
+    assert found["deep", 7].names == {"C": "level & 7"} and found["g", 1].parent is None
+    again = "<s><txo-group id='g'><txo-item id='1'><name lang='C'>a</name></txo-item><txo-item id='2'><name lang='C'>a</name></txo-item></txo-group></s>"
     with pytest.raises(m.SchemaError):
-        native.load_items(spark, path, levels=1)
+        native.load_items(spark, write(tmp_path, "again.xml", again))
     twice = write(tmp_path, "t.xml", '<s><attribute id="a" type="text"/><attribute id="a" type="url"/></s>')
     with pytest.raises(m.SchemaError):
         native.load_schema(spark, twice)
@@ -195,3 +201,28 @@ def test_enrich(spark):
     got = enrich.enrich_identifiers(asked.withColumnRenamed("k", "key"), reference.withColumnRenamed("k", "identifier"))
     assert {r.key: (r.n_hits, r.found) for r in got.collect()} == {"1": (1, "d1"), "2": (2, None), "3": (0, None)}
     assert tuple(enrich.statistics(got).first()) == (1, 1, 1)
+
+
+def test_sets_in_any_layout(spark, tmp_path):
+    text = """<db><resultset id="1" name='a &amp; "b"'><ref id="1"/><ref id="2"/></resultset><resultset id="2"><ref
+ id="7"/></resultset>
+<resultset name="empty" id="3"></resultset></db>"""
+    member, meta = native.read_sets(spark, write(tmp_path, "sets.xml", text))
+    assert sorted(map(tuple, member.collect())) == [(1, 1), (1, 2), (2, 7)]
+    assert sorted(map(tuple, meta.collect())) == [(1, 'a & "b"'), (2, None), (3, "empty")]
+
+
+def test_unreadable_names_leave_no_gap(spark, tmp_path):
+    path = write(tmp_path, "odd.bib", "@article{k, author = {Aa Bb Cc Dd and, and John Smith and Eve Jones}, title = {T}}\n")
+    kinds = schemas.bibtex_items(spark)
+    got = bibtex.ingest_bibtex(spark, path, schemas.BIBTEX, kinds)
+    authors = got.values.filter("attr = 'author'").select("pos", "person.last").collect()
+    assert sorted(r.pos for r in authors) == list(range(len(authors)))
+    text = [r.line.strip() for r in lines.ordered(formats.bibtex_lines(got.values, kinds)).collect()]
+    assert sum(x.startswith("author") for x in text) == 1
+    # The sinks do not rely on positions that start at 0 either.
+    gaps = got.values.filter("attr <> 'author' OR pos > 0")
+    text = [r.line.strip() for r in lines.ordered(formats.bibtex_lines(gaps, kinds)).collect()]
+    assert sum(x.startswith("author") for x in text) == (len(authors) > 1)
+    xml = "".join(r.line for r in lines.ordered(native_xml.entry_lines(gaps)).collect())
+    assert xml.count("<attribute") == xml.count("</attribute>") > 0

@@ -113,3 +113,10 @@ def test_bibliography(spark, sample, tmp_path):
 def test_rekey(spark):
     old, new = cite.numeric_keys(cites(spark, [1, 2, 3])), cite.numeric_keys(cites(spark, [2, 3]))
     assert sorted((r.uid, r.old_key, r.new_key) for r in cite.rekey_changed(old, new).collect()) == [(2, "2", "1"), (3, "3", "2")]
+
+
+def test_accents_come_from_unicode(spark):
+    coded = ["\\.e", "\\v{c}", "\\v c", "\\H{o}", "\\u{a}", "\\k{e}", "\\r{u}", "\\={o}", "\\d{s}", "\\'\\j", "\\v{q}", "\\bf x"]
+    plain = ["ė", "č", "č", "ő", "ă", "ę", "ů", "ō", "ṣ", "j\u0301", "q\u030c", "bf x"]
+    assert column(spark, coded, latex.latex_decode) == plain
+    assert column(spark, column(spark, plain[:9], latex.latex_encode), latex.latex_decode) == plain[:9]

@@ -3,7 +3,7 @@ import random
 import pytest
 from conftest import items, keys, make_values
 from folioframe import model as m
-from folioframe.operators import index, search, taxonomy
+from folioframe.operators import index, search, sets, taxonomy
 from folioframe.operators.search import nested, stored
 from pyspark.sql import functions as F
 
@@ -141,3 +141,26 @@ def test_stored_index(spark, tmp_path):
     stored_ = index.read_index(spark, path)
     assert len(keys(index.lookup(stored_, "HOT"))) == 59 and keys(index.lookup(stored_, "w7")) == [7]
     assert "PushedFilters: [IsNotNull(term), EqualTo(term,hot)]" in index.lookup(stored_, "hot")._jdf.queryExecution().toString()
+
+
+def test_prune_moves_the_rest_up_and_collate_takes_the_first(spark):
+    tree = items(spark, [("g", 1, None, "top"), ("g", 2, 1, "below"), ("g", 3, None, "other")])
+    txo = lambda i: {"grp": "g", "id": i}
+    values = make_values(spark, [(1, "a", "txo", txo(1)), (1, "a", "txo", txo(2)), (1, "a", "txo", txo(3)), (2, "a", "txo", txo(3))])
+    left = taxonomy.prune(values, taxonomy.closure(tree))
+    assert sorted((r.key, r.pos, r.txo.id) for r in left.collect()) == [(1, 0, 2), (1, 1, 3), (2, 0, 3)]
+    gap = values.filter("pos > 0")
+    parts = {r.key: r.value for r in sets.collate(gap, "a", values.select("key")).collect()}
+    assert parts[1] == "g/2" and parts[2] is None
+
+
+def test_saving_a_set_empty(spark, tmp_path):
+    path, keys_ = str(tmp_path / "sets"), spark.range(3).withColumnRenamed("id", "key")
+    assert sets.listing(spark, path).count() == 0
+    sets.save(path, 1, "one", keys_)
+    sets.save(path, 2, "two", keys_.limit(1))
+    sets.save(path, 1, "one", keys_.limit(0))
+    assert sets.load(spark, path, 1).count() == 0 and sets.load(spark, path).count() == 1
+    assert sorted(map(tuple, sets.listing(spark, path).collect())) == [(1, "one"), (2, "two")]
+    sets.drop(spark, path, 2)
+    assert [r.rs_id for r in sets.listing(spark, path).collect()] == [1]
