@@ -205,15 +205,17 @@ class Parts:
 
 
 def _wholes(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    _, word_ends, first = words(block)
+    _, word_ends, _ = words(block)
     sizes = np.diff(block.at)
     # Borders: ends of words and, where white space ends a text, the end of the text.
-    inner = np.ones(len(word_ends), bool)
+    border = np.zeros(len(block.data) + 1, bool)
+    border[word_ends] = True
     raw = block.data.tobytes()
     for match in _ODD_SPACE.finditer(raw):
         row = int(np.searchsorted(block.at, match.start(), "right")) - 1
-        inner[first[row] : first[row + 1]] = False
-    ends = np.union1d(word_ends[inner], block.at[1:][sizes > 0])
+        border[block.at[row] + 1 : block.at[row + 1]] = False
+    border[block.at[1:][sizes > 0]] = True
+    ends = np.flatnonzero(border)
     starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
     return starts, ends, np.searchsorted(starts, block.at)
 

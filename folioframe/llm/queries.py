@@ -76,7 +76,8 @@ def op3_deleted_interpolation(spark: SparkSession, sf: str) -> DataFrame:
 # Token ids come from a tokenizer file.
 @query()
 def op4_harmonic_packing(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.pack(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
+    paths = map(public_tokenizers.path, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
+    return packing.pack(documents(spark, sf), *paths)
 
 
 # A fitted model.
