@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -145,25 +146,61 @@ def entries(text: str) -> Iterator[tuple]:
         at = end
 
 
+_BRACE = re.compile(r"\\.|([{}])", re.S)
+
+
+def _open_braces(text: str) -> int:
+    return sum(1 if b == "{" else -1 for b in _BRACE.findall(text) if b)
+
+
+def _whole(pieces: Iterator[str]) -> Iterator[list[str]]:
+    """Pieces of a block that belong together: a line that starts with ``@`` inside braces is
+    no new entry. A piece that never closes stands alone."""
+    held: list[str] = []
+    depth = 0
+    for piece in pieces:
+        held.append(piece)
+        depth += _open_braces(piece)
+        if depth <= 0:
+            yield held
+            held, depth = [], 0
+    while held:
+        depth = 0
+        for n, piece in enumerate(held, 1):
+            depth += _open_braces(piece)
+            if depth <= 0:
+                break
+        else:
+            n = 1
+        yield held[:n]
+        held = held[n:]
+
+
+def _parsed(pieces: list[str]) -> list[tuple]:
+    found = list(entries("\n".join(pieces)))
+    if len(pieces) > 1 and any(e[0] == "error" for e in found):
+        return [e for piece in pieces for e in entries(piece)]
+    return found
+
+
 def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Entries of the pieces of a partition. ``at`` counts the entries of each block."""
-    block, at = None, 0
     names = [c.split()[0] for c in _ENTRIES.split(", ")]
-    for batch in batches:
-        rows = []
-        for file, start, value in zip(batch["_file"], batch["_block"], batch["value"]):
-            first = block != (file, start)
-            if first:
-                block, at = (file, start), 0
-            # The separator took the @, except at the start of a file.
-            text = value if first and start == 0 else "@" + value
-            for kind, type_, key, fields, raw in entries(text):
-                nested = [
-                    {"name": n, "parts": [{"bare": b, "text": t} for b, t in parts]} for n, parts in fields.items()
-                ]
+    lines = (row for batch in batches for row in zip(batch["_file"], batch["_block"], batch["value"]))
+    rows: list[tuple] = []
+    for (file, start), block in groupby(lines, key=lambda row: row[:2]):
+        at = 0
+        # The separator took the @, except at the start of a file.
+        texts = (value if n == 0 and start == 0 else "@" + value for n, (*_, value) in enumerate(block))
+        for pieces in _whole(texts):
+            for kind, type_, key, fields, raw in _parsed(pieces):
+                nested = [{"name": n, "parts": [{"bare": b, "text": t} for b, t in parts]} for n, parts in fields.items()]
                 rows.append((file, start, at, kind, type_, key, nested, raw))
                 at += kind == "entry"
-        yield pd.DataFrame(rows, columns=names)
+            if len(rows) >= 1000:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
+    yield pd.DataFrame(rows, columns=names)
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
@@ -180,10 +217,17 @@ def _expand(fields: DataFrame, strings: DataFrame) -> DataFrame:
     plain = plain.select("key", "name", joined.alias("raw"))
     months = F.create_map(*[F.lit(x) for pair in MONTH_MACROS.items() for x in pair])
     parts = fields.filter(F.exists("parts", lambda p: p["bare"])).select(
-        "_file", "key", "name", F.posexplode("parts").alias("n", "p")
+        "_file", "_block", "_mid", "key", "name", F.posexplode("parts").alias("n", "p")
+    )
+    parts = parts.select(
+        "_file", "_block", "_mid", "key", "name", "n", "p.text", F.when(F.col("p.bare"), F.lower("p.text")).alias("macro")
     )
-    parts = parts.select("_file", "key", "name", "n", "p.text", F.when(F.col("p.bare"), F.lower("p.text")).alias("macro"))
-    resolved = parts.join(strings, ["_file", "macro"], "left")
+    # A use takes the last definition before it: definitions and uses in file order.
+    order = ["_file", "macro", "_block", "_mid", "key", "name", "n"]
+    uses = parts.filter(F.col("macro").isNotNull()).unionByName(strings, allowMissingColumns=True)
+    known = scan.run(scan.place(uses, order), ["_file", "macro"], {"definition": ("last", F.col("defined"))})
+    known = scan.unplace(known).filter(F.col("key").isNotNull()).drop("defined")
+    resolved = parts.filter(F.col("macro").isNull()).unionByName(known, allowMissingColumns=True)
     text = F.when(F.col("macro").isNull(), F.col("text")).otherwise(
         F.coalesce("definition", F.try_element_at(months, F.col("macro")), "text")
     )
@@ -205,11 +249,14 @@ def ingest_bibtex(
         found = found.filter(keep())
     strings = (
         entry_rows.filter(F.col("kind") == "string")
-        .select("_file", F.struct("_block", "_mid").alias("seq"), F.explode("fields").alias("f"))
-        .groupBy("_file", F.col("f.name").alias("macro"))
-        .agg(F.max_by(F.array_join(F.transform(F.col("f.parts"), lambda p: p["text"]), ""), F.col("seq")).alias("definition"))
+        .select("_file", "_block", "_mid", F.explode("fields").alias("f"))
+        .select(
+            "_file", "_block", "_mid", F.col("f.name").alias("macro"),
+            F.array_join(F.transform(F.col("f.parts"), lambda p: p["text"]), "").alias("defined"),
+        )
     )
-    fields = _expand(found.select("_file", "key", F.explode("fields").alias("f")).select("_file", "key", "f.*"), strings)
+    place = ["_file", "_block", "_mid", "key"]
+    fields = _expand(found.select(*place, F.explode("fields").alias("f")).select(*place, "f.*"), strings)
     for name, change in (hooks or {}).items():
         fields = fields.withColumn("raw", F.when(F.col("name") == name, change(F.col("raw"))).otherwise(F.col("raw")))
 

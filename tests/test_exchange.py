@@ -226,3 +226,25 @@ def test_unreadable_names_leave_no_gap(spark, tmp_path):
     assert sum(x.startswith("author") for x in text) == (len(authors) > 1)
     xml = "".join(r.line for r in lines.ordered(native_xml.entry_lines(gaps)).collect())
     assert xml.count("<attribute") == xml.count("</attribute>") > 0
+
+
+def test_at_signs_in_fields_and_macros_by_place(spark, tmp_path):
+    text = """@string{x = {Old}}
+@article{a, title = x # { one}, note = {go
+@home please
+and {deep
+@article{not, title = {here}}
+} on}, year = 2001}
+@string{x = {New}}
+@article{b, title = X}
+@article{open, title = {never closes}
+@article{c, title = {after}}
+"""
+    kinds = schemas.bibtex_items(spark)
+    got = bibtex.ingest_bibtex(spark, write(tmp_path, "at.bib", text), schemas.BIBTEX, kinds)
+    names = {r.key: r.text for r in got.values.filter("attr = 'id'").collect()}
+    titles = {names[r.key]: r.text for r in got.values.filter("attr = 'title'").collect()}
+    assert titles == {"a": "Old one", "b": "New", "c": "after"}
+    notes = [r.text for r in got.values.filter("attr = 'note'").collect()]
+    assert len(notes) == 1 and "@home please" in notes[0]
+    assert [r.rule for r in got.violations.filter("rule = 'unbalanced'").collect()] == ["unbalanced"]
