@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,9 +52,35 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_made: list[str] = []  # paths of this process's tables in the shared folder
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+@contextmanager
+def scratch_tables() -> Iterator[list[str]]:
+    """Collects the paths of the tables that are made inside, for ``drop_tables``."""
+    paths: list[str] = []
+    before = len(_made)
+    try:
+        yield paths
+    finally:
+        paths += _made[before:]
+
+
+def drop_tables(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes tables of the shared folder once nothing reads them any more: those given, or all
+    that this process has made."""
+    for path in list(_made) if paths is None else paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        if path in _made:
+            _made.remove(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
