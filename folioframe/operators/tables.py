@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -225,15 +227,10 @@ def purge(entries: DataFrame, cited: DataFrame) -> DataFrame:
 
 # --- storing -------------------------------------------------------------------------------
 
+# Every save is a folder of its own, complete before a row is added to the table that names the
+# versions. Nothing is renamed, so there is a whole database at any moment on any file system.
 
-def create(path: str, values: DataFrame, schema: Schema, items: DataFrame, header: str = "") -> None:
-    """Stores a new database; an existing one is refused."""
-    spark = values.sparkSession
-    values.select(*KEYED_COLUMNS).write.mode("errorifexists").parquet(f"{path}/values")
-    schema.attr_table(spark).write.parquet(f"{path}/schema_attr")
-    schema.qual_table(spark).write.parquet(f"{path}/schema_qual")
-    items.write.parquet(f"{path}/txo_item")
-    spark.createDataFrame([(header,)], "header string").write.parquet(f"{path}/header")
+_VERSIONS = "seq bigint, version string"
 
 
 def _folder(spark: SparkSession, path: str):
@@ -241,22 +238,54 @@ def _folder(spark: SparkSession, path: str):
     return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def save(path: str, values: DataFrame, schema: Schema, items: DataFrame, header: str = "") -> None:
-    """Stores a database again. The new one is complete before the old one becomes ``.bak``,
-    so ``values`` may be read from the old one."""
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """The versions that are kept, the latest first: two rows at most."""
+    folder, fs = _folder(spark, f"{path}/current")
+    if not fs.exists(folder):
+        return []
+    rows = spark.read.schema(_VERSIONS).parquet(f"{path}/current").orderBy(F.desc("seq")).limit(2).collect()
+    return [(r.seq, r.version) for r in rows]
+
+
+def create(path: str, values: DataFrame, schema: Schema, items: DataFrame, header: str = "", **more: DataFrame) -> None:
+    """Stores a new database; an existing one is refused. ``more`` are further tables that belong
+    to it: ``member`` and ``meta`` of its result sets, ``index``."""
+    if _versions(values.sparkSession, path):
+        raise FileExistsError(f"there is a database in {path}")
+    save(path, values, schema, items, header, **more)
+
+
+def save(path: str, values: DataFrame, schema: Schema, items: DataFrame, header: str = "", **more: DataFrame) -> None:
+    """Stores a database again. The version before stays, so ``values`` may be read from it, and
+    ``open_tables(..., back=1)`` opens it; older ones go."""
     spark = values.sparkSession
-    create(f"{path}.next", values, schema, items, header)
-    (new, fs), (old, _), (backup, _) = (_folder(spark, p) for p in (f"{path}.next", path, f"{path}.bak"))
-    fs.delete(backup, True)
-    if fs.exists(old):
-        fs.rename(old, backup)
-    fs.rename(new, old)
-
-
-def open_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of a stored database; fails when there is none."""
-    names = ("values", "schema_attr", "schema_qual", "txo_item", "header")
-    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+    kept = _versions(spark, path)
+    version = uuid.uuid4().hex
+    place = f"{path}/versions/{version}"
+    values.select(*KEYED_COLUMNS).write.parquet(f"{place}/values")
+    schema.attr_table(spark).write.parquet(f"{place}/schema_attr")
+    schema.qual_table(spark).write.parquet(f"{place}/schema_qual")
+    items.write.parquet(f"{place}/txo_item")
+    spark.createDataFrame([(header,)], "header string").write.parquet(f"{place}/header")
+    for name, table in more.items():
+        table.write.parquet(f"{place}/{name}")
+    seq = kept[0][0] + 1 if kept else 1
+    spark.createDataFrame([(seq, version)], _VERSIONS).coalesce(1).write.mode("append").parquet(f"{path}/current")
+    for _, old in kept[1:]:
+        folder, fs = _folder(spark, f"{path}/versions/{old}")
+        fs.delete(folder, True)
+
+
+def open_tables(spark: SparkSession, path: str, back: int = 0) -> dict[str, DataFrame]:
+    """The tables of a stored database, or of the version before with ``back=1``; fails when
+    there is none."""
+    kept = _versions(spark, path)
+    if len(kept) <= back:
+        raise FileNotFoundError(f"no database in {path}")
+    place = f"{path}/versions/{kept[back][1]}"
+    folder, fs = _folder(spark, place)
+    names = sorted(status.getPath().getName() for status in fs.listStatus(folder))
+    return {name: spark.read.parquet(f"{place}/{name}") for name in names}
 
 
 def destroy_tables(spark: SparkSession, path: str) -> None:

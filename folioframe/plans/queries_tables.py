@@ -229,16 +229,25 @@ def purge_by_citation_key(spark, sf):
 
 
 @query(f"""SELECT c_custkey + 1 AS key, 'name' AS attr, c_name AS value, 'customers of all nations' AS header FROM customer
-           UNION ALL SELECT c_custkey + 1, 'segment', 'segment/' || ({SQL_SEGMENT}), 'customers of all nations' FROM customer""")
+           UNION ALL SELECT c_custkey + 1, 'segment', 'segment/' || ({SQL_SEGMENT}), 'customers of all nations' FROM customer
+           UNION ALL SELECT c_custkey + 1, 'member of rich', '7', 'customers of all nations' FROM customer WHERE c_acctbal > 0""")
 def save_tables(spark, sf):
-    """Stored, opened and read back."""
+    """Stored with a result set, saved again, opened and read back."""
     path = scratch_path(spark, "database")
-    tables.create(
-        path, b.cust_values(spark, sf, "name", "segment"), CUST_SCHEMA,
-        b.name_items(spark, "segment", b.SEGMENTS), "customers of all nations",
+    rich = b.table(spark, sf, "customer").filter(F.col("c_acctbal") > 0).select(b.cust_key().alias("key"))
+    items = b.name_items(spark, "segment", b.SEGMENTS)
+    tables.create(path, b.cust_values(spark, sf, "name"), CUST_SCHEMA, items)
+    tables.save(
+        path, b.cust_values(spark, sf, "name", "segment"), CUST_SCHEMA, items, "customers of all nations",
+        member=sets.of(rich, 7), meta=spark.createDataFrame([(7, "rich")], "rs_id bigint, name string"),
     )
     stored = tables.open_tables(spark, path)
     values = stored["values"].select("key", "attr", m.payload_text().alias("value"))
+    # the names of sets are few
+    member = stored["member"].join(F.broadcast(stored["meta"]), "rs_id")
+    values = values.unionByName(
+        member.select("key", F.concat(F.lit("member of "), "name").alias("attr"), F.col("rs_id").cast("string").alias("value"))
+    )
     # the header is one row
     return values.join(F.broadcast(stored["header"]))
 
