@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = (1 << 20) - 1
 
 # White space of the word rule: space and the five controls from tab to carriage return.
 SPACE = np.zeros(256, bool)
@@ -78,6 +78,8 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES, column:
                 batch.slice(first, last - first), data[at[first] : at[last]], at[first : last + 1] - at[first]
             )
             first = last
+    # Workers are used again by other operators: give back what the batches took.
+    pa.default_memory_pool().release_unused()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -40,8 +40,8 @@ CAPACITY = 2048
 END = 1
 FINE = 16
 FAN = 64
-BLOCK = 12 << 20
-KNOWN = 350_000
+BLOCK = 4 << 20
+KNOWN = 120_000
 # Printable ASCII and white space, and the letters U+00C0 to U+017F.
 _PLAIN = re.compile(rb"(?:[\t-\r -~]|[\xc3-\xc5][\x80-\xbf])*")
 _ROUND_BITS, _WORKER_BITS = 59, 32  # round | worker | number in the worker

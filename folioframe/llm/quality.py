@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .blocks import SPACE, Block, Parts, batch, blocks, mixed, row_sums, spread, texts
 
-BLOCK = 8 << 20
+BLOCK = 3 << 20
 WINDOW = 8
 MIN_WORDS, MAX_REPEATED = 20, 30  # words; percent of words in repeated windows
 _SYMBOL = np.zeros(256, bool)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .blocks import Parts, batch, blocks, row_sums, texts
 from .vocabulary import ranks
 
-BLOCK = 12 << 20
+BLOCK = 6 << 20
 
 
 class Automaton:
