@@ -167,12 +167,16 @@ def shard_links(fps: list[int], radius: int) -> Iterator[tuple[int, int]]:
                 yield i, new
 
 
-def nearest_links(fps: list[int], radius: int) -> Iterator[tuple[int, int, int]]:
+def nearest_links(fps: list[int], radius: int, groups: list[int] | None = None) -> Iterator[tuple[int, int, int]]:
     """As ``shard_links`` with the distance, the closest pairs first: a least spanning tree.
+    Fingerprints of one of the ``groups`` are joined to begin with.
 
     Two fingerprints are then joined in steps that are each no longer than their own distance.
     """
     tree, parts, pairs = BKTree(), Parts(len(fps)), []
+    seen: dict[int, int] = {}
+    for i, group in enumerate(groups or []):
+        parts.join(i, seen.setdefault(group, i))
     for j, fp in enumerate(fps):
         pairs += [(fp ^ fps[i]).bit_count() << 48 | i << 24 | j for i in tree.near(fp, radius)]
         tree.add(fp)

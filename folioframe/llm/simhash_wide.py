@@ -10,7 +10,9 @@ At such distances no block of bits is sure to agree, so shards are drawn by chan
 shard. A pair at the limit meets in one of them with a probability of 0.998 (0.98 if it differs
 in one deviation more), closer pairs almost surely. A shard is searched by its BK-tree over half
 of the fingerprint bits, as in ``simhash``, and returns a least spanning tree of the pairs it
-finds, so a group of copies gives about as many links as it has documents. Chance company in a
+finds, so a group of copies gives about as many links as it has documents. The first ``EARLY``
+tables come first: what their sure links join is one from then on, and the other tables only
+return links between groups. Chance company in a
 shard is one document for each 2 ** ``SAMPLE`` documents; larger corpora want more bits and tables.
 
 A shard larger than ``SHARD`` is dealt again by more bits of its table, in a new shuffle, until
@@ -34,7 +36,7 @@ from .simhash import majority_bits, nearest_links, shingle_hashes
 
 WORDS, BITS, SIMILAR = 5, 256, 0.8
 SURE, RADIUS, NEAR = 22, 56, 36  # differing bits of all; of the first half, in a shard
-TABLES, SAMPLE, MORE, SHARD = 128, 18, 12, 1024
+TABLES, EARLY, SAMPLE, MORE, SHARD = 128, 16, 18, 12, 1024
 _SEEDS = [0, 0x51ED270B1F9A3C4D, 0x2B7E151628AED2A6, 0x6A09E667F3BCC909]
 _WHOLE = ["f0", "f1", "f2", "f3"]
 _HALF = _WHOLE[:2]
@@ -79,9 +81,9 @@ def marks(rows: DataFrame, words: int) -> DataFrame:
     return texts(rows, "_row").mapInArrow(run, ", ".join(f"{n} long" for n in ("doc_id", "_row", *_WHOLE)))
 
 
-def _dealt(nodes: DataFrame) -> DataFrame:
-    """Every node once in each table: ``table, key, node`` and half of its fingerprint."""
-    names = ["node", *_HALF, "keys"]
+def _dealt(nodes: DataFrame, first: int, last: int) -> DataFrame:
+    """Every node once in each table: ``table, key, node``, its group and half of its fingerprint."""
+    names = ["node", "part", *_HALF, "keys"]
     schema = pa.schema([*((n, pa.int64()) for n in names[:-1]), ("keys", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,45 +92,49 @@ def _dealt(nodes: DataFrame) -> DataFrame:
             for at in range(0, own.num_rows, 2000):
                 part = own.slice(at, 2000)
                 bits = _bits(_numbers(part, _WHOLE)).astype(np.int32)
-                keys = np.stack([bits[:, order[:SAMPLE]] @ weights for order in _orders(BITS)], axis=1)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * TABLES), pa.array(keys.ravel()))
+                keys = np.stack([bits[:, order[:SAMPLE]] @ weights for order in _orders(BITS)[first:last]], axis=1)
+                ends = np.arange(len(keys) + 1, dtype=np.int32) * (last - first)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
                 yield batch(schema, *(part[n] for n in names[:-1]), lists)
 
-    keyed = nodes.select("node", *_WHOLE).mapInArrow(run, "node long, f0 long, f1 long, keys array<int>")
-    return keyed.select(F.posexplode("keys").alias("table", "key"), "node", *_HALF).withColumn("key", F.col("key").cast("long"))
+    keyed = nodes.select("node", "part", *_WHOLE).mapInArrow(run, "node long, part long, f0 long, f1 long, keys array<int>")
+    dealt = keyed.select(F.posexplode("keys").alias("table", "key"), "node", "part", *_HALF)
+    return dealt.withColumns({"table": F.col("table") + first, "key": F.col("key").cast("long")})
 
 
 def _searched(dealt: DataFrame, used: int, size: int) -> DataFrame:
     """Links ``a, b`` of small shards, and the rows of large ones with a finer key."""
     whole = BITS // 2
     schema = pa.schema(
-        [("a", pa.int64()), ("b", pa.int64()), ("table", pa.int32()), *((n, pa.int64()) for n in ("key", "node", *_HALF))]
+        [("a", pa.int64()), ("b", pa.int64()), ("table", pa.int32()), *((n, pa.int64()) for n in ("key", "node", "part", *_HALF))]
     )
 
     def again(rows: np.ndarray) -> pa.RecordBatch:
-        """``rows``: table, key, node and half fingerprints, one shard or a part of it."""
+        """``rows``: table, key, node, part and half fingerprints, one shard or a piece of it."""
         order = _orders(whole)[rows[0, 0], used : used + MORE]
-        more = _bits(list(rows[3:]))[:, order].astype(np.uint64) @ (np.uint64(1) << np.arange(len(order), dtype=np.uint64))
+        more = _bits(list(rows[4:]))[:, order].astype(np.uint64) @ (np.uint64(1) << np.arange(len(order), dtype=np.uint64))
         finer = mixed(rows[1].view(np.uint64) + mixed(more + np.uint64(1))).view(np.int64)
         none = [None] * rows.shape[1]
         return batch(schema, none, none, rows[0].astype(np.int32), finer, *rows[2:])
 
     def linked(rows: np.ndarray) -> list[tuple]:
-        halves = rows[3:].astype(np.uint64).tolist()
-        found = nearest_links([x << 64 | y for x, y in zip(*halves)], NEAR)
-        node = rows[2]
+        node, part = rows[2:4].tolist()
+        if len(set(part)) == 1:
+            return []
+        halves = rows[4:].astype(np.uint64).tolist()
+        found = nearest_links([x << 64 | y for x, y in zip(*halves)], NEAR, part)
         return [(node[i], node[j]) for i, j, _ in found]
 
     def give(links: list[tuple]) -> Iterator[pa.RecordBatch]:
         if links:
             none = [None] * len(links)
-            yield batch(schema, *zip(*links), none, none, none, none, none)
+            yield batch(schema, *zip(*links), none, none, none, none, none, none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((5, 0), np.int64)
+        held = np.zeros((6, 0), np.int64)
         large = None  # the shard that was found too large
         for own in batches:
-            new = np.stack([x.astype(np.int64) for x in _numbers(own, ["table", "key", "node", *_HALF])])
+            new = np.stack([x.astype(np.int64) for x in _numbers(own, ["table", "key", "node", "part", *_HALF])])
             new = np.ascontiguousarray(np.concatenate([held, new], axis=1))
             border = np.flatnonzero(np.any(new[:2, 1:] != new[:2, :-1], axis=0)) + 1
             border = np.concatenate(([0], border, [new.shape[1]])) if new.shape[1] else border
@@ -151,16 +157,16 @@ def _searched(dealt: DataFrame, used: int, size: int) -> DataFrame:
             yield from give(linked(np.ascontiguousarray(held)))
 
     placed = dealt.repartition("table", "key").sortWithinPartitions("table", "key")
-    return placed.mapInArrow(run, "a long, b long, table int, key long, node long, f0 long, f1 long")
+    return placed.mapInArrow(run, "a long, b long, table int, key long, node long, part long, f0 long, f1 long")
 
 
-def links(nodes: DataFrame, shard: int = SHARD) -> DataFrame:
-    """Links ``a, b, bits`` between the nodes; ``nodes``: node, f0 to f3 (each fingerprint once)."""
-    found, rows, used = [], _dealt(nodes), 0
+def _links(nodes: DataFrame, first: int, last: int, shard: int) -> DataFrame:
+    """Links ``a, b, bits`` that some tables find between the parts of the nodes."""
+    found, rows, used = [], _dealt(nodes, first, last), 0
     while True:
         searched = cut(_searched(rows, used, shard))
         found.append(searched.filter("a IS NOT NULL").select("a", "b"))
-        rows = searched.filter("a IS NULL").select("table", "key", "node", *_HALF)
+        rows = searched.filter("a IS NULL").select("table", "key", "node", "part", *_HALF)
         if rows.isEmpty():
             break
         used += MORE
@@ -170,7 +176,15 @@ def links(nodes: DataFrame, shard: int = SHARD) -> DataFrame:
     out = out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     a, b = (nodes.select(F.col("node").alias(n), *[F.col(f).alias(f"{n}_{f}") for f in _WHOLE]) for n in ("a", "b"))
     bits = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in _WHOLE), F.lit(0))
-    return out.join(a, "a").join(b, "b").select("a", "b", bits.alias("bits")).filter(F.col("bits") <= RADIUS)
+    return cut(out.join(a, "a").join(b, "b").select("a", "b", bits.alias("bits")).filter(F.col("bits") <= RADIUS))
+
+
+def links(nodes: DataFrame, shard: int = SHARD) -> DataFrame:
+    """Links ``a, b, bits`` between the nodes; ``nodes``: node, f0 to f3 (each fingerprint once)."""
+    early = _links(nodes.withColumn("part", F.col("node")), 0, EARLY, shard)
+    parts = components(early.filter(F.col("bits") <= SURE))
+    named = nodes.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    return early.union(_links(cut(named), EARLY, TABLES, shard))
 
 
 def _similar(pairs: DataFrame, table: DataFrame, words: int, similar: float) -> DataFrame:
@@ -210,7 +224,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR) -
     rows = table.select(F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"), "_row")
     own = cut(marks(rows, words))
     nodes = own.groupBy(*_WHOLE).agg(F.min("_row").alias("node"))
-    found = cut(links(nodes))
+    found = links(nodes)
     sure = found.filter(F.col("bits") <= SURE).select("a", "b")
     # Of the others only those that would join two groups need their texts.
     first = cut(components(sure))
