@@ -34,7 +34,7 @@ from ..session import cut
 from .blocks import Parts, batch, blocks, fold_of, mixed, row_sums, texts
 
 BLOCK = 4 << 20
-BLOCKS_A_RANGE = 4
+BLOCKS_A_RANGE = 2
 ROUNDS = 12
 BUCKETS = 64
 _END = np.uint64(0xE5D0E5D0E5D0E5D1)
