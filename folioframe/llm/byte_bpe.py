@@ -6,7 +6,8 @@ one length at once on arrays, until no pair has a rank. Very long matches fold o
 a heap. Decoding concatenates the bytes of the ids.
 
 The fold runs beside the texts, in the task that has them: bringing ids of words back to
-their places through a shuffle would move several times the input.
+their places through a shuffle would move several times the input. Spark's higher-order
+functions gave the same ids at many times the cost; the README has the figures.
 
 Null text counts as empty: no ids. Null doc_ids and repeated rows are rows of their own. An
 empty table gives no rows.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .blocks import Parts, batch, blocks, spread, texts
 from .vocabulary import ranks
 
-BLOCK = 8 << 20
+BLOCK = 3 << 20
 LONG = 64  # bytes of a match from which on it folds alone
 _NONE = np.int32(2**31 - 1)
 
@@ -128,9 +129,44 @@ def _merges(path: str) -> Merges:
     return Merges(path)
 
 
+@lru_cache(maxsize=2)
+def _pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all tokens in order of rank, and where each begins."""
+    table = {rank: token for token, rank in ranks(path).items()}
+    pieces = [table.get(i, b"") for i in range(max(table) + 1)]
+    return np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([0, *map(len, pieces)])
+
+
+def decoded(lists: pa.ListArray, path: str) -> pa.Array:
+    """The bytes of each list of ids."""
+    data, first = _pieces(path)
+    ids, size = lists.flatten().to_numpy(zero_copy_only=False), np.diff(first)
+    joined = data[spread(first[ids], size[ids])].tobytes() if len(ids) else b""
+    borders = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    ends = np.cumsum(np.append(0, size[ids]))[borders].tolist()
+    return pa.array([joined[s:e] for s, e in zip(ends, ends[1:])], pa.binary())
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """``doc_id`` and ``decoded``, the bytes of its ``ids``; null ids are none."""
+    schema = pa.schema([("doc_id", pa.int64()), ("decoded", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for at in range(0, rows.num_rows, 500):
+                part = rows.slice(at, 500)
+                yield batch(schema, part["doc_id"], decoded(part["ids"], path))
+
+    ids = F.coalesce("ids", F.array().cast("array<int>"))
+    return encoded.select("doc_id", ids.alias("ids")).mapInArrow(run, "doc_id long, decoded binary")
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id`` and the token ``ids`` of every row. ``path``: a rank file, the same on every machine."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    """``doc_id``, the token ``ids`` of every row and ``decoded``, the bytes they decode to.
+
+    ``path``: a rank file, the same on every machine.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, split = _merges(path), regex.compile(pattern)
@@ -154,34 +190,9 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             size = np.diff(ends)
             own = part_ids[spread(ends[which], size[which])] if len(which) else part_ids
             borders = np.cumsum(np.append(0, size[which] if len(which) else size))[parts.first]
-            yield batch(schema, block.rows["doc_id"], pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(own)))
-
-    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
-
-
-@lru_cache(maxsize=2)
-def _pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
-    table = {rank: token for token, rank in ranks(path).items()}
-    pieces = [table.get(i, b"") for i in range(max(table) + 1)]
-    return np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([0, *map(len, pieces)])
+            lists = pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(own, pa.int32()))
+            for at in range(0, len(lists), 500):
+                part = lists.slice(at, 500)
+                yield batch(schema, block.rows["doc_id"].slice(at, 500), part, decoded(part, path))
 
-
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Adds ``decoded``, the bytes of ``ids``. ``encoded``: doc_id, ids."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, first = _pieces(path)
-        size = np.diff(first)
-        for rows in batches:
-            lists = rows["ids"]
-            for at in range(0, len(lists), 1000):
-                part = lists.slice(at, 1000)
-                ids = part.flatten().to_numpy()
-                borders = part.offsets.to_numpy() - part.offsets[0].as_py()
-                joined = data[spread(first[ids], size[ids])].tobytes() if len(ids) else b""
-                ends = np.cumsum(np.append(0, size[ids]))[borders].tolist()
-                yield batch(schema, rows["doc_id"].slice(at, 1000), part, [joined[s:e] for s, e in zip(ends, ends[1:])])
-
-    ids = F.coalesce("ids", F.array().cast("array<int>"))
-    return encoded.select("doc_id", ids.alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")

@@ -107,8 +107,7 @@ def op7_tree_merge_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = byte_bpe.encode(documents(spark, sf), path, public_tokenizers.PATTERN)
-    return byte_bpe.decode(encoded, path).select(
+    return byte_bpe.encode(documents(spark, sf), path, public_tokenizers.PATTERN).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
