@@ -2,27 +2,27 @@
 
 Two fingerprint bits of a pair with cosine c differ with probability arccos(c) / pi, and shingle
 sets of Jaccard similarity J have c = 2J / (1 + J). A pair of J = 0.8 differs in 39 of 256 bits,
-give or take 6. Pairs of at most ``SURE`` bits are near duplicates; those of at most ``RADIUS``
-are if their shingle sets, compared whole, have a similarity of ``SIMILAR`` or more.
+give or take 6. Pairs of at most ``RADIUS`` bits are candidates; they are near duplicates if their
+shingle sets, compared whole, have a similarity of ``SIMILAR`` or more.
 
 At such distances no block of bits is sure to agree, so shards are drawn by chance: in each of
 ``TABLES`` tables, documents that agree on ``SAMPLE`` bits of the table's own order share a
 shard. A pair at the limit meets in one of them with a probability of 0.998 (0.98 if it differs
-in one deviation more), closer pairs almost surely. A shard is searched by its BK-tree over half
-of the fingerprint bits, as in ``simhash``, and returns a least spanning tree of the pairs it
-finds, so a group of copies gives about as many links as it has documents. The first ``EARLY``
-tables come first: what their sure links join is one from then on, and the other tables only
-return links between groups. Chance company in a
-shard is one document for each 2 ** ``SAMPLE`` documents; larger corpora want more bits and tables.
-
-A shard larger than ``SHARD`` is dealt again by more bits of its table, in a new shuffle, until
-none is left over; fingerprints that agree on all bits are one to begin with.
+in one deviation more), closer pairs almost surely. Chance company in a shard is one document for
+each 2 ** ``SAMPLE`` documents; larger corpora want more bits and tables.
+
+A shard is searched by its BK-tree over half of the fingerprint bits, as in ``simhash``. It gives
+each document its nearest candidate of another part, and only links whose sets have been compared
+join parts. A shard that has more candidates is searched again, for 32 times as many each time
+and by the parts of then, until it has no other: a pair that fails hides none, and pairs inside a
+part are not tested. The first ``EARLY`` tables come first, so that the others find parts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +32,17 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .blocks import batch, mixed, texts
 from .components import components
-from .simhash import majority_bits, nearest_links, shingle_hashes
+from .simhash import BKTree, majority_bits, shingle_hashes
 
 WORDS, BITS, SIMILAR = 5, 256, 0.8
-SURE, RADIUS, NEAR = 22, 56, 36  # differing bits of all; of the first half, in a shard
-TABLES, EARLY, SAMPLE, MORE, SHARD = 128, 16, 18, 12, 1024
+RADIUS, NEAR = 56, 36  # differing bits of all; of the first half, in a shard
+TABLES, EARLY, SAMPLE, SHARD = 128, 16, 18, 1024
 _SEEDS = [0, 0x51ED270B1F9A3C4D, 0x2B7E151628AED2A6, 0x6A09E667F3BCC909]
 _WHOLE = ["f0", "f1", "f2", "f3"]
 _HALF = _WHOLE[:2]
 
+Test = Callable[[DataFrame], DataFrame]
+
 
 def fingerprint(raw: bytes, words: int) -> np.ndarray:
     """Majority bits of the shingle hashes under four hash families, 64 each; zeros without words."""
@@ -102,89 +104,102 @@ def _dealt(nodes: DataFrame, first: int, last: int) -> DataFrame:
     return dealt.withColumns({"table": F.col("table") + first, "key": F.col("key").cast("long")})
 
 
-def _searched(dealt: DataFrame, used: int, size: int) -> DataFrame:
-    """Links ``a, b`` of small shards, and the rows of large ones with a finer key."""
-    whole = BITS // 2
+def near_pairs(fps: list[int], part: list[int], radius: int, most: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of places within the radius whose parts differ, for each place the ``most`` nearest
+    before it, and whether any place has more."""
+    tree, out, more = BKTree(), [], False
+    for j, fp in enumerate(fps):
+        near = [i for i in tree.near(fp, radius) if part[i] != part[j]]
+        if len(near) > most:
+            more = True
+            near = nsmallest(most, near, key=lambda i: (fp ^ fps[i]).bit_count())
+        out += [(i, j) for i in near]
+        tree.add(fp)
+    return out, more
+
+
+def _searched(rows: DataFrame, most: int) -> DataFrame:
+    """Pairs ``a, b`` of nodes in a shard, and the rows of the shards that have more pairs."""
     schema = pa.schema(
         [("a", pa.int64()), ("b", pa.int64()), ("table", pa.int32()), *((n, pa.int64()) for n in ("key", "node", "part", *_HALF))]
     )
 
-    def again(rows: np.ndarray) -> pa.RecordBatch:
-        """``rows``: table, key, node, part and half fingerprints, one shard or a piece of it."""
-        order = _orders(whole)[rows[0, 0], used : used + MORE]
-        more = _bits(list(rows[4:]))[:, order].astype(np.uint64) @ (np.uint64(1) << np.arange(len(order), dtype=np.uint64))
-        finer = mixed(rows[1].view(np.uint64) + mixed(more + np.uint64(1))).view(np.int64)
-        none = [None] * rows.shape[1]
-        return batch(schema, none, none, rows[0].astype(np.int32), finer, *rows[2:])
-
-    def linked(rows: np.ndarray) -> list[tuple]:
+    def linked(rows: np.ndarray) -> tuple[list[tuple], bool]:
         node, part = rows[2:4].tolist()
         if len(set(part)) == 1:
-            return []
+            return [], False
         halves = rows[4:].astype(np.uint64).tolist()
-        found = nearest_links([x << 64 | y for x, y in zip(*halves)], NEAR, part)
-        return [(node[i], node[j]) for i, j, _ in found]
-
-    def give(links: list[tuple]) -> Iterator[pa.RecordBatch]:
+        found, more = near_pairs([x << 64 | y for x, y in zip(*halves)], part, NEAR, most)
+        return [(node[i], node[j]) for i, j in found], more
+
+    def give(shards: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        links: list[tuple] = []
+        for rows in shards:
+            if rows.shape[1] > 1:
+                found, more = linked(rows)
+                links += found
+                if more:
+                    none = [None] * rows.shape[1]
+                    yield batch(schema, none, none, rows[0].astype(np.int32), *rows[1:])
         if links:
             none = [None] * len(links)
             yield batch(schema, *zip(*links), none, none, none, none, none, none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((6, 0), np.int64)
-        large = None  # the shard that was found too large
+        held = np.zeros((6, 0), np.int64)  # the shard that may go on in the next batch
         for own in batches:
             new = np.stack([x.astype(np.int64) for x in _numbers(own, ["table", "key", "node", "part", *_HALF])])
             new = np.ascontiguousarray(np.concatenate([held, new], axis=1))
-            border = np.flatnonzero(np.any(new[:2, 1:] != new[:2, :-1], axis=0)) + 1
-            border = np.concatenate(([0], border, [new.shape[1]])) if new.shape[1] else border
-            links: list[tuple] = []
-            for s, e in zip(border[:-1], border[1:]):
-                shard, last = np.ascontiguousarray(new[:, s:e]), e == new.shape[1]
-                name = (int(shard[0, 0]), int(shard[1, 0]))
-                if used < whole and (name == large or e - s > size):
-                    large = name
-                    yield again(shard)
-                elif last:
-                    break  # it may go on in the next batch
-                elif e - s > 1:
-                    links += linked(shard)
-            else:
-                s = new.shape[1]
-            held = new[:, s:]
-            yield from give(links)
-        if held.shape[1] > 1:
-            yield from give(linked(np.ascontiguousarray(held)))
-
-    placed = dealt.repartition("table", "key").sortWithinPartitions("table", "key")
+            border = [0, *(np.flatnonzero(np.any(new[:2, 1:] != new[:2, :-1], axis=0)) + 1)]
+            held = new[:, border[-1] :]
+            yield from give([np.ascontiguousarray(new[:, s:e]) for s, e in zip(border, border[1:])])
+        yield from give([np.ascontiguousarray(held)])
+
+    placed = rows.repartition("table", "key").sortWithinPartitions("table", "key")
     return placed.mapInArrow(run, "a long, b long, table int, key long, node long, part long, f0 long, f1 long")
 
 
-def _links(nodes: DataFrame, first: int, last: int, shard: int) -> DataFrame:
-    """Links ``a, b, bits`` that some tables find between the parts of the nodes."""
-    found, rows, used = [], _dealt(nodes, first, last), 0
-    while True:
-        searched = cut(_searched(rows, used, shard))
-        found.append(searched.filter("a IS NOT NULL").select("a", "b"))
-        rows = searched.filter("a IS NULL").select("table", "key", "node", "part", *_HALF)
-        if rows.isEmpty():
-            break
-        used += MORE
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    out = out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    a, b = (nodes.select(F.col("node").alias(n), *[F.col(f).alias(f"{n}_{f}") for f in _WHOLE]) for n in ("a", "b"))
-    bits = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in _WHOLE), F.lit(0))
-    return cut(out.join(a, "a").join(b, "b").select("a", "b", bits.alias("bits")).filter(F.col("bits") <= RADIUS))
+def _parted(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """``rows`` with the parts of their nodes."""
+    placed = rows.drop("part").join(parts, "node", "left")
+    return placed.withColumn("part", F.coalesce("component", "node")).drop("component")
+
 
+def _joining(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs whose nodes are in two parts."""
+    a, b = (parts.select(F.col("node").alias(n), F.col("component").alias(f"of_{n}")) for n in ("a", "b"))
+    open_ = pairs.join(a, "a", "left").join(b, "b", "left")
+    return open_.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(*pairs.columns)
 
-def links(nodes: DataFrame, shard: int = SHARD) -> DataFrame:
-    """Links ``a, b, bits`` between the nodes; ``nodes``: node, f0 to f3 (each fingerprint once)."""
-    early = _links(nodes.withColumn("part", F.col("node")), 0, EARLY, shard)
-    parts = components(early.filter(F.col("bits") <= SURE))
-    named = nodes.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    return early.union(_links(cut(named), EARLY, TABLES, shard))
+
+def links(nodes: DataFrame, shard: int = SHARD, test: Test | None = None) -> DataFrame:
+    """Links ``a, b`` that pass the test, enough to join all nodes that passing pairs join;
+    ``nodes``: node, f0 to f3. ``test`` gives those of some pairs that pass, all if it is left out."""
+    spark = nodes.sparkSession
+    kept, parts = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, component long")
+    a, b = (nodes.select(F.col("node").alias(n), *[F.col(f).alias(f"{n}_{f}") for f in _WHOLE]) for n in ("a", "b"))
+    bits = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in _WHOLE), F.lit(0))
+    for first, last in ((0, EARLY), (EARLY, TABLES)):
+        rows, most, seen = _dealt(_parted(nodes, parts), first, last), 1, None
+        while True:
+            searched = cut(_searched(rows, most))
+            pairs = searched.filter("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            pairs = pairs.distinct() if seen is None else pairs.distinct().join(seen, ["a", "b"], "left_anti")
+            found = pairs.join(a, "a").join(b, "b").select("a", "b", bits.alias("bits"))
+            found = cut(found.filter(F.col("bits") <= RADIUS))
+            # The nearest of each node are tested first, then the others that would still join two parts.
+            todo = found.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x")).select("x.a", "b")
+            while not todo.isEmpty():
+                todo = cut(todo)
+                kept = cut(kept.union(todo if test is None else test(todo)))
+                parts = cut(components(kept))
+                seen = todo if seen is None else seen.union(todo)
+                todo = _joining(found.select("a", "b").join(seen, ["a", "b"], "left_anti"), parts)
+            left = searched.filter("a IS NULL").select("table", "key", "node", "part", *_HALF)
+            if left.isEmpty():
+                break
+            rows, most = cut(_parted(left, parts)), most * 32
+    return kept
 
 
 def _similar(pairs: DataFrame, table: DataFrame, words: int, similar: float) -> DataFrame:
@@ -224,14 +239,8 @@ def one_of_each(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR) -
     rows = table.select(F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"), "_row")
     own = cut(marks(rows, words))
     nodes = own.groupBy(*_WHOLE).agg(F.min("_row").alias("node"))
-    found = links(nodes)
-    sure = found.filter(F.col("bits") <= SURE).select("a", "b")
-    # Of the others only those that would join two groups need their texts.
-    first = cut(components(sure))
-    a, b = (first.select(F.col("node").alias(n), F.col("component").alias(f"of_{n}")) for n in ("a", "b"))
-    open_ = found.filter(F.col("bits") > SURE).select("a", "b").join(a, "a", "left").join(b, "b", "left")
-    open_ = open_.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    parts = components(sure.union(_similar(cut(open_), rows, words, similar)))
+    found = links(nodes, test=lambda pairs: _similar(pairs, rows, words, similar))
+    parts = components(found)
     grouped = own.join(nodes, _WHOLE).join(parts, "node", "left")
     least = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "_row"))
     stay = grouped.groupBy(F.coalesce("component", "node").alias("group")).agg(least.alias("least"))

@@ -534,6 +534,27 @@ def test_large_shards_are_dealt_again(spark):
             assert len(seen) == 25
 
 
+def set_similarity(x, y):
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x.split(), y.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_a_failed_link_hides_no_other(spark):
+    queries.ship(spark)
+    pick = random.Random(21)
+    base = [f"t{pick.randrange(9000)}" for _ in range(600)]
+    texts = [" ".join(base)]
+    for _ in range(120):
+        own = list(base)
+        for at in pick.sample(range(0, 600, 5), 10):
+            own[at] = f"u{pick.randrange(10**9)}"
+        texts.append(" ".join(own))
+    assert all(set_similarity(texts[0], t) >= 0.8 for t in texts[1:])
+    assert all(set_similarity(x, y) < 0.8 for x, y in zip(texts[1:], texts[2:]))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in simhash_wide.one_of_each(frame).collect()] == [0]
+
+
 # Helpers
 
 
