@@ -16,6 +16,10 @@ each document its nearest candidate of another part, and only links whose sets h
 join parts. A shard that has more candidates is searched again, for 32 times as many each time
 and by the parts of then, until it has no other: a pair that fails hides none, and pairs inside a
 part are not tested. The first ``EARLY`` tables come first, so that the others find parts.
+
+Of a shard larger than ``SHARD`` pieces of that size are searched first, which joins most of a
+group of close copies. What is then still in several parts is searched whole, in cells of two
+pieces over several tasks, so the size of a shard changes no chance to meet.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ from .simhash import BKTree, majority_bits, shingle_hashes
 WORDS, BITS, SIMILAR = 5, 256, 0.8
 RADIUS, NEAR = 56, 36  # differing bits of all; of the first half, in a shard
 TABLES, EARLY, SAMPLE, SHARD = 128, 16, 18, 1024
+LARGEST = 1 << 62  # cells are not cut again
 _SEEDS = [0, 0x51ED270B1F9A3C4D, 0x2B7E151628AED2A6, 0x6A09E667F3BCC909]
 _WHOLE = ["f0", "f1", "f2", "f3"]
 _HALF = _WHOLE[:2]
@@ -104,59 +109,101 @@ def _dealt(nodes: DataFrame, first: int, last: int) -> DataFrame:
     return dealt.withColumns({"table": F.col("table") + first, "key": F.col("key").cast("long")})
 
 
-def near_pairs(fps: list[int], part: list[int], radius: int, most: int) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of places within the radius whose parts differ, for each place the ``most`` nearest
-    before it, and whether any place has more."""
+def near_pairs(
+    fps: list[int], part: list[int], side: list[int], radius: int, most: int
+) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of places within the radius whose parts differ, for each place its ``most`` nearest,
+    and whether any place has more. With two sides, only pairs of one and the other."""
     tree, out, more = BKTree(), [], False
-    for j, fp in enumerate(fps):
-        near = [i for i in tree.near(fp, radius) if part[i] != part[j]]
+    placed, asked = [], range(len(fps))
+    if len(set(side)) > 1:
+        placed, asked = sorted(([j for j in asked if (side[j] == side[0]) == own] for own in (True, False)), key=len, reverse=True)
+        for j in placed:
+            tree.add(fps[j])
+    for j in asked:
+        near = [placed[i] if placed else i for i in tree.near(fps[j], radius)]
+        near = [i for i in near if part[i] != part[j]]
         if len(near) > most:
             more = True
-            near = nsmallest(most, near, key=lambda i: (fp ^ fps[i]).bit_count())
+            near = nsmallest(most, near, key=lambda i: (fps[j] ^ fps[i]).bit_count())
         out += [(i, j) for i in near]
-        tree.add(fp)
+        if not placed:
+            tree.add(fps[j])
     return out, more
 
 
-def _searched(rows: DataFrame, most: int) -> DataFrame:
-    """Pairs ``a, b`` of nodes in a shard, and the rows of the shards that have more pairs."""
-    schema = pa.schema(
-        [("a", pa.int64()), ("b", pa.int64()), ("table", pa.int32()), *((n, pa.int64()) for n in ("key", "node", "part", *_HALF))]
-    )
+def _searched(rows: DataFrame, most: int, size: int) -> DataFrame:
+    """Pairs ``a, b`` of nodes in a shard, and the rows of the shards that have more pairs.
+
+    A shard of more than ``size`` rows has only pieces of that size searched, as it comes.
+    """
+    names = ["table", "key", "cell", "node", "part", "side", *_HALF]
+    schema = pa.schema([(n, pa.int64()) for n in ("a", "b", *names)])
 
     def linked(rows: np.ndarray) -> tuple[list[tuple], bool]:
-        node, part = rows[2:4].tolist()
+        node, part, side = rows[3:6].tolist()
         if len(set(part)) == 1:
             return [], False
-        halves = rows[4:].astype(np.uint64).tolist()
-        found, more = near_pairs([x << 64 | y for x, y in zip(*halves)], part, NEAR, most)
+        halves = rows[6:].astype(np.uint64).tolist()
+        found, more = near_pairs([x << 64 | y for x, y in zip(*halves)], part, side, NEAR, most)
         return [(node[i], node[j]) for i, j in found], more
 
-    def give(shards: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def give(pieces: list[tuple[np.ndarray, bool]]) -> Iterator[pa.RecordBatch]:
         links: list[tuple] = []
-        for rows in shards:
-            if rows.shape[1] > 1:
-                found, more = linked(rows)
-                links += found
-                if more:
-                    none = [None] * rows.shape[1]
-                    yield batch(schema, none, none, rows[0].astype(np.int32), *rows[1:])
+        for rows, large in pieces:
+            found, more = linked(rows)
+            links += found
+            if more or large:
+                none = [None] * rows.shape[1]
+                yield batch(schema, none, none, *rows)
         if links:
             none = [None] * len(links)
-            yield batch(schema, *zip(*links), none, none, none, none, none, none)
+            yield batch(schema, *zip(*links), *[none] * len(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((6, 0), np.int64)  # the shard that may go on in the next batch
+        held = np.zeros((len(names), 0), np.int64)  # the shard that may go on in the next batch
+        large = None  # the shard that was found too large
         for own in batches:
-            new = np.stack([x.astype(np.int64) for x in _numbers(own, ["table", "key", "node", "part", *_HALF])])
+            new = np.stack([x.astype(np.int64) for x in _numbers(own, names)])
             new = np.ascontiguousarray(np.concatenate([held, new], axis=1))
-            border = [0, *(np.flatnonzero(np.any(new[:2, 1:] != new[:2, :-1], axis=0)) + 1)]
-            held = new[:, border[-1] :]
-            yield from give([np.ascontiguousarray(new[:, s:e]) for s, e in zip(border, border[1:])])
-        yield from give([np.ascontiguousarray(held)])
-
-    placed = rows.repartition("table", "key").sortWithinPartitions("table", "key")
-    return placed.mapInArrow(run, "a long, b long, table int, key long, node long, part long, f0 long, f1 long")
+            border = [0, *(np.flatnonzero(np.any(new[:3, 1:] != new[:3, :-1], axis=0)) + 1), new.shape[1]]
+            pieces, held = [], new[:, new.shape[1] :]
+            for s, e in zip(border, border[1:]):
+                name = tuple(new[:3, s].tolist()) if e > s else None
+                if e > s and (name == large or e - s > size):
+                    large = name
+                    pieces += [(np.ascontiguousarray(new[:, i : min(i + size, e)]), True) for i in range(s, e, size)]
+                elif e == new.shape[1]:
+                    held = new[:, s:]  # it may go on in the next batch
+                elif e - s > 1:
+                    pieces.append((np.ascontiguousarray(new[:, s:e]), False))
+            yield from give(pieces)
+        if held.shape[1] > 1:
+            yield from give([(np.ascontiguousarray(held), False)])
+
+    placed = rows.repartition("table", "key", "cell").sortWithinPartitions("table", "key", "cell")
+    return placed.select(*names).mapInArrow(run, ", ".join(f"{n} long" for n in schema.names))
+
+
+def _cells(rows: DataFrame, size: int) -> DataFrame:
+    """The rows of the shards of several parts in cells, so that each two rows of different parts
+    meet in one: chunks against chunks, those of the largest part not against each other."""
+    sizes = rows.groupBy("table", "key", "part").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("table", "key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("big"))
+    sizes = sizes.filter(F.col("big.n") < F.col("n")).select(
+        "table",
+        "key",
+        F.col("big.part").alias("big"),
+        F.ceil((F.col("n") - F.col("big.n")) / size).alias("small_chunks"),
+        F.ceil(F.col("big.n") / size).alias("big_chunks"),
+    )
+    own, few, many = F.col("part") == F.col("big"), F.col("small_chunks"), F.col("big_chunks")
+    code = F.xxhash64("node", F.lit(1))
+    side = F.when(own, few + F.pmod(code, many)).otherwise(F.pmod(code, few))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(own, few).otherwise(few + many) - 1))
+    met = rows.join(sizes, ["table", "key"]).withColumn("side", side).withColumn("other", other)
+    cell = F.least("side", "other") * (few + many) + F.greatest("side", "other")
+    return met.withColumn("cell", cell).drop("big", "small_chunks", "big_chunks", "other")
 
 
 def _parted(rows: DataFrame, parts: DataFrame) -> DataFrame:
@@ -181,8 +228,9 @@ def links(nodes: DataFrame, shard: int = SHARD, test: Test | None = None) -> Dat
     bits = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in _WHOLE), F.lit(0))
     for first, last in ((0, EARLY), (EARLY, TABLES)):
         rows, most, seen = _dealt(_parted(nodes, parts), first, last), 1, None
+        rows = rows.withColumns({"cell": F.lit(0).cast("long"), "side": F.lit(0).cast("long")})
         while True:
-            searched = cut(_searched(rows, most))
+            searched = cut(_searched(rows, most, shard if most == 1 else LARGEST))
             pairs = searched.filter("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             pairs = pairs.distinct() if seen is None else pairs.distinct().join(seen, ["a", "b"], "left_anti")
             found = pairs.join(a, "a").join(b, "b").select("a", "b", bits.alias("bits"))
@@ -195,10 +243,10 @@ def links(nodes: DataFrame, shard: int = SHARD, test: Test | None = None) -> Dat
                 parts = cut(components(kept))
                 seen = todo if seen is None else seen.union(todo)
                 todo = _joining(found.select("a", "b").join(seen, ["a", "b"], "left_anti"), parts)
-            left = searched.filter("a IS NULL").select("table", "key", "node", "part", *_HALF)
+            left = searched.filter("a IS NULL").select("table", "key", "node", *_HALF)
             if left.isEmpty():
                 break
-            rows, most = cut(_parted(left, parts)), most * 32
+            rows, most = cut(_cells(cut(_parted(left.distinct(), parts)), shard)), most * 32
     return kept
 
 

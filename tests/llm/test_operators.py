@@ -555,6 +555,39 @@ def test_a_failed_link_hides_no_other(spark):
     assert [r.doc_id for r in simhash_wide.one_of_each(frame).collect()] == [0]
 
 
+def test_large_shards_lose_no_pair(spark):
+    queries.ship(spark)
+    pick = random.Random(31)
+    base = pick.getrandbits(128)
+    fps = [base ^ sum(1 << b for b in pick.sample(range(128), pick.randint(8, 40))) for _ in range(41)]
+    close = [(i, j) for i in range(41) for j in range(i + 1, 41) if (fps[i] ^ fps[j]).bit_count() <= simhash_wide.NEAR]
+    assert 20 < len(close) < 600
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    names = "table long, key long, cell long, node long, part long, side long, f0 long, f1 long"
+    for parts in (list(range(41)), [0] * 30 + list(range(30, 41)), [0] * 41):
+        rows = [(0, 5, 0, i, p, 0, signed(f >> 64), signed(f & (1 << 64) - 1)) for i, (f, p) in enumerate(zip(fps, parts))]
+        shard = spark.createDataFrame(rows, names)
+        # A shard of 41 is searched in pieces of four, then whole: none of its pairs is lost.
+        assert {r.node for r in simhash_wide._searched(shard, 1, 4).collect() if r.a is None} == set(range(41))
+        cells = simhash_wide._cells(shard.drop("cell", "side"), 4)
+        found = simhash_wide._searched(cells, 1000, simhash_wide.LARGEST).filter("a IS NOT NULL").collect()
+        want = [(i, j) for i, j in close if parts[i] != parts[j]]
+        assert sorted((min(r.a, r.b), max(r.a, r.b)) for r in found) == want
+
+
+def test_links_of_a_shard_larger_than_its_limit(spark):
+    queries.ship(spark)
+    pick = random.Random(12)
+    bases = [pick.getrandbits(256) for _ in range(3)]
+    fps = [b ^ sum(1 << x for x in pick.sample(range(256), 4)) for b in bases for _ in range(25)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(i, *(signed(f >> 64 * k & (1 << 64) - 1) for k in range(4))) for i, f in enumerate(fps)]
+    nodes = spark.createDataFrame(rows, "node long, f0 long, f1 long, f2 long, f3 long")
+    got = {(r.a, r.b) for r in simhash_wide.links(nodes, 4).collect()}
+    parts = closure(range(75), lambda a, b: (a, b) in got or (b, a) in got)
+    assert all((parts[i] == parts[j]) == (i // 25 == j // 25) for i in range(75) for j in range(75))
+
+
 # Helpers
 
 
