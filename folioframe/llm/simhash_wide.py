@@ -3,7 +3,8 @@
 Two fingerprint bits of a pair with cosine c differ with probability arccos(c) / pi, and shingle
 sets of Jaccard similarity J have c = 2J / (1 + J). A pair of J = 0.8 differs in 39 of 256 bits,
 give or take 6. Pairs of at most ``RADIUS`` bits are candidates; they are near duplicates if their
-shingle sets, compared whole, have a similarity of ``SIMILAR`` or more.
+shingle sets, compared whole, have a similarity of ``SIMILAR`` or more. Fingerprints are of the
+different shingles, as the sets are. Only texts of one shingle set are one to begin with.
 
 At such distances no block of bits is sure to agree, so shards are drawn by chance: in each of
 ``TABLES`` tables, documents that agree on ``SAMPLE`` bits of the table's own order share a
@@ -30,6 +31,7 @@ from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,17 +47,21 @@ LARGEST = 1 << 62  # cells are not cut again
 _SEEDS = [0, 0x51ED270B1F9A3C4D, 0x2B7E151628AED2A6, 0x6A09E667F3BCC909]
 _WHOLE = ["f0", "f1", "f2", "f3"]
 _HALF = _WHOLE[:2]
+_SET = ["s0", "s1"]
 
 Test = Callable[[DataFrame], DataFrame]
 
 
-def fingerprint(raw: bytes, words: int) -> np.ndarray:
-    """Majority bits of the shingle hashes under four hash families, 64 each; zeros without words."""
-    hashes = shingle_hashes(raw, words)
-    if not hashes:
+def shingle_set(raw: bytes, words: int) -> np.ndarray:
+    """The different shingle hashes of a text, sorted."""
+    return np.unique(np.frombuffer(shingle_hashes(raw, words), ">u8").astype(np.uint64))
+
+
+def fingerprint(first: np.ndarray) -> np.ndarray:
+    """Majority bits of a shingle set under four hash families, 64 each; zeros without shingles."""
+    if not len(first):
         return np.zeros(4, np.int64)
-    first = np.frombuffer(hashes, ">u8").astype(np.uint64)
-    families = [first if not seed else mixed(first ^ np.uint64(seed)) for seed in _SEEDS]
+    families = [first.astype(">u8") if not seed else mixed(first ^ np.uint64(seed)) for seed in _SEEDS]
     bits = np.concatenate([majority_bits(h.view(np.uint8).reshape(-1, 8)) for h in families])
     return np.packbits(bits).view(np.int64)
 
@@ -76,16 +82,21 @@ def _numbers(rows: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
 
 
 def marks(rows: DataFrame, words: int) -> DataFrame:
-    """``doc_id, _row`` and the fingerprint of every row; ``rows`` has doc_id, text, _row."""
-    schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "_row", *_WHOLE)])
+    """``doc_id, _row``, the fingerprint of every row and a digest of its shingle set; ``rows`` has
+    doc_id, text, _row."""
+    names = ["doc_id", "_row", *_WHOLE, *_SET]
+    schema = pa.schema([(n, pa.int64()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in batches:
-            raw = (t.as_buffer().to_pybytes() for t in own["text"].cast(pa.large_binary()))
-            found = np.array([fingerprint(t, words) for t in raw], np.int64).reshape(-1, 4)
+            found = np.zeros((own.num_rows, 6), np.int64)
+            for i, t in enumerate(own["text"].cast(pa.large_binary())):
+                shingles = shingle_set(t.as_buffer().to_pybytes(), words)
+                found[i, :4] = fingerprint(shingles)
+                found[i, 4:] = np.frombuffer(xxhash.xxh128_digest(shingles.tobytes()), np.int64)
             yield batch(schema, own["doc_id"], own["_row"], *found.T)
 
-    return texts(rows, "_row").mapInArrow(run, ", ".join(f"{n} long" for n in ("doc_id", "_row", *_WHOLE)))
+    return texts(rows, "_row").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _dealt(nodes: DataFrame, first: int, last: int) -> DataFrame:
@@ -257,8 +268,7 @@ def _similar(pairs: DataFrame, table: DataFrame, words: int, similar: float) ->
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in batches:
             raw = (t.as_buffer().to_pybytes() for t in own["text"].cast(pa.large_binary()))
-            sets = [np.unique(np.frombuffer(shingle_hashes(t, words), ">u8").astype(np.uint64)) for t in raw]
-            yield batch(schema, own["_row"], [s.tobytes() for s in sets])
+            yield batch(schema, own["_row"], [shingle_set(t, words).tobytes() for t in raw])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in batches:
@@ -286,10 +296,10 @@ def one_of_each(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR) -
     table = cut(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")))
     rows = table.select(F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"), "_row")
     own = cut(marks(rows, words))
-    nodes = own.groupBy(*_WHOLE).agg(F.min("_row").alias("node"))
+    nodes = own.groupBy(*_WHOLE, *_SET).agg(F.min("_row").alias("node"))
     found = links(nodes, test=lambda pairs: _similar(pairs, rows, words, similar))
     parts = components(found)
-    grouped = own.join(nodes, _WHOLE).join(parts, "node", "left")
+    grouped = own.join(nodes, [*_WHOLE, *_SET]).join(parts, "node", "left")
     least = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "_row"))
     stay = grouped.groupBy(F.coalesce("component", "node").alias("group")).agg(least.alias("least"))
     return table.join(stay.select(F.col("least._row").alias("_row")), "_row", "left_semi").select("_doc.*")

@@ -555,6 +555,23 @@ def test_a_failed_link_hides_no_other(spark):
     assert [r.doc_id for r in simhash_wide.one_of_each(frame).collect()] == [0]
 
 
+def test_a_repeated_phrase_makes_no_near_copies(spark):
+    queries.ship(spark)
+    pick = random.Random(41)
+    phrase = "one phrase of five words"
+
+    def text():
+        return " ".join(f"{phrase} {pick.randrange(10**9)}" for _ in range(200))
+
+    x, y = text(), text()
+    assert set_similarity(x, y) < 0.05
+    # A copy of one with little changed, and two texts with the same shingles in other numbers.
+    again = x.replace(" ", "  ") + " one more word or two"
+    rows = [(1, x), (2, y), (3, again), (4, "a b c d e " * 9), (5, "a b c d e " * 30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash_wide.one_of_each(frame).collect()) == [1, 2, 4]
+
+
 def test_large_shards_lose_no_pair(spark):
     queries.ship(spark)
     pick = random.Random(31)
