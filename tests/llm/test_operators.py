@@ -386,6 +386,24 @@ def test_page_text(spark):
     assert html_extract.extract(empty, html_extract.fit([], layouts=20)).count() == 0
 
 
+def test_embedded_elements_swallow_and_lose_nothing(spark):
+    blocks_of = lambda page: [(b.text, b.path[-1].tag) for b in html_blocks.page_blocks(page)]
+    assert blocks_of("<svg width='5'/><p>One.</p><math/><p>Two.</p>") == [("One.", "p"), ("Two.", "p")]
+    assert blocks_of("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p><p>So.</p>") == [("Let x=1 hold.", "p"), ("So.", "p")]
+    assert blocks_of("<svg><path d='m'/><g><text>Axis</text></g></svg><p>One.</p>") == [("Axis", "text"), ("One.", "p")]
+    assert blocks_of("<p>A <object data=x>Fall back</object> b</p>") == [("A", "p"), ("Fall back", "object"), ("b", "p")]
+    assert blocks_of("<div><noscript><p>Plain.</p></noscript><canvas>Drawn</canvas></div>") == [("Plain.", "p"), ("Drawn", "canvas")]
+    for left_open in ("<svg>", "<math><mi>", "<svg href=a/>", "<object>", "<canvas>", "<noscript>"):
+        assert blocks_of(f"<div>{left_open}<p>One.</p></div><p>Two.</p>")[-2:] == [("One.", "p"), ("Two.", "p")]
+        assert blocks_of(f"<p>{left_open}One.</p><p>Two.</p>")[-1] == ("Two.", "p")
+    assert blocks_of("<script>a<p>b</script><style>c</style><template><p>d</p></template><p>One.</p>") == [("One.", "p")]
+    queries.ship(spark)
+    body = ("<header><h1>Site</h1><svg class=\"logo\"/></header><main><h1>Head</h1><p>Body of the story with <math><mi>x</mi></math>, told in full.</p>"
+            "</main><aside><p>Read more of this.</p></aside>")
+    frame = spark.createDataFrame([(1, "http://x/1", body)], "page_id long, url string, html string")
+    assert html_extract.extract(frame).collect()[0].text == "Head Body of the story with x, told in full."
+
+
 def test_field_on_held_out_frames():
     field = html_extract.fit([], layouts=200)
     pick, right, total = random.Random(77), 0, 0
