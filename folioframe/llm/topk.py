@@ -3,9 +3,10 @@
 The candidates are cut into shards of ``SHARD`` rows and the queries into groups of ``GROUP``
 rows, and a task takes one shard and one group. It goes through the shard in tiles of ``TILE``
 rows. A tile has one list for each dimension, sorted by the component; a query reads the list
-from the end that contributes most. After each stretch of reading, what a row can still reach
-(the sum so far and, for each list in which it was not met, the entry read last) and what it
-has for certain (the sum and the last entry of those lists) bound its score. Reading stops once
+from the end that contributes most, and ``ASK`` queries read together. After each stretch of
+reading, what a row can still reach (the sum so far and, for each list in which it was not met,
+the entry read last) and what it has for certain (the sum and the worst entry of those lists)
+bound its score. Reading stops once
 the rows outside a small set cannot qualify: their upper bound is below the k-th best certain
 score of the tile, or below the k-th best score that the query has from earlier tiles. The
 scores of that set are then resolved. A tie with the k-th best keeps a row in, so ties are decided
@@ -17,8 +18,9 @@ copies of one vector are spread over shards by row number, and memory is bounded
 Components become ``floor(scale * x)`` of x as double. Rows whose vector is null or holds a null
 or a component that is not finite take no part. A vector that is shorter than others is filled
 with zeros. Repeated rows are candidates and queries of their own; a row is never a candidate
-for itself. A null vec_id is no query and loses all ties. Components from 2**22 on are scored in
-whole numbers of any size without lists; a score beyond 64 bits is an error. An empty table has no result.
+for itself. A null vec_id is no query and loses all ties. Sums of products are exact in the float type that
+is taken; where none is wide enough, a shard is scored in whole numbers of any size without
+lists, and a score beyond 64 bits is an error. An empty table has no result.
 """
 
 from __future__ import annotations
@@ -34,60 +36,59 @@ from ..session import cut
 SHARD = 1 << 13
 TILE = 1 << 11
 GROUP = 1 << 16
-STRETCHES = (0.25, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)  # of a list, each read in one go
-SMALL = 64  # a set of so many rows that could qualify is resolved
-_WIDE = 1 << 22  # products of such components could leave the whole numbers of a double
+ASK = 1 << 8  # queries that read the lists of a tile together
+STRETCHES = (0.5, 0.6, 0.7, 0.8, 0.9, 1.0)  # of a list, each read in one go
+SMALL = 128  # a set of so many rows that could qualify is resolved
 _LAST = np.iinfo(np.int64).max  # stands for a null vec_id
 
 
 class Tile:
-    """Sorted lists over the rows of a matrix, from the least to the largest component."""
+    """Sorted lists over the rows of a matrix, read to one depth for many queries at a time.
+
+    A weight above zero reads its list from the largest component, one below zero from the least.
+    With u the entry read last, a row was met in a list if its component is u or beyond, so the
+    sum of what was read and of u for the rest is ``max(component, u)`` times the weight.
+    """
 
     def __init__(self, matrix: np.ndarray):
         self.matrix = matrix
-        self.rows = np.ascontiguousarray(np.argsort(matrix, axis=0, kind="stable").T)
-        self.values = np.ascontiguousarray(np.take_along_axis(matrix, self.rows.T, axis=0).T)
-
-    def best(self, query: np.ndarray, k: int, floor: float, small: int = SMALL) -> np.ndarray:
-        """Rows among which are all that reach the k best scores of the tile and ``floor``."""
+        self.lists = np.sort(matrix, axis=0)
+
+    def bounds(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Possible and certain contributions of each row for weights above and below zero."""
+        x, n = self.matrix, len(self.matrix)
+        high, low = self.lists[n - depth], self.lists[depth - 1]
+        possible = np.hstack([np.maximum(x, high), np.minimum(x, low)])
+        certain = np.hstack([np.where(x >= high, x, self.lists[0]), np.where(x <= low, x, self.lists[-1])])
+        return possible, certain
+
+    def best(self, queries: np.ndarray, k: int, floor: np.ndarray, small: int = SMALL) -> list[np.ndarray]:
+        """For each query rows among which are all that reach the k best scores of the tile and
+        its ``floor``."""
         n = len(self.matrix)
-        used = np.flatnonzero(query)
-        if n <= max(k, small) or not len(used):
-            return np.arange(n)
-        weight = query[used]
-        rising = weight > 0  # these lists are read from their end
-        least = weight * np.where(rising, self.values[used, 0], self.values[used, -1])
-        total, sure, depth = np.zeros(n), np.full(n, least.sum()), 0
+        out = [np.arange(n)] * len(queries)
+        if n <= max(k, small):
+            return out
+        weights = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)]).T
+        reading, depth = np.arange(len(queries)), 0
         for stretch in STRETCHES:
-            until = max(depth + 1, min(n, int(n * stretch)))
-            rows, gain = self._read(used, rising, weight, depth, until)
-            # Certain: the sum, and the least contribution of each list that has not shown the row.
-            total += np.bincount(rows.ravel(), gain.ravel(), n)
-            sure += np.bincount(rows.ravel(), (gain - least[:, None]).ravel(), n)
-            depth = until
-            if depth == n:
-                possible = total
-            else:
-                # Possible: every list that has not shown the row gives at most its last entry.
-                last = gain[:, -1]
-                rows, gain = self._read(used, rising, weight, 0, depth)
-                possible = last.sum() + np.bincount(rows.ravel(), (gain - last[:, None]).ravel(), n)
-            bar = max(floor, np.partition(sure, n - k)[n - k])
-            left = np.flatnonzero(possible >= bar)
-            if len(left) <= small or depth == n:
-                return left
-        return left
-
-    def _read(self, used, rising, weight, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Row and contribution of the entries ``start`` to ``end`` of each list, best first."""
-        n = len(self.matrix)
-        rows = np.empty((len(used), end - start), self.rows.dtype)
-        gain = np.empty(rows.shape)
-        up, down = used[rising], used[~rising]
-        rows[rising] = self.rows[up, n - end : n - start][:, ::-1]
-        gain[rising] = self.values[up, n - end : n - start][:, ::-1]
-        rows[~rising], gain[~rising] = self.rows[down, start:end], self.values[down, start:end]
-        return rows, gain * weight[:, None]
+            depth = max(depth + 1, min(n, int(n * stretch)))
+            possible, certain = self.bounds(depth)
+            sure = np.partition(certain @ weights[:, reading], n - k, axis=0)[n - k]
+            may = (possible @ weights[:, reading]).T >= np.maximum(floor[reading], sure)[:, None]
+            stop = (may.sum(axis=1) <= small) | (depth == n)
+            for q, rows in zip(reading[stop], may[stop]):
+                out[q] = np.flatnonzero(rows)
+            reading = reading[~stop]
+            if not len(reading):
+                break
+        return out
+
+
+def _exact(vectors: np.ndarray, queries: np.ndarray) -> type:
+    """A type in which every sum of products is a whole number without rounding."""
+    largest = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, vectors.shape[1])
+    return np.float32 if largest < 1 << 24 else np.float64 if largest < 1 << 53 else object
 
 
 def search_shard(
@@ -96,25 +97,28 @@ def search_shard(
     """``(query, row, score)`` of the k best rows for each query; ``asked`` and ``own`` are row
     numbers, by which a row is not its own candidate."""
     scores: list[list[tuple[int, int, int]]] = [[] for _ in asked]
+    kind = _exact(vectors, queries)
+    if kind is object:
+        vectors, queries = (np.array([[int(x) for x in v] for v in m], object).reshape(m.shape) for m in (vectors, queries))
+    else:
+        vectors, queries = vectors.astype(kind), queries.astype(kind)
     for start in range(0, len(ids), tile):
         part = slice(start, start + tile)
-        wide = max(np.abs(vectors[part]).max(initial=0), np.abs(queries).max(initial=0)) >= _WIDE
-        lists = None if wide else Tile(vectors[part])
-        exact = vectors[part].astype(object) if wide else lists.matrix
-        for q, query in enumerate(queries):
-            held = scores[q]
-            if wide:
-                rows, query = np.arange(len(exact)), np.array([int(x) for x in query], object)
+        matrix, mine, names = vectors[part], own[part], ids[part]
+        lists = None if kind is object else Tile(matrix)
+        for first in range(0, len(asked), ASK):
+            some = slice(first, first + ASK)
+            if lists is None:
+                found = [np.arange(len(matrix))] * len(asked[some])
             else:
+                floor = np.array([held[-1][0] if len(held) == k else -np.inf for held in scores[some]])
                 # One more than k, as the row itself may be among them.
-                floor = -np.inf if len(held) < k else held[-1][0]
-                rows = lists.best(query, k + 1, floor)
-            rows = rows[own[part][rows] != asked[q]]
-            found = exact[rows] @ query
-            if wide:
-                found = [sum(int(a) * b for a, b in zip(v, query)) for v in exact[rows]]
-            best = sorted(zip(map(int, found), [-i for i in ids[part][rows].tolist()], own[part][rows].tolist()), reverse=True)[:k]
-            scores[q] = sorted(held + [(s, i, r) for s, i, r in best], reverse=True)[:k]
+                found = lists.best(queries[some], k + 1, floor)
+            for q, rows in enumerate(found, first):
+                rows = rows[mine[rows] != asked[q]]
+                if len(rows):
+                    best = zip(map(int, matrix[rows] @ queries[q]), [-i for i in names[rows].tolist()], mine[rows].tolist())
+                    scores[q] = sorted([*scores[q], *best], reverse=True)[:k]
     return [(int(asked[q]), row, score) for q, held in enumerate(scores) for score, _, row in held]
 
 

@@ -162,15 +162,20 @@ def test_lists_stop_early_and_miss_nothing():
     draw = np.random.default_rng(5)
     matrix = np.floor(draw.normal(size=(2000, 16)) * 32)
     lists = topk.Tile(matrix)
-    sizes = []
-    for query in np.floor(draw.normal(size=(30, 16)) * 32):
-        scores = matrix @ query
-        kth = np.sort(scores)[-6]
-        found = lists.best(query, 6, -np.inf)
-        assert set(np.flatnonzero(scores >= kth)) <= set(found)
-        assert set(np.flatnonzero(scores >= kth)) <= set(lists.best(query, 6, kth))
-        sizes.append(len(found))
-    assert np.median(sizes) <= topk.SMALL
+    asked = np.floor(draw.normal(size=(30, 16)) * 32)
+    scores = matrix @ asked.T
+    kth = np.sort(scores, axis=0)[-6]
+    for floor in (np.full(30, -np.inf), kth):
+        found = lists.best(asked, 6, floor)
+        for q, rows in enumerate(found):
+            assert set(np.flatnonzero(scores[:, q] >= kth[q])) <= set(rows)
+        assert np.median([len(rows) for rows in found]) <= topk.SMALL
+    # The bounds hold and close in on the score with the depth.
+    weights = np.hstack([np.maximum(asked, 0), np.minimum(asked, 0)]).T
+    for depth in (1, 700, 2000):
+        possible, certain = (b @ weights for b in lists.bounds(depth))
+        assert (certain <= scores).all() and (scores <= possible).all()
+    assert (certain == scores).all() and (scores == possible).all()
 
 
 # 13
@@ -244,6 +249,7 @@ def test_slices_of_a_long_text():
     for limit in (10, 64, 1000):
         found = []
         for part, again in phrases.slices(text, limit, 2):
+            part = phrases.words(part)
             assert not again or part[:again] == found[-again:]
             found += part[again:]
         assert found == whole
