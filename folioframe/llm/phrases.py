@@ -34,13 +34,15 @@ from pyspark.sql import functions as F
 
 from ..plans import scan
 from ..session import cut
-from .blocks import batch, blocks, flat, spread
+from .blocks import batch, blocks
+from .lm_score import _pack, _unpack
 
-BLOCK = 2 << 20
+BLOCK = 8 << 20
 TILE = 1 << 9
 PIECE = 1 << 20  # entries of a tile that are held at a time
 _DENSE = 16  # a tile with an entry for so many cells is counted in a dense array
 _SHIFT = 32  # a pair of ids as one number
+_LOW = (1 << _SHIFT) - 1
 
 # Separators of pieces become a full stop, a tab a blank, A-Z lower case.
 _CLEAN = bytes(
@@ -55,8 +57,8 @@ def words(clean: bytes) -> list[bytes]:
     return clean.replace(_STOP, b" . ").split()
 
 
-def slices(clean: bytes, limit: int, context: int) -> Iterator[tuple[list[bytes], int]]:
-    """Words of a long text in parts, each with the number of words before it that it repeats."""
+def slices(clean: bytes, limit: int, context: int) -> Iterator[tuple[bytes, int]]:
+    """A long text in parts, each with the number of words at its start that the part before has."""
     start, before = 0, []
     while start < len(clean):
         end = min(start + limit, len(clean))
@@ -64,64 +66,60 @@ def slices(clean: bytes, limit: int, context: int) -> Iterator[tuple[list[bytes]
             cuts = [p for p in (clean.rfind(b" ", start, end), clean.rfind(_STOP, start, end)) if p > start]
             later = [p for p in (clean.find(b" ", end), clean.find(_STOP, end)) if p >= 0]
             end = max(cuts) if cuts else min(later, default=len(clean))
-        new = words(clean[start:end])
-        yield before + new, len(before)
-        tail = (before + new)[-context:] if context else []
-        while _STOP in tail:
-            tail = tail[tail.index(_STOP) + 1 :]
-        start, before = end, tail
+        part = b" ".join([*before, clean[start:end]])
+        yield part, len(before)
+        if end < len(clean):
+            # The last words of the piece that the cut went through.
+            before = part.rpartition(_STOP)[2].split()[-context:] if context else []
+        start = end
 
 
-_BLOCKS = "block long, lang string, words array<binary>, uses array<long>, tokens binary, fresh binary"
+_BLOCKS = "block long, lang string, words array<binary>, uses array<long>, which binary, repeated array<int>"
 
 
 def _word_blocks(docs: DataFrame, context: int, limit: int) -> DataFrame:
     schema = pa.schema(
         [("block", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.binary())), ("uses", pa.list_(pa.int64())),
-         ("tokens", pa.binary()), ("fresh", pa.binary())]
+         ("which", pa.binary()), ("repeated", pa.list_(pa.int32()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The blocks are written by this job; a number is used by one task and one attempt of it.
         number = TaskContext.get().partitionId() << 32
-        held: dict[str, list] = {}  # of each language: words, repeated or not, and bytes
+        held: dict[str, list] = {}  # of each language: texts with their repeated words, and bytes
 
         def flush(lang: str) -> pa.RecordBatch:
             nonlocal number
-            texts, repeated, _ = held.pop(lang)
             number += 1
-            tokens = pa.array(texts, pa.binary()).dictionary_encode()
+            found, repeated = [], []
+            for text, again in held.pop(lang)[0]:
+                repeated += range(len(found), len(found) + again)
+                found += words(text)
+                found.append(_STOP)
+            tokens = pa.array(found, pa.binary()).dictionary_encode()
             which = tokens.indices.to_numpy().astype(np.int32)
-            fresh = np.ones(len(texts), np.uint8)
-            for at, n in repeated:
-                fresh[at : at + n] = 0
             raw = tokens.dictionary.to_pylist()
-            uses = np.bincount(which[fresh > 0], minlength=len(raw))
-            if _STOP in raw:
-                stop = raw.index(_STOP)
-                which[which == stop] = -1
-                uses[stop] = 0
-            return batch(schema, [number], [lang], [raw], [uses], [which.tobytes()], [fresh.tobytes()])
-
-        def add(lang: str, found: list[bytes], again: int, size: int) -> Iterator[pa.RecordBatch]:
-            texts, repeated, total = held.setdefault(lang, [[], [], 0])
-            if again:
-                repeated.append((len(texts), again))
-            texts += found
-            texts.append(_STOP)
-            held[lang][2] = total + size
-            if held[lang][2] >= limit:
+            uses = np.bincount(which, minlength=len(raw)) - np.bincount(which[repeated], minlength=len(raw))
+            stop = raw.index(_STOP)
+            which[which == stop] = -1
+            uses[stop] = 0
+            return batch(schema, [number], [lang], [raw], [uses], [_pack(which)], [repeated])
+
+        def add(lang: str, text: bytes, again: int) -> Iterator[pa.RecordBatch]:
+            mine = held.setdefault(lang, [[], 0])
+            mine[0].append((text, again))
+            mine[1] += len(text) + 1
+            if mine[1] >= limit:
                 yield flush(lang)
-            elif sum(h[2] for h in held.values()) >= 4 * limit:
-                yield flush(max(held, key=lambda name: held[name][2]))
+            elif sum(h[1] for h in held.values()) >= 4 * limit:
+                yield flush(max(held, key=lambda name: held[name][1]))
 
-        for block in blocks(batches, limit=limit):
+        for block in blocks(batches):
             clean = block.data.tobytes().translate(_CLEAN)
-            langs = block.rows["lang"].to_pylist()
             at = block.at.tolist()
-            for lang, a, b in zip(langs, at, at[1:]):
-                for found, again in slices(clean[a:b], limit, context):
-                    yield from add(lang, found, again, min(limit, b - a))
+            for lang, a, b in zip(block.rows["lang"].to_pylist(), at, at[1:]):
+                for text, again in slices(clean[a:b], limit, context):
+                    yield from add(lang, text, again)
         for lang in list(held):
             yield flush(lang)
 
@@ -132,8 +130,8 @@ def count_codes(codes: np.ndarray, uses: np.ndarray | None = None) -> tuple[np.n
     """Different codes of one tile with the sum of their uses: dense where there are many."""
     if not len(codes):
         return codes, np.zeros(0, np.int64)
-    low = ((codes >> _SHIFT) // TILE * TILE << _SHIFT) | ((codes & 0xFFFFFFFF) // TILE * TILE)
-    cell = (((codes >> _SHIFT) % TILE) * TILE) + (codes & 0xFFFFFFFF) % TILE
+    low = ((codes >> _SHIFT) // TILE * TILE << _SHIFT) | ((codes & _LOW) // TILE * TILE)
+    cell = (((codes >> _SHIFT) % TILE) * TILE) + (codes & _LOW) % TILE
     if len(codes) * _DENSE >= TILE * TILE:
         # Sums stay below 2**53, so the doubles of bincount are exact.
         dense = np.bincount(cell, uses, TILE * TILE) if uses is not None else np.bincount(cell, minlength=TILE * TILE)
@@ -147,7 +145,7 @@ def count_codes(codes: np.ndarray, uses: np.ndarray | None = None) -> tuple[np.n
 
 
 def tile_of(codes: np.ndarray) -> np.ndarray:
-    return ((codes >> _SHIFT) // TILE << _SHIFT) | ((codes & 0xFFFFFFFF) // TILE)
+    return ((codes >> _SHIFT) // TILE << _SHIFT) | ((codes & _LOW) // TILE)
 
 
 def count_all(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,51 +162,49 @@ def count_all(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([c for c, _ in out]), np.concatenate([n for _, n in out]).astype(np.int64)
 
 
-_STEP = "block long, lang string, head binary, word binary, fresh binary, codes array<long>, uses array<long>, which binary"
-
+_STEP = "block long, lang string, codes array<long>, uses array<long>, which binary, repeated array<int>"
 
-def _pairs(rows: pa.Table, head: np.ndarray, word: np.ndarray, fresh: np.ndarray, length: int) -> list:
-    """A block's pairs of a phrase of ``length - 1`` words at a place and the word behind it.
 
-    ``head`` has the id of the phrase that starts at each place, -1 for none, ``word`` the ids of words.
-    """
-    n = max(0, len(word) - length + 1)
-    good = (head[:n] >= 0) & (word[length - 1 :] >= 0)
-    if length > 2:  # the phrase that starts one place later must be frequent as well
-        good &= head[1 : n + 1] >= 0
-    codes = (head[:n].astype(np.int64) << _SHIFT) | word[length - 1 :].clip(0).astype(np.int64)
-    which = np.full(len(word), -1, np.int32)
-    different = np.unique(codes[good])
-    which[:n][good] = np.searchsorted(different, codes[good])
-    # A phrase belongs to the part that has its last word for the first time.
-    counted, uses = count_all(codes[good & (fresh[length - 1 :] > 0)])
-    total = np.zeros(len(different), np.int64)
-    total[np.searchsorted(different, counted)] = uses
-    return [different, total, which]
-
-
-def _step(held: DataFrame, ids: DataFrame, length: int) -> DataFrame:
-    """Blocks with their phrases of ``length`` words as codes, from ``ids(block, idx, id)`` of
-    what ``which`` points to; nothing else of a block changes."""
+def _step(held: DataFrame, ids: DataFrame, length: int, last: bool) -> DataFrame:
+    """Blocks with their phrases of ``length`` words as codes, from ``ids(block, idx, id)`` of what
+    ``which`` points to: the frequent phrase of one word less that starts at each place."""
     schema = pa.schema(
-        [("block", pa.int64()), ("lang", pa.string()), ("head", pa.binary()), ("word", pa.binary()), ("fresh", pa.binary()),
-         ("codes", pa.list_(pa.int64())), ("uses", pa.list_(pa.int64())), ("which", pa.binary())]
+        [("block", pa.int64()), ("lang", pa.string()), ("codes", pa.list_(pa.int64())), ("uses", pa.list_(pa.int64())),
+         ("which", pa.binary()), ("repeated", pa.list_(pa.int32()))]
     )
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return schema.empty_table()
-        which = np.frombuffer(left["which"][0].as_py(), np.int32)
+        which = _unpack(left["which"][0].as_py(), np.int32)
         of = np.full(int(which.max(initial=-1)) + 2, -1, np.int64)
         idx = right["idx"].to_numpy()
         inside = idx < len(of) - 1
         of[idx[inside]] = right["id"].to_numpy()[inside]
         head = of[which]  # the last entry stands for -1
-        word = head if length == 2 else np.frombuffer(left["word"][0].as_py(), np.int64)
-        fresh = np.frombuffer(left["fresh"][0].as_py(), np.uint8)
-        codes, uses, which = _pairs(left, head, word, fresh, length)
-        columns = [left["block"].to_pylist(), left["lang"].to_pylist(), [head.tobytes()], [word.tobytes()], [fresh.tobytes()],
-                   [codes], [uses], [which.tobytes()]]
+        if length == 2:
+            word = head
+        else:  # the last word of the phrase at each place
+            codes = np.append(left["codes"].combine_chunks().flatten().to_numpy(), 0)
+            word = np.where(head >= 0, codes[which] & _LOW, -1)
+        # A longer phrase takes the phrase at a place and the last word of the one behind it.
+        good = (head[:-1] >= 0) & (word[1:] >= 0)
+        codes = ((head[:-1] << _SHIFT) | word[1:])[good]
+        different, index = np.unique(codes, return_inverse=True)
+        repeated = left["repeated"][0].as_py()
+        fresh = np.ones(len(which) + length, bool)
+        fresh[repeated] = False
+        # A phrase belongs to the part that has its last word for the first time.
+        counted, sums = count_all(codes[fresh[length - 1 : length - 1 + len(good)][good]])
+        uses = np.zeros(len(different), np.int64)
+        uses[np.searchsorted(different, counted)] = sums
+        if last:
+            which = b""
+        else:
+            places = np.full(len(which), -1, np.int32)
+            places[:-1][good] = index
+            which = _pack(places)
+        columns = [left["block"].to_pylist(), left["lang"].to_pylist(), [different], [uses], [which], [repeated]]
         return pa.Table.from_batches([batch(schema, *columns)])
 
     ids = ids.withColumnRenamed("block", "of")  # both come from the same blocks
@@ -253,7 +249,7 @@ def _tile_counts(rows: DataFrame, least: int) -> DataFrame:
         if key is not None:
             yield finish()
 
-    first, second = F.shiftright("code", _SHIFT), F.col("code").bitwiseAND(F.lit((1 << _SHIFT) - 1))
+    first, second = F.shiftright("code", _SHIFT), F.col("code").bitwiseAND(F.lit(_LOW))
     tile = F.shiftleft(F.floor(first / TILE), _SHIFT).bitwiseOR(F.floor(second / TILE))
     tiles = rows.withColumn("tile", tile).repartition("lang", "tile").sortWithinPartitions("lang", "tile")
     return tiles.mapInArrow(run, "lang string, code long, a long")
@@ -280,12 +276,12 @@ def phrases(docs: DataFrame, longest: int = 3, least: int = 10, limit: int = BLO
     vocabulary = _ranked(counts.filter(F.col("a") >= least), "word")
     ids = named.select("block", "lang", "idx", F.col("w.words").alias("word"))
     ids = ids.join(vocabulary.select("lang", "word", "id"), ["lang", "word"]).select(F.col("block").alias("block"), "idx", "id")
-    held = held.select("block", "lang", F.col("tokens").alias("which"), "fresh")
     shorter = vocabulary.select("lang", "id", F.array(F.col("word").cast("string")).alias("words"), "a")
     single = vocabulary.select("lang", F.col("id").alias("_second"), F.col("word").cast("string").alias("_word"))
     out = []
     for length in range(2, longest + 1):
-        held = cut(_step(held, ids, length))
+        held = held.drop("words", "uses")
+        held = cut(_step(held, ids, length, length == longest))
         found = held.select("block", "lang", F.posexplode(F.arrays_zip("codes", "uses")).alias("idx", "c"))
         rows = found.filter("c.uses > 0").select("lang", F.col("c.codes").alias("code"), F.col("c.uses").alias("uses"))
         frequent = _ranked(_tile_counts(rows, least), "code")
@@ -295,7 +291,7 @@ def phrases(docs: DataFrame, longest: int = 3, least: int = 10, limit: int = BLO
         parts = frequent.select(
             "*",
             F.shiftright("code", _SHIFT).alias("_first"),
-            F.col("code").bitwiseAND(F.lit((1 << _SHIFT) - 1)).alias("_second"),
+            F.col("code").bitwiseAND(F.lit(_LOW)).alias("_second"),
         )
         before = shorter.select("lang", F.col("id").alias("_first"), F.col("words").alias("head"))
         named_phrases = parts.join(before, ["lang", "_first"]).join(single, ["lang", "_second"])
