@@ -62,6 +62,13 @@ def in_taxonomy(name: str, grp: str, item: int, schema: Schema | None = None) ->
     )
 
 
+def in_subtree(name: str, bounds: tuple[int, int], schema: Schema | None = None) -> Column:
+    """The same by the range of places of a subtree. Needs ``place`` on the values, see
+    ``taxonomy.with_places`` and ``taxonomy.bounds``."""
+    check_field(schema, name, "txo")
+    return _any((F.col("attr") == name) & F.col("place").between(*bounds))
+
+
 def null() -> Column:
     """Matches everything; the neutral element of a conjunction."""
     return F.lit(True)

@@ -47,6 +47,58 @@ def paths(closed: DataFrame) -> DataFrame:
     return closed.groupBy("grp", "id").agg(F.collect_set("ancestor").alias("path"))
 
 
+def intervals(items: DataFrame) -> DataFrame:
+    """``(grp, id, begin, end)``: places of the items in the order of the tree, children after their
+    parent by id; the subtree of an item is the range of places from ``begin`` to ``end``.
+
+    Sizes of subtrees add up along pointers that reach twice as far in every round, and so do the
+    places, as a place is the sum of the steps on the way from the root. A tree of depth d takes
+    log2(d) rounds each with a row for each item, whatever its shape. Steps need the sizes of the
+    siblings before, a running sum that spreads over partitions, so a parent may have any number of children.
+    """
+    total = items.count()
+    nodes = cut(items.select("grp", "id", "parent", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("size")))
+    reach = 1
+    while not nodes.filter(F.col("up").isNotNull()).isEmpty():
+        if reach > total:
+            raise ValueError("taxonomy has a cycle")
+        below = nodes.filter(F.col("up").isNotNull()).groupBy("grp", F.col("up").alias("id")).agg(F.sum("size").alias("_below"))
+        further = nodes.select("grp", F.col("id").alias("up"), F.col("up").alias("_further"))
+        nodes = cut(
+            nodes.join(below, ["grp", "id"], "left")
+            .join(further, ["grp", "up"], "left")
+            .select("grp", "id", "parent", F.col("_further").alias("up"), (F.col("size") + F.coalesce("_below", F.lit(0))).alias("size"))
+        )
+        reach *= 2
+    placed = scan.place(nodes.drop("up"), ["grp", "parent", "id"])
+    earlier = scan.unplace(scan.run(placed, ["grp", "parent"], {"step": ("sum", F.col("size"))}, inclusive=False))
+    # A child comes after its parent and the subtrees of the children before it.
+    own = F.when(F.col("parent").isNotNull(), 1).otherwise(0)
+    nodes = cut(earlier.select("grp", "id", F.col("parent").alias("up"), "size", (F.coalesce("step", F.lit(0)) + own).alias("begin")))
+    while not nodes.filter(F.col("up").isNotNull()).isEmpty():
+        further = nodes.select("grp", F.col("id").alias("up"), F.col("up").alias("_further"), F.col("begin").alias("_more"))
+        nodes = cut(
+            nodes.join(further, ["grp", "up"], "left").select(
+                "grp", "id", F.col("_further").alias("up"), "size", (F.col("begin") + F.coalesce("_more", F.lit(0))).alias("begin")
+            )
+        )
+    return nodes.select("grp", "id", "begin", (F.col("begin") + F.col("size") - 1).alias("end"))
+
+
+def bounds(places: DataFrame, grp: str, item: int) -> tuple[int, int]:
+    """First and last place of a subtree, one row; an unknown item has an empty range."""
+    row = places.filter((F.col("grp") == grp) & (F.col("id") == item)).select("begin", "end").first()
+    return (row.begin, row.end) if row else (0, -1)
+
+
+def with_places(values: DataFrame, places: DataFrame) -> DataFrame:
+    """Adds ``place`` to taxonomy values: stored in its order, a subtree is a range of the files."""
+    p = places.select(F.col("grp").alias("_grp"), F.col("id").alias("_id"), F.col("begin").alias("place"))
+    return values.join(
+        p, (F.col("txo.grp") == F.col("_grp")) & (F.col("txo.id") == F.col("_id")), "left"
+    ).drop("_grp", "_id")
+
+
 def with_paths(values: DataFrame, path_table: DataFrame) -> DataFrame:
     """Adds ``path`` to taxonomy values, for ``in_taxonomy`` tests."""
     p = path_table.select(F.col("grp").alias("_grp"), F.col("id").alias("_id"), "path")

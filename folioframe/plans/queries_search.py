@@ -6,14 +6,16 @@ from pyspark.sql import functions as F
 
 from .. import model as m
 from ..functions import terms
-from ..operators import enrich, index, search, sets, tables, taxonomy
+from ..operators import enrich, index, postings, search, sets, tables, taxonomy
 from ..operators.search import nested
-from ..session import scratch_path
+from ..session import cut, scratch_path
 from . import bindings as b
 from .registry import SQL_GEO, SQL_LANG, SQL_TITLE, query, sql_words
 
 WORD = "the"
 ASIA = 3
+_EN = "SELECT doc_id + 1 AS key FROM documents WHERE lang = 'en'"
+_LAB = "SELECT doc_id + 1 AS key FROM labels"
 
 # --- scans and fields -----------------------------------------------------------------------
 
@@ -110,17 +112,28 @@ def has_field(spark, sf):
     return search.match_values(values, search.has_field("quality", b.DOC_SCHEMA))
 
 
-def _places(spark, sf):
-    closed = taxonomy.closure(b.geo_items(spark, sf))
-    return taxonomy.with_paths(b.order_places(spark, sf), taxonomy.paths(closed))
+@query(f"""WITH RECURSIVE {SQL_GEO}
+           SELECT o_orderkey + 1 AS key FROM orders
+           WHERE o_custkey + 1000 IN (SELECT id FROM closed WHERE ancestor = {ASIA})""")
+def in_taxonomy(spark, sf):
+    """Orders placed anywhere in a region, by the range of places of its subtree."""
+    places = cut(taxonomy.intervals(b.geo_items(spark, sf)))
+    found = taxonomy.with_places(b.order_places(spark, sf), places)
+    return search.match_values(found, search.in_subtree("place", taxonomy.bounds(places, "geo", ASIA)))
 
 
 @query(f"""WITH RECURSIVE {SQL_GEO}
            SELECT o_orderkey + 1 AS key FROM orders
            WHERE o_custkey + 1000 IN (SELECT id FROM closed WHERE ancestor = {ASIA})""")
-def in_taxonomy(spark, sf):
-    """Orders placed anywhere in a region, through the tree of places."""
-    return search.match_values(_places(spark, sf), search.in_taxonomy("place", "geo", ASIA))
+def in_taxonomy_stored(spark, sf):
+    """The same from values stored in the order of places: the range reaches the scan."""
+    places = cut(taxonomy.intervals(b.geo_items(spark, sf)))
+    path = scratch_path(spark, "places")
+    stored = taxonomy.with_places(b.order_places(spark, sf), places).select("key", "attr", "place")
+    stored.repartitionByRange("place", "key").sortWithinPartitions("place", "key").write.parquet(path)
+    low, high = taxonomy.bounds(places, "geo", ASIA)
+    found = spark.read.parquet(path).filter((F.col("attr") == "place") & F.col("place").between(low, high))
+    return found.select("key").distinct()
 
 
 @query(f"SELECT doc_id + 1 AS key FROM documents WHERE lang = 'en' AND {_HAS_WORD}")
@@ -136,17 +149,15 @@ def q_and(spark, sf):
 @query(f"""SELECT doc_id + 1 AS key FROM documents
            WHERE lang = 'fr' OR {_HAS_WORD}""")
 def q_or(spark, sf):
-    closed = taxonomy.closure(b.name_items(spark, "lang", b.LANGUAGES))
-    values = taxonomy.with_paths(b.doc_values(spark, sf, *b.DOC_FIELDS), taxonomy.paths(closed))
-    return search.match_values(values, search.in_taxonomy("language", "lang", 2) | search.any_word(WORD))
+    """Over nested records a tree is a filter: one scan and no shuffle of values."""
+    condition = nested.in_taxonomy("language", "lang", [2]) | nested.any_word(WORD)
+    return search.match(b.doc_records(spark, sf), condition)
 
 
 @query(f"""SELECT doc_id + 1 AS key FROM documents
            WHERE NOT (doc_id IN (SELECT doc_id FROM labels) OR {_HAS_WORD})""")
 def q_not(spark, sf):
-    values = b.doc_values(spark, sf, *b.DOC_FIELDS)
-    condition = ~(search.has_field("quality") | search.any_word(WORD))
-    return search.match_values(values, condition, b.doc_keys(spark, sf))
+    return search.match(b.doc_records(spark, sf), ~(nested.has_field("quality") | nested.any_word(WORD)))
 
 
 @query("SELECT doc_id + 1 AS key FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
@@ -198,7 +209,7 @@ def url_terms(spark, sf):
 def build_index(spark, sf):
     """Built, stored sorted by term, and read back."""
     path = scratch_path(spark, "index")
-    index.write_index(index.index_rows(b.doc_values(spark, sf, *b.DOC_FIELDS)), path)
+    index.write_index(index.index_rows_nested(b.doc_records(spark, sf)), path)
     return index.read_index(spark, path)
 
 
@@ -210,21 +221,24 @@ def index_lookup(spark, sf):
     return index.lookup(index.read_index(spark, path), WORD)
 
 
-@query(f"""WITH idx AS ({_INDEX}),
+_CHANGED_INDEX = f"""WITH idx AS ({_INDEX}),
            titles AS (SELECT DISTINCT unnest({sql_words(SQL_TITLE)}) AS term, doc_id + 1 AS key
                       FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))
            SELECT term, key FROM idx WHERE key - 1 NOT IN (SELECT doc_id FROM labels)
-           UNION ALL SELECT term, key FROM titles""")
+           UNION ALL SELECT term, key FROM titles"""
+
+
+@query(_CHANGED_INDEX)
 def index_update(spark, sf):
     """Labelled documents change: the good ones keep their title only, the others are deleted."""
-    rows = index.index_rows(b.doc_values(spark, sf, *b.DOC_FIELDS))
+    rows = index.index_rows_nested(b.doc_records(spark, sf))
     titles = sets.members(b.doc_values(spark, sf, "title"), b.labelled_keys(spark, sf, 1))
     return index.update(rows, b.labelled_keys(spark, sf), titles)
 
 
 @query(f"WITH idx AS ({_INDEX}) SELECT term, count(*) AS n_records FROM idx GROUP BY term")
 def term_stats(spark, sf):
-    return index.term_stats(index.index_rows(b.doc_values(spark, sf, *b.DOC_FIELDS)))
+    return index.term_stats(index.index_rows_nested(b.doc_records(spark, sf)))
 
 
 @query(f"""SELECT doc_id + 1 AS key, CAST(len(list_distinct(list_concat({sql_words('text')},
@@ -234,9 +248,110 @@ def record_stats(spark, sf):
     return index.record_stats(index.index_rows_nested(b.doc_records(spark, sf)))
 
 
+# --- stored postings ------------------------------------------------------------------------
+
+
+def _store(spark, sf):
+    """Postings of all documents: words, fields, languages in the tree, two result sets, the keys."""
+    records = b.doc_records(spark, sf)
+    places = cut(taxonomy.intervals(b.name_items(spark, "lang", b.LANGUAGES)))
+    languages = taxonomy.with_places(b.doc_values(spark, sf, "language"), places)
+    path = scratch_path(spark, "postings")
+    rows = (
+        postings.nested_word_rows(records), postings.nested_field_rows(records), postings.item_rows(languages),
+        postings.set_rows(_three_sets(spark, sf)), postings.key_rows(b.doc_keys(spark, sf)),
+    )
+    postings.write(postings.build(*rows), path)
+    return path, places
+
+
+_TREE = f"""(lang = 'fr' OR {_HAS_WORD}) AND NOT doc_id IN (SELECT doc_id FROM labels)
+            OR doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND lang = 'de'"""
+
+
+def _tree(places):
+    subtree = lambda item: postings.in_taxonomy("language", "lang", taxonomy.bounds(places, "lang", item))
+    unlabelled = ~postings.has_field("quality", b.DOC_SCHEMA)
+    return (subtree(2) | postings.any_word(WORD)) & unlabelled | postings.in_set(3) & subtree(3)
+
+
+@query(f"SELECT doc_id + 1 AS key FROM documents WHERE {_TREE}")
+def q_tree_stored(spark, sf):
+    """A tree of words, fields, subtrees and sets that reads only the postings of its leaves."""
+    path, places = _store(spark, sf)
+    return postings.match(postings.read(spark, path), _tree(places))
+
+
+@query(f"SELECT count(*) AS n FROM documents WHERE {_TREE}")
+def count_stored(spark, sf):
+    path, places = _store(spark, sf)
+    return postings.count(postings.read(spark, path), _tree(places))
+
+
+@query(f"""SELECT 'and' AS op, key FROM ({_EN} INTERSECT {_LAB})
+           UNION ALL SELECT 'or', key FROM ({_EN} UNION {_LAB})
+           UNION ALL SELECT 'minus', key FROM ({_EN} EXCEPT {_LAB})
+           UNION ALL SELECT 'not', doc_id + 1 FROM documents WHERE lang <> 'en'""")
+def set_algebra_stored(spark, sf):
+    """The four operations on stored result sets."""
+    path, _ = _store(spark, sf)
+    stored, english, labelled = postings.read(spark, path), postings.in_set(1), postings.in_set(2)
+    found = {"and": english & labelled, "or": english | labelled, "minus": english & ~labelled, "not": ~english}
+    return m.union_all([postings.match(stored, c).select(F.lit(op).alias("op"), "key") for op, c in found.items()])
+
+
+def _changed_store(spark, sf):
+    """Labelled documents change in two segments: the good ones keep their title only, then the others
+    are deleted."""
+    path, places = _store(spark, sf)
+    good, bad = b.labelled_keys(spark, sf, 1), b.labelled_keys(spark, sf, 0)
+    titles = sets.members(b.doc_values(spark, sf, "title"), good)
+    held = sets.members(b.doc_keys(spark, sf), good)
+    new = postings.change(good, postings.word_rows(titles), postings.field_rows(titles), postings.key_rows(held))
+    for _ in range(2):  # a change that comes twice counts once
+        postings.write(new, path, segment=1)
+    postings.write(postings.change(bad), path, segment=2)
+    return path, places
+
+
+@query(_CHANGED_INDEX)
+def index_segments(spark, sf):
+    """Every term of the changed store, over three segments."""
+    return postings.term_keys(postings.read(spark, _changed_store(spark, sf)[0]))
+
+
+@query(_CHANGED_INDEX)
+def index_compacted(spark, sf):
+    """The same after the two changes have become one segment; the first is not read for it."""
+    path, _ = _changed_store(spark, sf)
+    postings.compact(spark, path)
+    return postings.term_keys(postings.read(spark, path))
+
+
+@query(f"""WITH titles AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
+                           AND list_contains({sql_words(SQL_TITLE)}, '{WORD}'))
+           SELECT doc_id + 1 AS key FROM documents
+           WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND ({_HAS_WORD}) OR doc_id IN (SELECT doc_id FROM titles)""")
+def lookup_segments(spark, sf):
+    """A word over all segments: deleted records are out, changed ones found by what they hold now."""
+    return postings.match(postings.read(spark, _changed_store(spark, sf)[0]), postings.any_word(WORD))
+
+
 # --- taxonomy -------------------------------------------------------------------------------
 
 
+@query(f"""WITH RECURSIVE {SQL_GEO},
+           tree(id, way) AS (
+             SELECT id, [id] FROM geo WHERE parent IS NULL
+             UNION ALL SELECT g.id, list_append(t.way, g.id) FROM tree t JOIN geo g ON g.parent = t.id
+           ),
+           sizes AS (SELECT ancestor AS id, count(*) AS size FROM closed GROUP BY ancestor)
+           SELECT 'geo' AS grp, CAST(id AS INTEGER) AS id, row_number() OVER (ORDER BY way) - 1 AS "begin",
+                  row_number() OVER (ORDER BY way) + size - 2 AS "end" FROM tree JOIN sizes USING (id)""")
+def taxonomy_intervals(spark, sf):
+    return taxonomy.intervals(b.geo_items(spark, sf))
+
+
 @query(f"WITH RECURSIVE {SQL_GEO} SELECT 'geo' AS grp, CAST(ancestor AS INTEGER) AS ancestor, CAST(id AS INTEGER) AS id FROM closed")
 def taxonomy_closure(spark, sf):
     return taxonomy.closure(b.geo_items(spark, sf))
@@ -262,10 +377,6 @@ def prune_taxonomy(spark, sf):
 
 # --- sets -----------------------------------------------------------------------------------
 
-_EN = "SELECT doc_id + 1 AS key FROM documents WHERE lang = 'en'"
-_LAB = "SELECT doc_id + 1 AS key FROM labels"
-
-
 @query(f"{_EN} UNION {_LAB}")
 def rs_union(spark, sf):
     return sets.union(b.doc_keys_in(spark, sf, "en"), b.labelled_keys(spark, sf))
@@ -296,6 +407,11 @@ def _two_sets(spark, sf):
     return sets.of(b.doc_keys_in(spark, sf, "en"), 1).union(sets.of(b.labelled_keys(spark, sf), 2))
 
 
+def _three_sets(spark, sf):
+    """Also set 3: labelled as good."""
+    return _two_sets(spark, sf).union(sets.of(b.labelled_keys(spark, sf, 1), 3))
+
+
 @query(f"""SELECT CAST(1 AS BIGINT) AS rs_id, key FROM ({_EN} UNION SELECT doc_id + 1 FROM documents WHERE lang = 'fr')
            UNION ALL SELECT 2, key FROM ({_LAB})""")
 def rs_add(spark, sf):
