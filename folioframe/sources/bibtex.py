@@ -146,6 +146,13 @@ def entries(text: str) -> Iterator[tuple]:
         at = end
 
 
+def _parsed(pieces: list[str]) -> list[tuple]:
+    found = list(entries("\n".join(pieces)))
+    if len(pieces) > 1 and any(e[0] == "error" for e in found):
+        return [e for piece in pieces for e in entries(piece)]
+    return found
+
+
 _BRACE = re.compile(r"\\.|([{}])", re.S)
 
 
@@ -153,60 +160,125 @@ def _open_braces(text: str) -> int:
     return sum(1 if b == "{" else -1 for b in _BRACE.findall(text) if b)
 
 
-def _whole(pieces: Iterator[str]) -> Iterator[list[str]]:
-    """Pieces of a block that belong together: a line that starts with ``@`` inside braces is
-    no new entry. A piece that never closes stands alone."""
-    held: list[str] = []
-    depth = 0
-    for piece in pieces:
-        held.append(piece)
-        depth += _open_braces(piece)
-        if depth <= 0:
-            yield held
-            held, depth = [], 0
-    while held:
-        depth = 0
-        for n, piece in enumerate(held, 1):
-            depth += _open_braces(piece)
-            if depth <= 0:
-                break
-        else:
-            n = 1
-        yield held[:n]
-        held = held[n:]
+def _rows(place: tuple, at: int, pieces: list[str]) -> list[tuple]:
+    out = []
+    for kind, type_, key, fields, raw in _parsed(pieces):
+        nested = [{"name": n, "parts": [{"bare": b, "text": t} for b, t in parts]} for n, parts in fields.items()]
+        out.append((*place, at, kind, type_, key, nested, raw))
+        at += kind == "entry"
+    return out
 
 
-def _parsed(pieces: list[str]) -> list[tuple]:
-    found = list(entries("\n".join(pieces)))
-    if len(pieces) > 1 and any(e[0] == "error" for e in found):
-        return [e for piece in pieces for e in entries(piece)]
-    return found
+_NAMES = [c.split()[0] for c in _ENTRIES.split(", ")]
+_OPEN, _REST = "open", "rest"  # kinds of rows for an entry that goes on in the next block
 
 
 def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Entries of the pieces of a partition. ``at`` counts the entries of each block."""
-    names = [c.split()[0] for c in _ENTRIES.split(", ")]
-    lines = (row for batch in batches for row in zip(batch["_file"], batch["_block"], batch["value"]))
+    """Entries of the pieces of a partition. ``at`` counts the entries of each block.
+
+    ``skip`` pieces of a block belong to an entry of an earlier one, and ``lone`` are those that never
+    close and stand alone. From there a piece takes others in until its braces are closed.
+    """
+    columns = ["_file", "_block", "value", "skip", "lone"]
+    lines = (row for batch in batches for row in zip(*(batch[c] for c in columns)))
     rows: list[tuple] = []
     for (file, start), block in groupby(lines, key=lambda row: row[:2]):
-        at = 0
-        # The separator took the @, except at the start of a file.
-        texts = (value if n == 0 and start == 0 else "@" + value for n, (*_, value) in enumerate(block))
-        for pieces in _whole(texts):
-            for kind, type_, key, fields, raw in _parsed(pieces):
-                nested = [{"name": n, "parts": [{"bare": b, "text": t} for b, t in parts]} for n, parts in fields.items()]
-                rows.append((file, start, at, kind, type_, key, nested, raw))
-                at += kind == "entry"
+        at, depth, held, rest = 0, 0, [], []
+        for n, (*_, value, skip, lone) in enumerate(block):
+            # The separator took the @, except at the start of a file.
+            piece = value if n == 0 and start == 0 else "@" + value
+            if n < skip:
+                rest.append(piece)
+                continue
+            if lone is not None and n in lone:
+                new = _rows((file, start), at, [piece])
+            else:
+                held.append(piece)
+                depth += _open_braces(piece)
+                if depth > 0:
+                    continue
+                new, held, depth = _rows((file, start), at, held), [], 0
+            rows += new
+            at += sum(r[3] == "entry" for r in new)
             if len(rows) >= 1000:
-                yield pd.DataFrame(rows, columns=names)
+                yield pd.DataFrame(rows, columns=_NAMES)
                 rows = []
-    yield pd.DataFrame(rows, columns=names)
+        for kind, pieces in ((_OPEN, held), (_REST, rest)):
+            if pieces:
+                rows.append((file, start, at, kind, None, None, [], "\n".join(pieces)))
+    yield pd.DataFrame(rows, columns=_NAMES)
+
+
+def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries that were put together from several blocks."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for file, start, at, raw in zip(batch["_file"], batch["_block"], batch["at"], batch["raw"]):
+            first, *others = raw.split("\n@")
+            rows += _rows((file, start), at, [first, *("@" + p for p in others)])
+        yield pd.DataFrame(rows, columns=_NAMES)
+
+
+def _net_braces() -> Column:
+    count = lambda b: F.length(F.regexp_replace("value", rf"(?s)\\.|[^{b}]", ""))
+    return count("{") - count("}")
+
+
+def _borders(pieces: DataFrame) -> DataFrame:
+    """``(_file, _block, skip, lone, owner)`` for the blocks that do not start with an entry of their own, or
+    have pieces that never close.
+
+    With P the running sum of open braces in a file, a piece closes at the first P that is not
+    above the P before it. So pieces before which P is below all that follows never close; they
+    stand alone and what comes after is taken for itself. Of the other pieces, those start an
+    entry before which P is the least so far. Running sums and minima spread over any number of blocks;
+    the rows are numbers, the text is not shuffled.
+    """
+    slim = pieces.select("_file", "_block", F.monotonically_increasing_id().alias("_mid"), _net_braces().alias("_d"))
+    place = ["_file", "_block", "_mid"]
+    rows = scan.unplace(scan.run(scan.place(slim, place), ["_file"], {"_p": ("sum", F.col("_d"))}))
+    back = scan.place(rows, ["_file", F.desc("_block"), F.desc("_mid")])
+    back = scan.unplace(scan.run(back, ["_file"], {"_least": ("min", F.col("_p"))}))  # from here to the end
+    before = F.col("_p") - F.col("_d")
+    back = back.withColumn("_lone", before < F.col("_least")).drop("_least")
+    # Sections of a file: each piece that stands alone starts a new one.
+    rows = scan.run(scan.place(back, place), ["_file"], {"_section": ("count", F.when(F.col("_lone"), 1))})
+    rows = scan.run(rows, ["_file", "_section"], {"_low": ("min", F.col("_p"))}, inclusive=False)
+    low = F.when(F.col("_section") == 0, F.least(F.coalesce("_low", F.lit(0)), F.lit(0))).otherwise(F.col("_low"))
+    rows = rows.withColumn("_first", F.col("_lone") | (before <= low))
+    rows = scan.unplace(scan.run(rows, ["_file"], {"owner": ("last", F.when(F.col("_first"), F.col("_block")))}))
+    start = F.min("_mid")
+    blocks = rows.groupBy("_file", "_block").agg(
+        F.coalesce(F.min(F.when(F.col("_first"), F.col("_mid"))) - start, F.count(F.lit(1))).alias("skip"),
+        F.collect_list(F.when(F.col("_lone"), F.col("_mid"))).alias("_lones"),
+        start.alias("_start"),
+        F.min_by("owner", "_mid").alias("owner"),
+    )
+    lone = F.transform("_lones", lambda n: n - F.col("_start"))
+    return blocks.select("_file", "_block", "skip", lone.alias("lone"), "owner").filter((F.col("skip") > 0) | (F.size("lone") > 0))
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
     # A later block also starts after an @ the separator took: its first piece is not a file start.
-    rows = spark.read.option("lineSep", "\n@").text(path).select(*file_place(), "value")
-    return rows.mapInPandas(_split, _ENTRIES)
+    pieces = spark.read.option("lineSep", "\n@").text(path).select(*file_place(), "value")
+    if pieces.filter(_net_braces() != 0).isEmpty():  # every piece is closed, as in most files
+        return pieces.select("*", F.lit(0).alias("skip"), F.lit(None).cast("array<bigint>").alias("lone")).mapInPandas(_split, _ENTRIES)
+    borders = cut(_borders(pieces))
+    # One row at most for each block of the files; a shuffle would lose the order of the pieces.
+    marks = F.broadcast(borders.select("_file", "_block", "skip", "lone"))
+    marked = pieces.join(marks, ["_file", "_block"], "left").withColumn("skip", F.coalesce("skip", F.lit(0)))
+    rows = marked.mapInPandas(_split, _ENTRIES)
+    if borders.filter("skip > 0").isEmpty():
+        return rows
+    rows = cut(rows)
+    text = F.struct(F.col("_block").alias("from"), "raw").alias("text")
+    opened = rows.filter(F.col("kind") == _OPEN).select("_file", "_block", "at", text)
+    rest = rows.filter(F.col("kind") == _REST).join(borders, ["_file", "_block"])
+    rest = rest.select("_file", F.col("owner").alias("_block"), F.lit(None).cast("int").alias("at"), text)
+    whole = opened.union(rest).groupBy("_file", "_block").agg(
+        F.max("at").alias("at"), F.array_join(F.sort_array(F.collect_list("text"))["raw"], "\n").alias("raw")
+    )
+    return rows.filter(~F.col("kind").isin(_OPEN, _REST)).unionByName(whole.mapInPandas(_finish, _ENTRIES))
 
 
 def _expand(fields: DataFrame, strings: DataFrame) -> DataFrame:
