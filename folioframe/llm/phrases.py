@@ -12,7 +12,9 @@ in turn and each block is sent the ranks of its own pairs; a phrase of one more
 a frequent phrase and a word, counted in the same way. A longer phrase can only be frequent when both
 phrases of one word less in it are, so nothing else is counted.
 
-No count of the corpus is broadcast or brought to the driver. A frequent word travels once
+No count of the corpus is broadcast or brought to the driver; a filter of ``FILTER_BITS`` bits is, which
+tells a block which of its pairs can be frequent and so need to ask for a rank (pairs that share a
+bit ask in vain, so a full filter costs shuffles and no result). A frequent word travels once
 for each block that has it. A language with a third of all rows is many blocks and tiles.
 Words and pairs are compared themselves, never by hashes. A text longer than a block is cut at
 a white space or a separator, and the cut carries the words before it, so memory is bounded
@@ -24,25 +26,30 @@ empty table gives no rows. Further columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import scan
 from ..session import cut
-from .blocks import batch, blocks
+from .blocks import batch, blocks, mixed
 from .lm_score import _pack, _unpack
 
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 TILE = 1 << 9
 PIECE = 1 << 20  # entries of a tile that are held at a time
+FILTER_BITS = 1 << 27  # of the filter of frequent pairs, 16 MB whatever the corpus
+ROWS = 1 << 16  # of a batch that a task returns
 _DENSE = 16  # a tile with an entry for so many cells is counted in a dense array
 _SHIFT = 32  # a pair of ids as one number
 _LOW = (1 << _SHIFT) - 1
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 # Separators of pieces become a full stop, a tab a blank, A-Z lower case.
 _CLEAN = bytes(
@@ -211,6 +218,62 @@ def _step(held: DataFrame, ids: DataFrame, length: int, last: bool) -> DataFrame
     return held.groupBy("block").cogroup(ids.groupBy("of")).applyInArrow(task, _STEP)
 
 
+def _bits(langs: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Place of each pair in the filter."""
+    return (mixed(codes.astype(np.uint64) + langs.astype(np.uint64) * _ODD) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _lang_number(lang: str) -> int:
+    return zlib.crc32(lang.encode())
+
+
+def _filter(frequent: DataFrame) -> np.ndarray:
+    """A bit for each frequent pair, others may share it. The driver gets ``FILTER_BITS`` and no more:
+    the distinct bits come combined into bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("bit", pa.int64())])
+        for rows in batches:
+            langs = rows["lang"].dictionary_encode()
+            numbers = np.array([_lang_number(x) for x in langs.dictionary.to_pylist()], np.uint64)
+            yield batch(schema, _bits(numbers[langs.indices.to_numpy()], rows["code"].to_numpy()))
+
+    bits = frequent.select("lang", "code").mapInArrow(run, "bit long")
+    bits = bits.select(F.floor(F.col("bit") / 64).alias("word"), F.expr("shiftleft(1L, CAST(bit % 64 AS INT))").alias("bit"))
+    found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out
+
+
+_ENTRY = "block long, lang string, idx int, code long, uses long"
+
+
+def _entries(held: DataFrame, chosen: Broadcast | None = None) -> DataFrame:
+    """A row for each different phrase of a block: those used in it, or those the filter knows."""
+    schema = pa.schema(
+        [("block", pa.int64()), ("lang", pa.string()), ("idx", pa.int32()), ("code", pa.int64()), ("uses", pa.int64())]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for i in range(rows.num_rows):
+                block, lang = rows["block"][i].as_py(), rows["lang"][i].as_py()
+                codes = rows["codes"][i].values.to_numpy()
+                uses = rows["uses"][i].values.to_numpy()
+                if chosen is None:
+                    idx = np.flatnonzero(uses)
+                else:
+                    bit = _bits(np.array([_lang_number(lang)], np.uint64), codes)
+                    idx = np.flatnonzero(chosen.value[bit // 64] >> (bit % 64) & 1)
+                for at in range(0, len(idx), ROWS):
+                    some = idx[at : at + ROWS]
+                    n = len(some)
+                    yield batch(schema, np.full(n, block), pa.array([lang]).take(pa.array(np.zeros(n, np.int8))), some, codes[some], uses[some])
+
+    return held.select("block", "lang", "codes", "uses").mapInArrow(run, _ENTRY)
+
+
 def _tile_counts(rows: DataFrame, least: int) -> DataFrame:
     """Codes of a language with ``least`` uses and more, from ``rows(lang, code, uses)``."""
     schema = pa.schema([("lang", pa.string()), ("code", pa.int64()), ("a", pa.int64())])
@@ -282,11 +345,11 @@ def phrases(docs: DataFrame, longest: int = 3, least: int = 10, limit: int = BLO
     for length in range(2, longest + 1):
         held = held.drop("words", "uses")
         held = cut(_step(held, ids, length, length == longest))
-        found = held.select("block", "lang", F.posexplode(F.arrays_zip("codes", "uses")).alias("idx", "c"))
-        rows = found.filter("c.uses > 0").select("lang", F.col("c.codes").alias("code"), F.col("c.uses").alias("uses"))
-        frequent = _ranked(_tile_counts(rows, least), "code")
+        frequent = _ranked(cut(_tile_counts(_entries(held).select("lang", "code", "uses"), least)), "code")
         if length < longest:
-            asked = found.select("block", "lang", "idx", F.col("c.codes").alias("code"))
+            # Most pairs of a corpus are rare: a filter of fixed size spares them the way to the ranks.
+            chosen = docs.sparkSession.sparkContext.broadcast(_filter(frequent))
+            asked = _entries(held, chosen).drop("uses")
             ids = asked.join(frequent.select("lang", "code", "id"), ["lang", "code"]).select(F.col("block").alias("block"), "idx", "id")
         parts = frequent.select(
             "*",
