@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.terms import ROW, sort_key
@@ -79,6 +79,66 @@ def first(values: DataFrame, keys: DataFrame, by: Sequence[tuple[str, bool]], n:
     return rows.orderBy(*order).offset(skip).limit(n).select("key")
 
 
+def _before(left: Sequence[Column], right: Sequence[Column], by: Sequence[tuple[str, bool]]) -> Column:
+    """Whether one row comes before another; both by the lists of ``by`` and then the key."""
+    out = left[-1] < right[-1]
+    for a, b, (_, ascending) in reversed(list(zip(left, right, by))):
+        out = ((a < b) if ascending else (a > b)) | ((a == b) & out)
+    return out
+
+
+def _literal(value, kind) -> Column:
+    return F.array(*[F.lit(x) for x in value]).cast(kind) if isinstance(value, list) else F.lit(value).cast(kind)
+
+
+def select(
+    values: DataFrame, keys: DataFrame, by: Sequence[tuple[str, bool]], position: int, n: int = 1, pieces: int = 16
+) -> DataFrame:
+    """``(key, pos)`` of ``n`` rows from a position on, by selection: a sample gives borders of ranges, one
+    pass counts the rows of each range without a shuffle of rows, and only the ranges that hold the
+    positions are sorted. The driver gets a sample of bounded size and a count for each range.
+    """
+    rows, order = order_columns(values, keys, by)
+    rows = cut(rows)
+    columns = [*[f"_o{i}" for i in range(len(by))], "key"]
+    total = rows.count()
+    sample = rows.sample(min(1.0, 20 * pieces / max(total, 1)), seed=1).orderBy(*order).limit(100 * pieces).collect()
+    borders = sample[:: max(1, -(-len(sample) // pieces))][1:]
+    own = [F.col(c) for c in columns]
+    number = F.lit(0)
+    for border in borders:
+        other = [_literal(border[c], rows.schema[c].dataType) for c in columns]
+        number = number + F.when(_before(own, other, by), 0).otherwise(1)
+    ranged = rows.withColumn("_range", number)
+    sizes = {r._range: r.n for r in ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted, first, skipped = [], 0, 0
+    for piece in range(len(borders) + 1):
+        size = sizes.get(piece, 0)
+        if first + size <= position:
+            skipped = first + size
+        elif first < position + n:
+            wanted.append(piece)
+        first += size
+    page = ranged.filter(F.col("_range").isin(wanted)) if wanted else ranged.limit(0)
+    page = page.orderBy(*order).offset(position - min(skipped, position)).limit(n).select("key", *columns[:-1])
+    # A page of n rows: numbering them needs no spreading.
+    place = F.row_number().over(Window.orderBy(*order)) + F.lit(position - 1)
+    return page.select("key", place.cast("bigint").alias("pos"))
+
+
+def position_of(values: DataFrame, keys: DataFrame, by: Sequence[tuple[str, bool]], key: int) -> DataFrame:
+    """``(key, pos)`` of one key, by a count of the rows before it; no row if it is not in the view."""
+    rows, _ = order_columns(values, keys, by)
+    rows = cut(rows)
+    columns = [*[f"_o{i}" for i in range(len(by))], "key"]
+    here = rows.filter(F.col("key") == key).first()
+    if here is None:
+        return rows.limit(0).select("key", F.lit(0).cast("bigint").alias("pos"))
+    other = [_literal(here[c], rows.schema[c].dataType) for c in columns]
+    before = _before([F.col(c) for c in columns], other, by)
+    return rows.agg(F.count_if(before).alias("pos")).select(F.lit(key).cast("bigint").alias("key"), "pos")
+
+
 def at(ordered: DataFrame, position: int, n: int = 1) -> DataFrame:
     return ordered.filter((F.col("pos") >= position) & (F.col("pos") < position + n))
 

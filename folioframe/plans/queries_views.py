@@ -60,12 +60,19 @@ def sort_key(spark, sf):
 
 @query(_BY_DATE + "SELECT key, pos FROM v WHERE pos = 100")
 def view_at(spark, sf):
-    return views.at(_by_date(spark, sf), 100)
+    return views.select(b.cust_values(spark, sf, "date"), b.cust_keys(spark, sf), [("date", True)], 100)
 
 
 @query(_BY_DATE + "SELECT key, pos FROM v WHERE pos BETWEEN 40 AND 59")
 def view_slice(spark, sf):
-    return views.at(_by_date(spark, sf), 40, 20)
+    """A few rows by selection: only their range of the view is sorted."""
+    return views.select(b.cust_values(spark, sf, "date"), b.cust_keys(spark, sf), [("date", True)], 40, 20)
+
+
+@query(_BY_DATE + "SELECT key, pos FROM v WHERE key = 101")
+def view_position(spark, sf):
+    """One key by a count of what comes before it."""
+    return views.position_of(b.cust_values(spark, sf, "date"), b.cust_keys(spark, sf), [("date", True)], 101)
 
 
 @query(_BY_DATE + """SELECT w.key, v.pos FROM (SELECT DISTINCT user_id * 20 + 1 AS key FROM events) w

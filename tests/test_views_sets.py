@@ -45,6 +45,23 @@ def test_long_lists_order_as_whole_lists(spark, monkeypatch):
     assert in_order(views.view(values, everyone, [("f", True)])) == sorted(lists, key=lambda k: (lists[k], k))
 
 
+def test_positions_by_selection(spark):
+    rng = random.Random(9)
+    rows = [(k, "f", "text", rng.choice("abc")) for k in range(1, 90) for _ in range(rng.choice([0, 1, 1, 2]))]
+    rows += [(k, "g", "date", (rng.choice([1999, 2000]), None, None)) for k in range(1, 60)]
+    values = make_values(spark, rows).cache()
+    everyone = spark.range(1, 90).select(F.col("id").alias("key"))
+    by = [("f", False), ("g", True)]
+    whole = in_order(views.view(values, everyone, by))
+    for position, n in ((0, 1), (37, 20), (85, 20), (200, 3)):
+        got = views.select(values, everyone, by, position, n, pieces=4).collect()
+        assert sorted((r.pos, r.key) for r in got) == list(enumerate(whole))[position : position + n]
+    for key in (whole[0], whole[50]):
+        assert [tuple(r) for r in views.position_of(values, everyone, by, key).collect()] == [(key, whole.index(key))]
+    assert views.position_of(values, everyone, by, 1000).count() == 0
+    assert views.select(values, everyone.limit(0), by, 0, 5).count() == 0
+
+
 def test_collate(spark):
     values = make_values(spark, VIEW)
     named = taxonomy.resolve(values.filter("attr = 'enum'"), items(spark, [("type", 1, None, "Journal"), ("type", 2, None, "Book")]))
