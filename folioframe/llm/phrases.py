@@ -42,7 +42,7 @@ from .blocks import batch, blocks, mixed
 from .lm_score import _pack, _unpack
 
 BLOCK = 4 << 20
-TILE = 1 << 9
+TILE = 1 << 8
 PIECE = 1 << 20  # entries of a tile that are held at a time
 FILTER_BITS = 1 << 27  # of the filter of frequent pairs, 16 MB whatever the corpus
 ROWS = 1 << 16  # of a batch that a task returns
@@ -280,27 +280,35 @@ def _tile_counts(rows: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, codes, uses, size = None, [], [], 0
+        done: list[tuple[str, np.ndarray, np.ndarray]] = []
 
         def add_up() -> tuple[np.ndarray, np.ndarray]:
             return count_codes(np.concatenate(codes), np.concatenate(uses))
 
-        def finish() -> pa.RecordBatch:
+        def finish() -> int:
             found, total = add_up()
             good = total >= least
-            return batch(schema, pa.array([key[0]] * int(good.sum()), pa.string()), found[good], total[good])
+            done.append((key[0], found[good], total[good]))
+            return int(good.sum())
 
+        def give() -> pa.RecordBatch:
+            langs = np.repeat([lang for lang, _, _ in done], [len(c) for _, c, _ in done])
+            out = batch(schema, pa.array(langs.tolist(), pa.string()), *(np.concatenate([d[i] for d in done]) for i in (1, 2)))
+            done.clear()
+            return out
+
+        ready = 0
         for rows in batches:
             code, use = rows["code"].to_numpy(), rows["uses"].to_numpy()
             lang = rows["lang"].dictionary_encode()
-            tile = rows["tile"].to_numpy()
-            number = lang.indices.to_numpy()
+            tile, number = tile_of(code), lang.indices.to_numpy()
             borders = (np.flatnonzero((np.diff(tile) != 0) | (np.diff(number) != 0)) + 1).tolist()
             for a, b in zip([0, *borders], [*borders, len(code)]):
                 if a == b:
                     continue
                 here = lang.dictionary[int(number[a])].as_py(), int(tile[a])
                 if key is not None and here != key:
-                    yield finish()
+                    ready += finish()
                     codes, uses, size = [], [], 0
                 key = here
                 codes.append(code[a:b])
@@ -309,12 +317,17 @@ def _tile_counts(rows: DataFrame, least: int) -> DataFrame:
                 if size >= PIECE:  # at most as many are left as a tile has cells
                     found, total = add_up()
                     codes, uses, size = [found], [total], 0
+            if ready >= ROWS or len(done) >= ROWS:
+                yield give()
+                ready = 0
         if key is not None:
-            yield finish()
+            finish()
+            yield give()
+        pa.default_memory_pool().release_unused()
 
     first, second = F.shiftright("code", _SHIFT), F.col("code").bitwiseAND(F.lit(_LOW))
     tile = F.shiftleft(F.floor(first / TILE), _SHIFT).bitwiseOR(F.floor(second / TILE))
-    tiles = rows.withColumn("tile", tile).repartition("lang", "tile").sortWithinPartitions("lang", "tile")
+    tiles = rows.select("lang", "code", "uses").repartition("lang", tile).sortWithinPartitions("lang", tile)
     return tiles.mapInArrow(run, "lang string, code long, a long")
 
 
