@@ -291,3 +291,10 @@ def open_tables(spark: SparkSession, path: str, back: int = 0) -> dict[str, Data
 def destroy_tables(spark: SparkSession, path: str) -> None:
     folder, fs = _folder(spark, path)
     fs.delete(folder, True)
+
+
+def listed(values: DataFrame | None, index: DataFrame, member: DataFrame) -> DataFrame:
+    """All rows of a database in one list: ``(part, key, detail)``."""
+    row = lambda df, part, detail: df.select(F.lit(part).alias("part"), "key", F.col(detail).cast("string").alias("detail"))
+    rows = row(index, "index", "term").union(row(member, "member", "rs_id"))
+    return rows if values is None else rows.union(row(values, "values", "text"))

@@ -456,17 +456,14 @@ def rs_cascade(spark, sf):
     return sets.cascade(_two_sets(spark, sf), b.doc_keys_in(spark, sf, "en"))
 
 
-@query("""SELECT 'values' AS part, count(*) AS n FROM documents WHERE lang <> 'en'
-          UNION ALL SELECT 'member', count(*) FROM labels JOIN documents USING (doc_id) WHERE lang <> 'en'
-          UNION ALL SELECT 'index', count(*) FROM (
-            SELECT DISTINCT unnest(""" + sql_words(SQL_TITLE) + """) AS t, doc_id FROM documents WHERE lang <> 'en')""")
+@query(f"""WITH kept AS (SELECT doc_id + 1 AS key, {SQL_TITLE} AS title FROM documents WHERE lang <> 'en')
+           SELECT 'values' AS part, key, title AS detail FROM kept
+           UNION ALL SELECT 'index', key, term FROM (SELECT DISTINCT unnest({sql_words('title')}) AS term, key FROM kept)
+           UNION ALL SELECT 'member', key, '2' FROM kept WHERE key IN ({_LAB})""")
 def rs_destroy(spark, sf):
-    """Destroying a set deletes its records everywhere."""
+    """Destroying a set deletes its records everywhere: every row that is left."""
     values = b.doc_values(spark, sf, "title")
-    left = sets.destroy(values, index.index_rows(values), _two_sets(spark, sf), 1)
-    return m.union_all(
-        [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("part"), "n") for n, t in zip(("values", "index", "member"), left)]
-    )
+    return tables.listed(*sets.destroy(values, index.index_rows(values), _two_sets(spark, sf), 1))
 
 
 # --- collate and arity ----------------------------------------------------------------------

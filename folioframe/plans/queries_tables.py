@@ -60,19 +60,17 @@ def update_missing(spark, sf):
     return _updated(spark, sf)[1]
 
 
-@query(f"""WITH kept AS (SELECT * FROM customer WHERE c_acctbal >= 0)
-           SELECT 'values' AS part, count(*) AS n FROM kept
-           UNION ALL SELECT 'index', count(*) FROM (SELECT DISTINCT unnest({sql_words('c_name')}), c_custkey FROM kept)
-           UNION ALL SELECT 'member', count(*) FROM kept WHERE c_mktsegment = 'BUILDING'""")
+@query(f"""WITH kept AS (SELECT *, c_custkey + 1 AS key FROM customer WHERE c_acctbal >= 0)
+           SELECT 'values' AS part, key, c_name AS detail FROM kept
+           UNION ALL SELECT 'index', key, term FROM (SELECT DISTINCT unnest({sql_words('c_name')}) AS term, key FROM kept)
+           UNION ALL SELECT 'member', key, '1' FROM kept WHERE c_mktsegment = 'BUILDING'""")
 def delete_records(spark, sf):
+    """Every row that is left of the values, the index and the sets."""
     cust = b.table(spark, sf, "customer")
     values = b.cust_values(spark, sf, "name")
     member = sets.of(cust.filter(F.col("c_mktsegment") == "BUILDING").select(b.cust_key().alias("key")), 1)
     gone = cust.filter(F.col("c_acctbal") < 0).select(b.cust_key().alias("key"))
-    left = tables.delete_records(values, index.index_rows(values), member, gone)
-    return m.union_all(
-        [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("part"), "n") for n, t in zip(("values", "index", "member"), left)]
-    )
+    return tables.listed(*tables.delete_records(values, index.index_rows(values), member, gone))
 
 
 # --- validation -----------------------------------------------------------------------------
@@ -293,18 +291,20 @@ def change_feed_stream(spark, sf):
     return feed.records(state.read())
 
 
-@query(f"""WITH {_FEED} SELECT DISTINCT key, unnest({sql_words('payload')}) AS term FROM state WHERE op <> 'delete'""")
+@query(f"""WITH {_FEED}, users AS (SELECT DISTINCT user_id + 1 AS key FROM events)
+           SELECT DISTINCT 'index' AS part, key, unnest({sql_words('payload')}) AS detail FROM state WHERE op <> 'delete'
+           UNION ALL SELECT 'index', key, 'stale' FROM users WHERE key NOT IN (SELECT key FROM state)
+           UNION ALL SELECT 'member', key, '1' FROM users WHERE key NOT IN (SELECT key FROM state WHERE op = 'delete')""")
 def change_feed_index(spark, sf):
-    """The index after the feed, from an index that held a stale entry for every user."""
+    """Index and sets after the feed, from an index that held a stale entry for every user. A user whose
+    changes were all invalid keeps what was there; a deleted one leaves the index and the set."""
     changes = b.feed(b.table(spark, sf, "events"))
     judged = feed.judge(feed.empty_state(changes), changes)
     live = feed.records(feed.next_state(feed.empty_state(changes), judged))
     values = m.values_of(live, F.col("key"), "props", F.lit(0), "text", F.col("payload"))
     users = changes.select("key").distinct()
     stale = users.select(F.lit("stale").alias("term"), "key")
-    rows, _ = feed.refresh(stale, sets.of(users, 1), judged, values)
-    # a user whose changes were all invalid keeps what was there, and has no record
-    return rows.join(live.select("key"), "key", "left_semi").select("key", "term")
+    return tables.listed(None, *feed.refresh(stale, sets.of(users, 1), judged, values))
 
 
 @query("""SELECT user_id + 1 AS key, event_id AS id FROM events
