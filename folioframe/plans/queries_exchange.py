@@ -91,17 +91,35 @@ def ingest_bibtex(spark, sf):
     return shown(got.values)
 
 
-@query(f"""WITH {SQL_PARTS}, s AS (SELECT p_partkey + 1 AS key, p_size, f, l, br, ty, p_type, p_brand, p_name, p_partkey,
-    CASE WHEN p_type = 'ECONOMY' THEN 7 WHEN p_size <> 7 AND p_size % 8 <> 4 OR p_size % 4 > 0 THEN 6 ELSE 5 END AS w FROM a)
-SELECT key, '@' || CASE p_type WHEN 'ECONOMY' THEN 'article' WHEN 'SMALL' THEN 'book' WHEN 'PROMO' THEN 'manual' WHEN 'LARGE' THEN 'misc'
-    WHEN 'MEDIUM' THEN 'techreport' ELSE 'unpublished' END || '{{part' || p_partkey || ',' AS line FROM s
-UNION ALL SELECT key, '   title' || repeat(' ', CAST(CASE WHEN p_type = 'ECONOMY' THEN 2 WHEN p_size % 4 > 0 THEN 1 ELSE 0 END AS INTEGER)) || ' = {{' || p_brand || ' & ' || p_name || '}}'
-    || CASE WHEN p_type = 'ECONOMY' OR (p_size <> 7 AND p_size % 8 <> 4) THEN ',' ELSE '' END FROM s
-UNION ALL SELECT key, '}}' FROM s""")
+def _sql_bibtex(title: str) -> str:
+    """Every line of the entries; ``title`` is what becomes of a title."""
+    return f"""WITH {SQL_PARTS}, s AS (
+    SELECT key, CASE attr WHEN 'date' THEN 'year' ELSE attr END AS field, pos,
+           CASE attr WHEN 'date' THEN split_part(value, '-', 1) WHEN 'title' THEN {title} WHEN 'author' THEN
+             CASE split_part(value, '|', 2) WHEN '' THEN '{{' || split_part(value, '|', 3) || '}}'
+             ELSE split_part(value, '|', 3) || ', ' || split_part(value, '|', 2) END ELSE value END AS text
+    FROM vals WHERE attr NOT IN ('id', 'doctype')),
+w AS (SELECT *, max(field) OVER (PARTITION BY key) AS final, CAST(max(length(field)) OVER (PARTITION BY key) AS INTEGER) AS width,
+             max(pos) OVER (PARTITION BY key, field) AS last_pos FROM s)
+SELECT p_partkey + 1 AS key, '@' || CASE p_type WHEN 'ECONOMY' THEN 'article' WHEN 'SMALL' THEN 'book' WHEN 'PROMO' THEN 'manual'
+    WHEN 'LARGE' THEN 'misc' WHEN 'MEDIUM' THEN 'techreport' ELSE 'unpublished' END || '{{part' || p_partkey || ',' AS line FROM part
+UNION ALL SELECT key, CASE WHEN pos = 0 THEN '   ' || rpad(field, width, ' ') || ' = ' || CASE field WHEN 'year' THEN '' ELSE '{{' END
+        ELSE repeat(' ', width + 7) || 'and ' END || text
+    || CASE WHEN pos = last_pos THEN CASE field WHEN 'year' THEN '' ELSE '}}' END || CASE field WHEN final THEN '' ELSE ',' END ELSE '' END FROM w
+UNION ALL SELECT p_partkey + 1, '}}' FROM part"""
+
+
+@query(_sql_bibtex("value"))
 def export_bibtex(spark, sf):
-    """Head, title and foot of every entry, as written."""
-    written = formats.bibtex_lines(_part_values(spark, sf), b.doctype_items(spark))
-    return written.filter((F.col("part") != 1) | (F.col("field") == "title")).select("key", "line")
+    """Every line of every entry, as written."""
+    return formats.bibtex_lines(_part_values(spark, sf), b.doctype_items(spark)).select("key", "line")
+
+
+@query(_sql_bibtex("upper(value) || '.'"))
+def writer_field_hooks(spark, sf):
+    """A writer that changes a field on its way out."""
+    hooks = {"title": lambda text: F.concat(F.upper(text), F.lit("."))}
+    return formats.bibtex_lines(_part_values(spark, sf), b.doctype_items(spark), hooks=hooks).select("key", "line")
 
 
 @query(f"""WITH {SQL_PARTS} SELECT key, attr, pos, value FROM vals WHERE key - 1 NOT IN (

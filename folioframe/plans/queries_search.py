@@ -160,6 +160,16 @@ def q_not(spark, sf):
     return search.match(b.doc_records(spark, sf), ~(nested.has_field("quality") | nested.any_word(WORD)))
 
 
+@query(f"""SELECT doc_id + 1 AS key FROM documents
+           WHERE n_chars % 2 = 0 AND {_HAS_WORD} AND NOT doc_id IN (SELECT doc_id FROM labels)""")
+def custom_condition(spark, sf):
+    """A condition of one's own is a Column and combines with the others."""
+    sizes = b.table(spark, sf, "documents").select(b.doc_key().alias("key"), "n_chars")
+    records = b.doc_records(spark, sf).join(sizes, "key")
+    even = F.col("n_chars") % 2 == 0
+    return search.match(records, even & nested.any_word(WORD) & ~nested.has_field("quality"))
+
+
 @query("SELECT doc_id + 1 AS key FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def q_null(spark, sf):
     """The empty condition leaves the other side of a combination as it is."""
