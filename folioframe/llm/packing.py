@@ -12,6 +12,9 @@ in the next round and are filled the same way; the last round leaves fewer than
 each class, a number that depends on the capacity alone, and these are packed first-fit by
 decreasing length.
 
+The string of an added token of the tokenizer file, such as ``<|endoftext|>``, is that token's id
+wherever a text has it, inside words too, as the tokenizers library gives it.
+
 Null text counts as empty: its only id is the end id. Repeated rows are documents of their own;
 null doc_ids are kept. An empty table gives no rows.
 """
@@ -54,9 +57,16 @@ _FIELDS = ", ".join(f"{n} long" for n, _ in _PIECE + _PLACED)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def _added(path: str) -> re.Pattern[bytes] | None:
+    """Matches the added tokens of the file, such as an end mark: in a text they are one id each."""
+    added = _tokenizer(path).get_added_tokens_decoder().values()
+    if any(t.lstrip or t.rstrip or t.single_word or len(t.content.split()) != 1 for t in added):
+        raise ValueError("an added token that depends on the text around it cannot be found in single words")
+    return re.compile(b"|".join(re.escape(t.content.encode()) for t in added)) if added else None
 
 
 @lru_cache(maxsize=2)
@@ -78,9 +88,9 @@ def _encode(distinct: list[bytes], path: str, rank_path: str | None) -> list[byt
     out = [late.get(d) or early.get(d) for d in distinct]
     new = [i for i, ids in enumerate(out) if ids is None]
     if rank_path is not None:
-        encode, rest = _ranked(rank_path).encode_ordinary, []
+        encode, rest, added = _ranked(rank_path).encode_ordinary, [], _added(path)
         for i in new:
-            if _PLAIN.fullmatch(distinct[i]):
+            if _PLAIN.fullmatch(distinct[i]) and not (added and added.search(distinct[i])):
                 out[i] = array("I", encode(distinct[i].decode())).tobytes()
             else:
                 rest.append(i)

@@ -224,7 +224,6 @@ def test_packing(docs, rows, nothing):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     want = collections.Counter()
     for doc, text in rows:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
@@ -247,6 +246,25 @@ def test_packing(docs, rows, nothing):
     assert packing.pack(nothing, path).count() == 0
 
 
+def test_added_tokens_inside_words_are_one_id(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    pick, mark = random.Random(9), "<|endoftext|>"
+    bits = [mark, mark, "a", "Zebra", "é", "日", " ", "  ", "\n", "\t", "'s", "<|endof", "text|>", "12", "\u00a0"]
+    texts = ["".join(pick.choices(bits, k=pick.randint(1, 12))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokenizer = Tokenizer.from_file(path)
+    own = [tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    assert sum(50256 in ids for ids in own) > 100
+    want = {i: (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))) for i, ids in enumerate(own)}
+    for ranks in (None, public_tokenizers.path("byte_bpe_50k.tiktoken")):
+        got = packing.pack(docs, path, ranks).collect()
+        whole = {r.doc_id: r.ids_crc32 for r in got if r.length == r.doc_tokens}
+        assert len(whole) > 300 and all(crc == want[i][1] for i, crc in whole.items())
+        assert {r.doc_id: r.doc_tokens for r in got} == {i: n for i, (n, _) in want.items()}
+
+
 def test_lengths_cover_a_document():
     for n in range(1, 6000):
         assert sum(packing.lengths(n)) == n
