@@ -34,6 +34,7 @@ from ..session import cut
 from .blocks import Parts, batch, blocks, fold_of, mixed, row_sums, texts
 
 BLOCK = 4 << 20
+SLICE = 1 << 16
 BLOCKS_A_RANGE = 2
 ROUNDS = 12
 BUCKETS = 64
@@ -68,12 +69,14 @@ class TokenBlock:
         """Sorted keys of the different pairs, their context and word, and each token's pair."""
         n = len(self.vocabulary)
         pairs, which = np.unique(self.contexts() * n + self.tokens, return_inverse=True)
-        context, word = pairs // n, pairs % n
+        which = which.astype(np.uint32)
+        context, word = (pairs // n).astype(np.uint32), (pairs % n).astype(np.uint32)
+        del pairs
         keys = mixed(self.vocabulary[context] * np.uint64(0x9E3779B97F4A7C15) ^ (self.vocabulary[word] >> np.uint64(1)))
         keys = mixed(keys + self.vocabulary[word])
         order = np.argsort(keys)
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
         return keys[order], context[order], word[order], place[which]
 
 
@@ -100,7 +103,7 @@ def _token_blocks(docs: DataFrame) -> DataFrame:
             row = [_pack(x) for x in (docs, sizes.astype(np.int32), uses.astype(np.int8), vocabulary, tokens.astype(np.uint32))]
             return batch(schema, [number], [weigh], *[[x] for x in row])
 
-        for block in blocks(batches, limit=BLOCK):
+        for block in blocks(batches, limit=BLOCK // 8):
             parts = Parts(block, whole=False, lower=True)
             rows = np.arange(len(block))
             tokens = np.full(len(parts) + len(block), _END, np.uint64)
@@ -202,16 +205,19 @@ def _add_up(asked: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, _TOLD)
 
 
-def _answered(table: DataFrame, told: DataFrame) -> DataFrame:
-    """Token blocks and the answers to them, a block followed by its answers in order of request."""
+def _answered(table: DataFrame, told: DataFrame, column: str) -> DataFrame:
+    """Token blocks and the answers to them, a block followed by its answers in order of request.
+
+    ``column``: ``learned`` or ``total``, the counts that are sent.
+    """
     names = ["docs", "sizes", "uses", "vocabulary", "tokens"]
     asks = table.select("block", F.lit(False).alias("pair"), F.lit(-1).cast("long").alias("part"), *names,
-                        F.lit(None).cast("binary").alias("learned"), F.lit(None).cast("binary").alias("total"))
-    answers = told.select("block", "pair", "part", *[F.lit(None).cast("binary").alias(n) for n in names], "learned", "total")
+                        F.lit(None).cast("binary").alias("answer"))
+    answers = told.select("block", "pair", "part", *[F.lit(None).cast("binary").alias(n) for n in names], F.col(column).alias("answer"))
     return asks.union(answers).repartition("block").sortWithinPartitions("block", "pair", "part")
 
 
-def _block_answers(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple]:
+def _block_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Each token block with its doc_ids and the counts of its words and of its pairs."""
     now = None
     for rows in batches:
@@ -219,9 +225,10 @@ def _block_answers(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[t
             if rows["part"][i].as_py() < 0:
                 if now:
                     yield now[0], now[1], *(np.concatenate(x) for x in now[2])
+                    now = None
                 now = _unpack(rows["docs"][i].as_py(), np.int64), _read(rows, i), ([], [])
             else:
-                now[2][rows["pair"][i].as_py()].append(_unpack(rows[column][i].as_py(), np.int64))
+                now[2][rows["pair"][i].as_py()].append(_unpack(rows["answer"][i].as_py(), np.int64))
     if now:
         yield now[0], now[1], *(np.concatenate(x) for x in now[2])
 
@@ -236,7 +243,7 @@ def _held_out(answered: DataFrame) -> DataFrame:
     schema = pa.schema([(n, pa.int64()) for n in ("pair", "context", "word", "n")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, own, word_counts, pair_counts in _block_answers(batches, "learned"):
+        for _, own, word_counts, pair_counts in _block_answers(batches):
             _, context, word, which = own.pairs()
             rows = np.stack([pair_counts, word_counts[context], word_counts[word]], axis=1)
             weight = np.bincount(which, minlength=len(rows))
@@ -284,12 +291,17 @@ def _scores(answered: DataFrame, weights: np.ndarray, words: int, known: int) ->
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs, own, word_counts, pair_counts in _block_answers(batches, "total"):
+        for docs, own, word_counts, pair_counts in _block_answers(batches):
             _, context, word, which = own.pairs()
-            seen, count = word_counts[context], word_counts[word]
-            mix = weights[bucket(seen)]
-            p = mix[:, 0] * pair_counts / np.maximum(seen, 1) + mix[:, 1] * count / max(1, words) + mix[:, 2] / (known + 1)
-            score = np.log10(np.minimum(p, 1.0))[which] if words else np.zeros(len(which))
+            logs = np.zeros(len(context))
+            for at in range(0, len(context) if words else 0, SLICE):  # a few arrays of a slice, not of all pairs
+                some = slice(at, at + SLICE)
+                seen, count = word_counts[context[some]], word_counts[word[some]]
+                mix = weights[bucket(seen)]
+                p = mix[:, 0] * pair_counts[some] / np.maximum(seen, 1) + mix[:, 1] * count / words + mix[:, 2] / (known + 1)
+                logs[some] = np.log10(np.minimum(p, 1.0))
+            del context, word, pair_counts
+            score = logs[which]
             base = np.log10((word_counts + 1) / (words + known + 1))[own.tokens]
             first = np.cumsum(np.append(0, own.sizes))
             ids = pa.array(docs, mask=docs == np.iinfo(np.int64).min)
@@ -315,6 +327,6 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, weigh: int = 6, ro
     names = ("words", "known", "words_learned", "known_learned")
     totals = told.filter("block IS NULL").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first()
     told = told.filter("block IS NOT NULL")
-    weigh_blocks = _answered(table.filter("weigh"), told.filter("weigh"))
+    weigh_blocks = _answered(table.filter("weigh"), told.filter("weigh"), "learned")
     weights = learn_weights(_held_out(weigh_blocks), totals.words_learned, totals.known_learned, rounds)
-    return _scores(_answered(table, told), weights, totals.words, totals.known)
+    return _scores(_answered(table, told, "total"), weights, totals.words, totals.known)

@@ -197,6 +197,41 @@ def test_language_model(docs, rows, nothing):
     assert lm_score.score(nothing).count() == 0
 
 
+def test_scores_equal_a_plain_mixture(docs, rows):
+    end = object()
+    tokens = [[end] + WORD.findall((t or "").translate(LOWER)) + [end] for _, t in rows]
+    folds = [zlib.crc32(("" if d is None else str(d)).encode()) % 7 for d, _ in rows]
+
+    def counts(left_out):
+        own = [t for t, f in zip(tokens, folds) if f not in left_out]
+        return collections.Counter(w for t in own for w in t[1:]), collections.Counter(p for t in own for p in zip(t, t[1:]))
+
+    def shares(single, pair, c, w):
+        return (pair[c, w] / single[c] if single[c] else 0.0, single[w] / sum(single.values()), 1 / (len(single) + 1))
+
+    single, pair = counts({2, 6})
+    events = [(single[c].bit_length(), shares(single, pair, c, w)) for t, f in zip(tokens, folds) if f == 6 for c, w in zip(t, t[1:])]
+    assert events
+    weights = {k: [1 / 3] * 3 if k else [0, 0.5, 0.5] for k in range(64)}
+    for _ in range(lm_score.ROUNDS):
+        moved = 0
+        for k in {k for k, _ in events}:
+            sums = [1e-3 if k else 0, 1e-3, 1e-3]
+            for ps in (ps for j, ps in events if j == k):
+                mix = [a * b for a, b in zip(weights[k], ps)]
+                sums = [s + m / sum(mix) for s, m in zip(sums, mix)]
+            new = [s / sum(sums) for s in sums]
+            moved, weights[k] = max(moved, *(abs(a - b) for a, b in zip(new, weights[k]))), new
+        if moved < 1e-4:
+            break
+    single, pair = counts({2})
+    want = []
+    for (d, _), t in zip(rows, tokens):
+        ps = [sum(a * b for a, b in zip(weights[single[c].bit_length()], shares(single, pair, c, w))) for c, w in zip(t, t[1:])]
+        want.append((d, round(sum(math.log10(min(p, 1)) for p in ps), 5)))
+    same([(r.doc_id, round(r.score, 5)) for r in lm_score.score(docs).collect()], want)
+
+
 def test_mixture_weights_maximise_the_likelihood(spark):
     rows = [(5, 10, 100, 50), (0, 10, 1, 30), (0, 0, 0, 10), (1, 300, 20, 7)]
     events = spark.createDataFrame(rows, "pair long, context long, word long, n long")
