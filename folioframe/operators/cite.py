@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import style
 from ..model import get_field
 from ..plans import scan
+from ..session import cut
 
 
 def first_citations(cites: DataFrame) -> DataFrame:
@@ -88,6 +89,80 @@ def alpha_keys(cites: DataFrame, bases: DataFrame) -> DataFrame:
     return alpha_keys_of(first_citations(cites), bases)
 
 
+def letters_number(text: Column) -> Column:
+    """The number that ``letters`` writes as this text."""
+    marks = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.aggregate(marks, F.lit(0).cast("bigint"), lambda n, c: n * 26 + F.ascii(c) - 96)
+
+
+def _occupied(keys: DataFrame) -> DataFrame:
+    """``(doc, base, place)`` that assigned keys take: a key is place 0 of its own base, and one that
+    ends like a generated key also takes that place of the base before the suffix."""
+    suffix = r"(?s)^(.*):([a-z]{1,12})$"
+    place = letters_number(F.regexp_extract("cite_key", suffix, 2))
+    plain = F.struct(F.col("cite_key").alias("base"), F.lit(0).cast("bigint").alias("place"))
+    generated = F.struct(F.regexp_extract("cite_key", suffix, 1).alias("base"), place.alias("place"))
+    both = F.array_compact(F.array(plain, F.when(F.col("cite_key").rlike(suffix), generated)))
+    return keys.select("doc", F.inline(both)).distinct()
+
+
+def _propose(left: DataFrame, taken: DataFrame) -> DataFrame:
+    """``(doc, uid, at, place, cite_key)``: the n-th record of a base gets its n-th free place.
+
+    With the taken places t0 < t1 < .. of a base, t_j - j places are free before t_j. So free place
+    number r is r plus the number of j with t_j - j <= r: a running count, over families of any size.
+    """
+    families = left.select("doc", "base").distinct()
+    used = _occupied(taken).join(families, ["doc", "base"], "left_semi")
+    nothing = {c: F.lit(None).cast(left.schema[c].dataType).alias(c) for c in ("uid", "at")}
+    gaps = scan.rank(used, ["doc", "base"], ["place"], "_r").select(
+        "doc", "base", (F.col("place") - F.col("_r") + 1).alias("_free"), "place", *nothing.values()
+    )
+    wanted = scan.rank(left, ["doc", "base"], ["at", "uid"], "_r").select(
+        "doc", "base", (F.col("_r") - 1).alias("_free"), F.lit(None).cast("bigint").alias("place"), "uid", "at"
+    )
+    # Taken places before records with as many free places.
+    order = ["doc", "base", "_free", F.col("place").asc_nulls_last()]
+    rows = scan.run(scan.place(gaps.union(wanted), order), ["doc", "base"], {"_before": ("count", F.col("place"))})
+    place = F.col("_free") + F.col("_before")
+    own = scan.unplace(rows).filter(F.col("place").isNull()).select("doc", "uid", "at", "base", place.alias("place"))
+    suffix = F.when(F.col("place") > 0, F.concat(F.lit(":"), letters(F.col("place")))).otherwise(F.lit(""))
+    return own.select("doc", "uid", "at", "base", "place", F.concat("base", suffix).alias("cite_key"))
+
+
+def extend_alpha_keys(based: DataFrame, given: DataFrame) -> DataFrame:
+    """``(doc, uid, cite_key)`` after a further batch of citations: every key already given stays.
+
+    ``based`` is ``(doc, uid, at, base)``, one row for each record of a document, ``given`` the earlier
+    ``(doc, uid, cite_key)``, keys of any origin. New records get, in order of citation, the first
+    free one of base, base:a, base:b and so on. A key generated for one base may be a plain base
+    elsewhere (``X`` and ``X:a``): the plain one has it, among generated ones the first cited, and the
+    others take their next free place in a further round. Every round settles all families but
+    those whose bases contain each other, so there are as many rounds as such bases are nested.
+    """
+    done = given.select("doc", "uid", "cite_key")
+    left = cut(based.join(done.select("doc", "uid").distinct(), ["doc", "uid"], "left_anti").select("doc", "uid", "at", "base"))
+    while not left.isEmpty():
+        proposed = cut(_propose(left, done))
+        claim = F.struct((F.col("place") > 0).alias("generated"), "at", "uid")
+        first = proposed.groupBy("doc", "cite_key").agg(F.min(claim).alias("_first"))
+        claims = cut(proposed.withColumn("_claim", claim).join(first, ["doc", "cite_key"]))
+        done = done.union(claims.filter(F.col("_claim") == F.col("_first")).select("doc", "uid", "cite_key"))
+        left = claims.filter(F.col("_claim") != F.col("_first")).select("doc", "uid", "at", "base")
+    return done
+
+
+def extend_numeric_keys(firsts: DataFrame, given: DataFrame) -> DataFrame:
+    """``(doc, uid, cite_key)`` after a further batch: given numbers stay, new records of a document
+    go on after its largest number. Given keys that are not numbers stay and are not counted."""
+    done = given.select("doc", "uid", "cite_key")
+    new = firsts.join(done.select("doc", "uid").distinct(), ["doc", "uid"], "left_anti")
+    last = done.groupBy("doc").agg(F.max(F.col("cite_key").try_cast("bigint")).alias("_last"))
+    number = F.coalesce("_last", F.lit(0).cast("bigint")) + F.col("_r")
+    ranked = scan.rank(new, ["doc"], ["at", "uid"], "_r").join(last, "doc", "left")
+    return done.union(ranked.select("doc", "uid", number.cast("string").alias("cite_key")))
+
+
 def rekey_changed(old: DataFrame, new: DataFrame) -> DataFrame:
     """Keys that differ between two assignments."""
     before = old.select("doc", "uid", F.col("cite_key").alias("old_key"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..model import KEYED_COLUMNS, VALUE_COLUMNS, Schema, payload_text, union_all
 from ..plans import scan
+from ..session import cut
 from .sets import without
 
 
@@ -151,8 +152,33 @@ def split_valid(values: DataFrame, violations: DataFrame) -> DataFrame:
 # --- comparing -----------------------------------------------------------------------------
 
 
-def diff_records(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``(key, attr, pos, change)`` for every value that differs, qualifiers included."""
+_LANES = ("_h0", "_h1", "_h2", "_h3")
+
+
+def record_fingerprints(values: DataFrame) -> DataFrame:
+    """``(key, n, _h0 .. _h3)``: the number of values of a record and the sums of the four 32-bit parts
+    of their MD5, which do not depend on the order of the rows. Sums meet before the shuffle, so a
+    record of any size sends one row from each task. Parts cannot overflow below 2^31 values.
+    """
+    digest = F.md5(F.to_json(F.struct("attr", "pos", *VALUE_COLUMNS), {"ignoreNullFields": "false"}))
+    parts = values.select("key", digest.alias("_d")).select(
+        "key", *[F.conv(F.substring("_d", 8 * i + 1, 8), 16, 10).cast("bigint").alias(h) for i, h in enumerate(_LANES)]
+    )
+    return parts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.sum(h).alias(h) for h in _LANES])
+
+
+def records_equal(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``(key, equal)`` over the keys of both, from fingerprints alone: one row for each record meets.
+
+    Equal records have equal fingerprints; different ones share one with a chance of 2^-128.
+    """
+    columns = ("n", *_LANES)
+    left = record_fingerprints(a).select("key", F.struct(*columns).alias("_a"))
+    right = record_fingerprints(b).select("key", F.struct(*columns).alias("_b"))
+    return left.join(right, "key", "full").select("key", F.col("_a").eqNullSafe(F.col("_b")).alias("equal"))
+
+
+def _diff_values(a: DataFrame, b: DataFrame) -> DataFrame:
     body = F.struct(*VALUE_COLUMNS)
     left = a.select("key", "attr", "pos", body.alias("_a"), F.lit(True).alias("_in_a"))
     right = b.select("key", "attr", "pos", body.alias("_b"), F.lit(True).alias("_in_b"))
@@ -165,11 +191,18 @@ def diff_records(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.filter(F.col("change").isNotNull()).select("key", "attr", "pos", "change")
 
 
-def records_equal(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``(key, equal)`` over the keys of both."""
-    every = keys_of(a).union(keys_of(b)).distinct()
-    differing = diff_records(a, b).select("key").distinct().withColumn("_d", F.lit(True))
-    return every.join(differing, "key", "left").select("key", F.col("_d").isNull().alias("equal"))
+def diff_records(a: DataFrame, b: DataFrame, few: int = 1_000_000) -> DataFrame:
+    """``(key, attr, pos, change)`` for every value that differs, qualifiers included.
+
+    Records whose fingerprints agree are left out first. Up to ``few`` differing keys (8 MB) go to
+    the tasks, so that only values of differing records are shuffled. More differing keys
+    than that are no small part of the work, and values meet directly.
+    """
+    differing = cut(records_equal(a, b).filter(~F.col("equal")).select("key"))
+    if differing.count() > few:
+        return _diff_values(a, b)
+    only = F.broadcast(differing)
+    return _diff_values(a.join(only, "key", "left_semi"), b.join(only, "key", "left_semi"))
 
 
 def exact_copies(values: DataFrame, field: str) -> DataFrame:

@@ -79,6 +79,53 @@ def rekey_changed(spark, sf):
     return cite.rekey_changed(cite.numeric_keys(b.cites(spark, sf)), cite.numeric_keys(fewer))
 
 
+def _earlier(spark, sf):
+    """First citations of the first batch: line items that are finished."""
+    lines = b.table(spark, sf, "lineitem").filter(F.col("l_linestatus") == "F")
+    return cite.first_citations(
+        lines.select(F.col("l_suppkey").alias("doc"), (F.col("l_partkey") + 1).alias("uid"), F.struct("l_orderkey", "l_linenumber").alias("at"))
+    )
+
+
+@query(f"""WITH {_ALPHA},
+           earlier AS (SELECT l_suppkey AS doc, l_partkey + 1 AS uid, min({{'o': l_orderkey, 'n': l_linenumber}}) AS place
+                       FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_suppkey, l_partkey),
+           given AS (SELECT * FROM (SELECT doc, uid, base, row_number() OVER (PARTITION BY doc, base ORDER BY place, uid) - 1 AS r
+                                    FROM earlier JOIN bases USING (uid)) WHERE uid % 3 <> 0),
+           fresh AS (SELECT doc, uid, base, row_number() OVER (PARTITION BY doc, base ORDER BY place, uid) - 1 AS n
+                     FROM first JOIN bases USING (uid) ANTI JOIN given USING (doc, uid)),
+           free AS (SELECT doc, base, r, row_number() OVER (PARTITION BY doc, base ORDER BY r) - 1 AS n
+                    FROM (SELECT doc, base, unnest(range(0, CAST(max(m) AS BIGINT))) AS r
+                          FROM (SELECT doc, base, count(*) + max(n) + 1 AS m FROM fresh GROUP BY doc, base
+                                UNION ALL SELECT doc, base, f.k + g.top + 2
+                                FROM (SELECT doc, base, count(*) AS k FROM fresh GROUP BY doc, base) f
+                                JOIN (SELECT doc, base, max(r) AS top FROM given GROUP BY doc, base) g USING (doc, base))
+                          GROUP BY doc, base)
+                    ANTI JOIN given USING (doc, base, r)),
+           every AS (SELECT doc, uid, base, r FROM given UNION ALL SELECT doc, uid, base, r FROM fresh JOIN free USING (doc, base, n))
+           SELECT doc, uid, base || CASE WHEN r = 0 THEN '' WHEN r <= 26 THEN ':' || chr(CAST(96 + r AS INTEGER))
+             ELSE ':' || chr(CAST(96 + (r - 1) // 26 AS INTEGER)) || chr(CAST(97 + (r - 1) % 26 AS INTEGER)) END AS cite_key FROM every""")
+def kept_alpha_keys(spark, sf):
+    """Keys of a first batch, a third of them lost, stay when all citations come."""
+    bases = cite.alpha_bases(b.part_records(spark, sf))
+    given = cite.alpha_keys_of(_earlier(spark, sf), bases).filter(F.col("uid") % 3 != 0)
+    return cite.extend_alpha_keys(cite.first_citations(b.cites(spark, sf)).join(bases, "uid"), cut(given))
+
+
+@query(f"""WITH {_FIRST},
+           given AS (SELECT doc, uid, row_number() OVER (PARTITION BY doc ORDER BY place, uid) AS n FROM (
+                       SELECT l_suppkey AS doc, l_partkey + 1 AS uid, min({{'o': l_orderkey, 'n': l_linenumber}}) AS place
+                       FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_suppkey, l_partkey)),
+           fresh AS (SELECT doc, uid, row_number() OVER (PARTITION BY doc ORDER BY place, uid) AS n FROM first ANTI JOIN given USING (doc, uid))
+           SELECT doc, uid, CAST(n AS VARCHAR) AS cite_key FROM given
+           UNION ALL SELECT doc, uid, CAST(n + coalesce(last, 0) AS VARCHAR)
+           FROM fresh LEFT JOIN (SELECT doc, max(n) AS last FROM given GROUP BY doc) USING (doc)""")
+def kept_numeric_keys(spark, sf):
+    """Numbers of a first batch stay when all citations come."""
+    given = cite.order_of(_earlier(spark, sf)).select("doc", "uid", F.col("pos").cast("string").alias("cite_key"))
+    return cite.extend_numeric_keys(cite.first_citations(b.cites(spark, sf)), cut(given))
+
+
 def _bibliography(spark, sf, out):
     order = cite.document_order(b.cites(spark, sf))
     keys = order.select("doc", "uid", F.col("pos").cast("string").alias("cite_key"))

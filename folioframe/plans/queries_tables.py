@@ -164,7 +164,9 @@ def diff_records(spark, sf):
 @query("""SELECT doc_id + 1 AS key, coalesce(quality, 1) <> 0 AS equal
           FROM documents LEFT JOIN labels USING (doc_id)""")
 def records_equal(spark, sf):
-    return tables.records_equal(b.doc_values(spark, sf, "title"), _edited(spark, sf))
+    """Whole records, of which some have another title."""
+    rest = b.doc_values(spark, sf, "abstract", "language", "source", "quality")
+    return tables.records_equal(b.doc_values(spark, sf, "title").unionByName(rest), _edited(spark, sf).unionByName(rest))
 
 
 @query("""SELECT sha256(text) AS digest, min(doc_id) + 1 AS first_key, count(*) AS n

@@ -137,3 +137,23 @@ def test_fields_and_names(spark):
     names = F.create_map(F.lit(""), F.lit("Author"), F.lit("en"), F.lit("Author (en)"))
     got = spark.range(1).select(m.localized(names, "").alias("n"), m.localized(names, "en_US").alias("e"), m.localized(names, "fr").alias("f")).first()
     assert (got.n, got.e, got.f) == ("Author", "Author (en)", "Author")
+
+
+def test_fingerprints_find_what_values_show(spark):
+    """Random edits: equality and differences by fingerprints against all values compared."""
+    pick = random.Random(2)
+    base = [(k, attr, "text", pick.choice(["", "a", "b", None])) for k in range(60) for attr in ("t", "u") for _ in range(pick.randint(0, 3))]
+    other = [(k, a, t, "c" if pick.random() < 0.1 else v) for k, a, t, v in base if pick.random() > 0.05] + [(99, "t", "text", "new")]
+    a, b = make_values(spark, base), make_values(spark, other)
+    want = sorted(tuple(r) for r in tables._diff_values(a, b).collect())
+    assert want and sorted(tuple(r) for r in tables.diff_records(a, b).collect()) == want
+    assert sorted(tuple(r) for r in tables.diff_records(a, b, few=0).collect()) == want
+    equal = {r.key: r.equal for r in tables.records_equal(a, b).collect()}
+    keys = {r[0] for r in base} | {r[0] for r in other}
+    assert equal == {k: k not in {w[0] for w in want} for k in keys}
+    # Columns that trade places, rows in another order, and a copy of a row.
+    swapped = make_values(spark, [(1, "t", "text", "u"), (1, "u", "text", "t")])
+    assert not tables.records_equal(swapped, make_values(spark, [(1, "t", "text", "t"), (1, "u", "text", "u")])).first().equal
+    assert tables.records_equal(a, a.orderBy(F.desc("pos"))).filter("NOT equal").isEmpty()
+    assert not tables.records_equal(swapped, swapped.union(swapped)).first().equal
+    assert tables.diff_records(a.limit(0), b.limit(0)).isEmpty()
