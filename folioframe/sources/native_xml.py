@@ -111,17 +111,84 @@ def ingest_native_xml(spark: SparkSession, path: str, schema: Schema | None = No
     return Ingest(values, union_all(wrong), spark.createDataFrame([], "tag string, n bigint"))
 
 
+_OPEN, _COMMENT, _CDATA = 0, 1, 2
+_CHUNK = 256
+
+
+def _after(move: Column, state: Column) -> Column:
+    """The state that ``move`` leads to. A move is a map of the three states, as three digits to base 3."""
+    three = F.when(state == _OPEN, 1).when(state == _COMMENT, 3).otherwise(9)
+    return (F.floor(move / three) % 3).cast("int")
+
+
+def _move() -> Column:
+    """What a piece does: it may open a comment or a CDATA section at its start, and close either.
+    Nothing opens inside the other, and a piece has no second start."""
+    value = F.col("value")
+    closes, ends = value.contains("-->"), value.contains("]]>")
+    opened = F.when(value.startswith("!--") & ~closes, _COMMENT).when(value.startswith("![CDATA[") & ~ends, _CDATA)
+    comment = F.when(closes, _OPEN).otherwise(_COMMENT)
+    section = F.when(ends, _OPEN).otherwise(_CDATA)
+    return F.coalesce(opened, F.lit(_OPEN)) + 3 * comment + 9 * section
+
+
+def _states(moves: DataFrame) -> DataFrame:
+    """``(n, state)`` after each move of ``(n, move)``, n from 0 without gaps.
+
+    Maps compose in any grouping: each chunk is composed to one move, the chunks are solved the same
+    way one level up, and their states go down again. No row holds more than a chunk.
+    """
+    by_chunk = moves.groupBy(F.expr(f"n div {_CHUNK}").alias("_chunk"))
+    chunks = cut(by_chunk.agg(F.sort_array(F.collect_list(F.struct("n", "move"))).alias("_moves")))
+    identity = _OPEN + 3 * _COMMENT + 9 * _CDATA
+    start = F.lit(_OPEN)
+    if chunks.count() > 1:
+        def compose(f: Column, m: Column) -> Column:
+            return sum(3**s * _after(m["move"], _after(f, F.lit(s))) for s in (_OPEN, _COMMENT, _CDATA)).cast("int")
+
+        whole = chunks.select(F.col("_chunk").alias("n"), F.aggregate("_moves", F.lit(identity), compose).alias("move"))
+        before = _states(whole).select((F.col("n") + 1).alias("_chunk"), F.col("state").alias("_start"))
+        chunks = chunks.join(before, "_chunk", "left")
+        start = F.coalesce("_start", F.lit(_OPEN))
+    known = F.array().cast("array<int>")
+
+    def step(found: Column, m: Column) -> Column:
+        state = F.when(F.size(found) == 0, start).otherwise(F.element_at(found, F.greatest(F.size(found), F.lit(1))))
+        return F.concat(found, F.array(_after(m["move"], state)))
+
+    rows = chunks.select(F.arrays_zip("_moves", F.aggregate("_moves", known, step).alias("state")).alias("_z"))
+    return rows.select(F.explode("_z").alias("_z")).select(F.col("_z._moves.n").alias("n"), F.col("_z.state").alias("state"))
+
+
 def _tags(spark: SparkSession, path: str, names: str) -> DataFrame:
     """One row per tag of the given names, in file order: ``_file, _block, _mid, end, tag, value``.
 
-    The text source cuts at ``<``, so it does not matter how the tags lie on lines.
+    The text source cuts at ``<``, so it does not matter how the tags lie on lines. Tags inside
+    comments and CDATA sections are no tags; either may span pieces and blocks of its file.
     """
     pieces = spark.read.option("lineSep", "<").text(path)
     pieces = pieces.select(*file_place(), F.monotonically_increasing_id().alias("_mid"), "value")
     name = F.regexp_extract("value", rf"^(/?)({names})(?=[\s/>])", 2)
-    return pieces.select(
-        "_file", "_block", "_mid", F.col("value").startswith("/").alias("end"), name.alias("tag"), "value"
-    ).filter(F.col("tag") != "")
+    marker = F.col("value").startswith("!--") | F.col("value").startswith("![CDATA[")
+    marker = marker | F.col("value").contains("-->") | F.col("value").contains("]]>")
+    pieces = pieces.select(
+        "_file", "_block", "_mid", F.col("value").startswith("/").alias("end"), name.alias("tag"), "value", marker.alias("_marker")
+    )
+    rows = cut(pieces.filter((F.col("tag") != "") | F.col("_marker")))
+    marked = rows.filter("_marker")
+    if marked.isEmpty():
+        return rows.drop("_marker")
+    # What one file leaves open ends with the file: its first piece, before any tag, closes all.
+    first = rows.groupBy("_file").agg(F.lit(-1).cast("bigint").alias("_block"), F.lit(-1).cast("bigint").alias("_mid"), F.lit(0).alias("move"))
+    moves = marked.select("_file", "_block", "_mid", _move().alias("move")).unionByName(first)
+    moves = cut(scan.number(moves, ["_file", "_block", "_mid"], "n"))
+    states = moves.join(_states(moves.select("n", "move")), "n").select("_file", "_block", "_mid", "state")
+    every = rows.join(states, ["_file", "_block", "_mid"], "full")
+    placed = scan.place(every, ["_file", "_block", "_mid"])
+    inside = scan.unplace(scan.run(placed, [], {"_inside": ("last", F.col("state"))}, inclusive=False))
+    return inside.filter((F.coalesce("_inside", F.lit(_OPEN)) == _OPEN) & (F.col("tag") != "")).select(
+        "_file", "_block", "_mid", "end", "tag", "value"
+    )
 
 
 def _attribute(name: str) -> Column:
@@ -131,11 +198,29 @@ def _attribute(name: str) -> Column:
     return F.when(F.col("value").rlike(pattern), _unescape(text))
 
 
+# The entities that XML knows without a declaration: fixed values of the format.
+_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
+
+
 def _unescape(text: Column) -> Column:
-    for entity, mark in (("&#10;", "\n"), ("&#13;", "\r"), ("&#9;", "\t"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-                         ("&apos;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(mark))
-    return text
+    """Character references, decimal or hexadecimal, and the entities of XML; others stay as they are."""
+    pattern = r"^(#[0-9]{1,7}|#x[0-9A-Fa-f]{1,6}|" + "|".join(_ENTITIES) + ");"
+
+    def decode(part: Column) -> Column:
+        name = F.regexp_extract(part, pattern, 1)
+        digits = F.regexp_extract(name, r"^#x?(.*)$", 1)
+        code = F.conv(digits, 16, 10).try_cast("int")
+        code = F.when(name.startswith("#x"), code).otherwise(digits.try_cast("int"))
+        valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+        known = F.coalesce(F.when(valid, code), F.lit(32))
+        mark = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(known), 8, "0")), "UTF-32"))
+        for entity, sign in _ENTITIES.items():
+            mark = F.when(name == entity, F.lit(sign)).otherwise(mark)
+        return F.coalesce(F.concat(mark, F.substring(part, F.length(name) + 2, F.length(part))), F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&")
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), decode)
+    return F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
 
 
 def read_sets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from conftest import items, make_values
 from folioframe import model as m
@@ -248,3 +250,41 @@ and {deep
     notes = [r.text for r in got.values.filter("attr = 'note'").collect()]
     assert len(notes) == 1 and "@home please" in notes[0]
     assert [r.rule for r in got.violations.filter("rule = 'unbalanced'").collect()] == ["unbalanced"]
+
+
+def test_sets_skip_comments_and_sections_and_decode_references(spark, tmp_path):
+    text = """<db><!-- <ref id="9"/> <resultset id="5" name="no"> -->
+<t><![CDATA[ <!-- <ref id="8"/> ]]></t><resultset id="1" name="Ren&#233; &amp;#x41; &#x1F600; &#xD800; &nbsp;&lt;">
+<!-- <![CDATA[ <ref id="7"/> --><ref id="1"/><!-- one <b> --><ref id="2"/><![CDATA[<ref id="6"/>]]>
+</resultset><resultset id="2"><!--><ref id="3"/--><ref id="4"/> --> ]]> <ref id="5"/></resultset></db>"""
+    text = text.replace("<!--><ref id=\"3\"/-->", "<!-- > <ref id=\"3\"/-->")
+    member, meta = native.read_sets(spark, write(tmp_path, "sets.xml", text))
+    assert sorted(tuple(r) for r in member.collect()) == [(1, 1), (1, 2), (2, 4), (2, 5)]
+    assert {r.rs_id: r.name for r in meta.collect()} == {1: "René &#x41; \U0001f600 &#xD800; &nbsp;<", 2: None}
+
+
+def test_sections_over_many_blocks_against_a_plain_reader(spark, tmp_path):
+    """Random files with comments and sections, in blocks far smaller than they are."""
+    pick = random.Random(11)
+    want = set()
+    for n in range(2):
+        out = [f'<db><resultset id="{n}">']
+        for key in range(900):
+            tag = f'<ref id="{key}"/>'
+            kind = pick.random()
+            if kind < 0.3:
+                out.append(f"<!-- {tag} {pick.choice(['', ']]>', '<![CDATA[', '<!-'])} {tag * pick.randint(0, 9)} -->")
+            elif kind < 0.6:
+                out.append(f"<![CDATA[ {tag} {pick.choice(['', '-->', '<!--', '<!-- -->'])} {tag * pick.randint(0, 9)} ]]>")
+            else:
+                out.append(tag)
+                want.add((n, key))
+        # The first file ends inside a comment.
+        write(tmp_path, f"{n}.xml", "\n".join(out) + ("<!-- <ref id='1000'/>" if n == 0 else "</resultset></db>"))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        member, _ = native.read_sets(spark, str(tmp_path))
+        assert {tuple(r) for r in member.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
