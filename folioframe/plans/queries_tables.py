@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import model as m
-from ..operators import index, sets, tables
-from ..session import scratch_path
+from ..operators import index, postings, sets, tables
+from ..session import cut, scratch_path
 from ..streaming import feed
 from . import bindings as b
 from .registry import SQL_SEGMENT, query, sql_words
@@ -293,10 +293,13 @@ def change_feed_stream(spark, sf):
     return feed.records(state.read())
 
 
-@query(f"""WITH {_FEED}, users AS (SELECT DISTINCT user_id + 1 AS key FROM events)
+_FOLLOWED = f"""WITH {_FEED}, users AS (SELECT DISTINCT user_id + 1 AS key FROM events)
            SELECT DISTINCT 'index' AS part, key, unnest({sql_words('payload')}) AS detail FROM state WHERE op <> 'delete'
            UNION ALL SELECT 'index', key, 'stale' FROM users WHERE key NOT IN (SELECT key FROM state)
-           UNION ALL SELECT 'member', key, '1' FROM users WHERE key NOT IN (SELECT key FROM state WHERE op = 'delete')""")
+           UNION ALL SELECT 'member', key, '1' FROM users WHERE key NOT IN (SELECT key FROM state WHERE op = 'delete')"""
+
+
+@query(_FOLLOWED)
 def change_feed_index(spark, sf):
     """Index and sets after the feed, from an index that held a stale entry for every user. A user whose
     changes were all invalid keeps what was there; a deleted one leaves the index and the set."""
@@ -317,3 +320,45 @@ def notify_members(spark, sf):
     member = sets.of(building.select(b.cust_key().alias("key")), 1)
     changes = feed.of_members(b.feed(b.table(spark, sf, "events")), member, 1)
     return changes.select("key", F.col("seq.id").alias("id"))
+
+
+def _batches(spark, sf, path):
+    """The events in three parts by time, read as a stream of a batch for each file."""
+    changes = b.feed(b.table(spark, sf, "events"))
+    borders = changes.select(F.percentile_approx("seq.at", F.array(F.lit(0.3), F.lit(0.7))).alias("at")).first().at
+    third = sum((F.col("seq.at") > at).cast("int") for at in borders or [])
+    for i in range(3):
+        changes.filter(F.lit(0) + third == i).write.mode("append").parquet(path)
+    return spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(_FOLLOWED)
+def change_feed_postings(spark, sf):
+    """The same index and set, kept as postings by a stream of three batches, each one segment."""
+    path = scratch_path(spark, "follow")
+    changes = _batches(spark, sf, f"{path}/in")
+    users = cut(b.feed(b.table(spark, sf, "events")).select("key").distinct())
+    member = sets.of(users, 1)
+    stale = m.values_of(users, F.col("key"), "props", F.lit(0), "text", F.lit("stale"))
+    postings.write(postings.build(postings.word_rows(stale), postings.key_rows(users), postings.set_rows(member)), f"{path}/index")
+    types = {f.name: f.dataType.simpleString() for f in changes.schema}
+    state = feed.StateTable(spark, f"{path}/state", f"key bigint, live boolean, payload {types['payload']}, seq {types['seq']}")
+    make = lambda live: m.values_of(live, F.col("key"), "props", F.lit(0), "text", F.col("payload"))
+    feed.follow_index(changes, state, f"{path}/index", make, f"{path}/checkpoint", lambda: member).awaitTermination()
+    stored = postings.read(spark, f"{path}/index")
+    found = postings.term_keys(stored).select(F.lit("index").alias("part"), "key", F.col("term").alias("detail"))
+    held = postings.match(stored, postings.in_set(1))
+    return found.unionByName(held.select(F.lit("member").alias("part"), "key", F.lit("1").alias("detail")))
+
+
+@query("""SELECT user_id + 1 AS key, event_id AS id FROM events
+          WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
+def notify_members_stream(spark, sf):
+    """The same notes from a stream of three batches."""
+    path = scratch_path(spark, "notes")
+    building = b.table(spark, sf, "customer").filter(F.col("c_mktsegment") == "BUILDING")
+    member = sets.of(building.select(b.cust_key().alias("key")), 1)
+    changes = _batches(spark, sf, f"{path}/in")
+    feed.notify(changes, lambda: member, 1, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    notes = spark.read.schema(changes.schema).parquet(f"{path}/out")
+    return notes.select("key", F.col("seq.id").alias("id"))

@@ -8,16 +8,20 @@ their ``seq`` makes a replayed change void.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import index as index_ops
-from ..operators import sets
+from ..operators import postings, sets
 from ..plans import scan
 from ..session import cut
 
 OPS = ("add", "update", "delete")
 BUCKETS = 64
+# Numbers of index segments between two batches, for ``postings.compact``.
+SEGMENT_STEP = 1000
 
 
 def empty_state(changes: DataFrame) -> DataFrame:
@@ -169,3 +173,55 @@ def follow(changes: DataFrame, table: StateTable, checkpoint: str):
         .trigger(availableNow=True)
         .start()
     )
+
+
+def index_segment(state: DataFrame, changes: DataFrame, make_values, member: DataFrame | None = None) -> DataFrame:
+    """Postings of the records that ``changes`` name, as ``state`` holds them after the changes.
+
+    Keys without any state, whose changes were all invalid, keep what earlier segments say. A
+    deleted record leaves the index and all sets; one that stays keeps the sets of ``member``.
+    """
+    touched = cut(state.join(changes.select("key").distinct(), "key", "left_semi"))
+    present = records(touched)
+    values = make_values(present)
+    parts = [postings.word_rows(values), postings.field_rows(values), postings.key_rows(present)]
+    if member is not None:
+        parts.append(postings.set_rows(member.join(present.select("key"), "key", "left_semi")))
+    return postings.change(touched.select("key"), *parts)
+
+
+def follow_index(
+    changes: DataFrame, table: StateTable, index: str, make_values: Callable[[DataFrame], DataFrame], checkpoint: str,
+    members: Callable[[], DataFrame] | None = None,
+):
+    """Starts the stream that keeps ``table`` and the postings at ``index`` current; one pass over what is there.
+
+    A batch writes one segment, of the size of its changes. A batch that is delivered again finds the
+    state of its own time and writes the same segment anew, so it has no effect. ``make_values``
+    makes long values of live records ``(key, payload)``; ``members`` gives the sets, at each batch.
+    """
+
+    def one(rows: DataFrame, batch: int) -> None:
+        rows = cut(rows.select("key", "seq", "op", "payload"))
+        buckets = [r.b for r in rows.select(table.bucket_of().alias("b")).distinct().collect()]
+        if not buckets:
+            return
+        table.apply(rows, batch)
+        state = table.read(buckets, before=batch + 1)
+        segment = index_segment(state, rows, make_values, members() if members else None)
+        postings.write(segment, index, segment=(batch + 1) * SEGMENT_STEP)
+
+    return changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def notify(changes: DataFrame, members: Callable[[], DataFrame], rs_id: int, path: str, checkpoint: str):
+    """Starts the stream that writes the changes of one set's members to ``path/batch=n``; one pass over what is there.
+
+    ``members`` is asked for the sets at each batch, so a set that grows or shrinks meanwhile is followed.
+    A batch that is delivered again replaces its own folder.
+    """
+
+    def one(rows: DataFrame, batch: int) -> None:
+        of_members(rows, members(), rs_id).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

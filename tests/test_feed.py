@@ -1,7 +1,8 @@
 import random
 
 from conftest import make_values
-from folioframe.operators import index, sets
+from folioframe import model as m
+from folioframe.operators import index, postings, sets
 from folioframe.streaming import feed
 from pyspark.sql import functions as F
 
@@ -69,3 +70,49 @@ def test_index_and_sets_follow(spark):
     assert [tuple(r) for r in rows.collect()] == [("c", 2)] and [tuple(r) for r in members.collect()] == [(9, 2)]
     only = feed.of_members(changes, sets.of(values.filter(F.col("key") == 2), 9), 9)
     assert [r.key for r in only.collect()] == [2]
+
+
+def three_batches(spark, folder, changes):
+    for i in range(3):
+        part = spark.createDataFrame(changes[i * 30:(i + 1) * 30], CHANGES)
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_postings_follow_the_stream(spark, tmp_path):
+    changes = changes_of(90, seed=3)
+    stream = three_batches(spark, str(tmp_path / "in"), changes)
+    table = feed.StateTable(spark, str(tmp_path / "state"), "key bigint, live boolean, payload string, seq bigint", buckets=3)
+    index_path = str(tmp_path / "index")
+    start = make_values(spark, [(k, "t", "text", "stale") for k in (1, 2, 3, 4, 77)])
+    member = sets.of(start, 5)
+    postings.write(postings.build(postings.word_rows(start), postings.key_rows(start), postings.set_rows(member)), index_path)
+
+    def values(present):
+        return m.values_of(present, F.col("key"), "t", F.lit(0), "text", F.col("payload"))
+
+    want = {(p, k) for k, p in loop(changes)[0].items()} | {("stale", 77)}
+    for run in range(2):  # the second run delivers every batch again
+        feed.follow_index(stream, table, index_path, values, str(tmp_path / f"checkpoint{run}"), lambda: member).awaitTermination()
+        stored = postings.read(spark, index_path)
+        assert postings.segments(stored) == [0, 1000, 2000, 3000]
+        assert {tuple(r) for r in postings.term_keys(stored).collect()} == want
+        alive = set(loop(changes)[0]) | {77}
+        assert {r.key for r in postings.match(stored, postings.in_set(5)).collect()} == alive
+    # Compaction between batches takes a number that no batch has.
+    assert postings.compact(spark, index_path) == 3001
+    assert {tuple(r) for r in postings.term_keys(postings.read(spark, index_path)).collect()} == want
+
+
+def test_notes_follow_a_set_that_changes(spark, tmp_path):
+    changes = changes_of(90, seed=4)
+    stream = three_batches(spark, str(tmp_path / "in"), changes)
+    asked = []
+
+    def members():
+        asked.append(1)
+        return spark.createDataFrame([(1, 1 if len(asked) == 1 else 2), (2, 3)], "rs_id long, key long")
+
+    feed.notify(stream, members, 1, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    got = sorted(r.seq for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [s for k, s, _, _ in changes if k == (1 if s < 30 else 2)] and len(asked) == 3
