@@ -342,7 +342,8 @@ def change_feed_postings(spark, sf):
     stale = m.values_of(users, F.col("key"), "props", F.lit(0), "text", F.lit("stale"))
     postings.write(postings.build(postings.word_rows(stale), postings.key_rows(users), postings.set_rows(member)), f"{path}/index")
     types = {f.name: f.dataType.simpleString() for f in changes.schema}
-    state = feed.StateTable(spark, f"{path}/state", f"key bigint, live boolean, payload {types['payload']}, seq {types['seq']}")
+    schema = f"key bigint, live boolean, payload {types['payload']}, seq {types['seq']}"
+    state = feed.StateTable(spark, f"{path}/state", schema, buckets=8)
     make = lambda live: m.values_of(live, F.col("key"), "props", F.lit(0), "text", F.col("payload"))
     feed.follow_index(changes, state, f"{path}/index", make, f"{path}/checkpoint", lambda: member).awaitTermination()
     stored = postings.read(spark, f"{path}/index")
