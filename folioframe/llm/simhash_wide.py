@@ -223,16 +223,10 @@ def _parted(rows: DataFrame, parts: DataFrame) -> DataFrame:
     return placed.withColumn("part", F.coalesce("component", "node")).drop("component")
 
 
-def _joining(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs whose nodes are in two parts."""
-    a, b = (parts.select(F.col("node").alias(n), F.col("component").alias(f"of_{n}")) for n in ("a", "b"))
-    open_ = pairs.join(a, "a", "left").join(b, "b", "left")
-    return open_.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(*pairs.columns)
-
-
-def links(nodes: DataFrame, shard: int = SHARD, test: Test | None = None) -> DataFrame:
-    """Links ``a, b`` that pass the test, enough to join all nodes that passing pairs join;
-    ``nodes``: node, f0 to f3. ``test`` gives those of some pairs that pass, all if it is left out."""
+def joined(nodes: DataFrame, shard: int = SHARD, test: Test | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links ``a, b`` that pass the test, enough to join all nodes that passing pairs join, and
+    ``node, component`` of the nodes they join; ``nodes``: node, f0 to f3. ``test`` gives those of
+    some pairs that pass, all if it is left out."""
     spark = nodes.sparkSession
     kept, parts = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, component long")
     a, b = (nodes.select(F.col("node").alias(n), *[F.col(f).alias(f"{n}_{f}") for f in _WHOLE]) for n in ("a", "b"))
@@ -244,21 +238,22 @@ def links(nodes: DataFrame, shard: int = SHARD, test: Test | None = None) -> Dat
             searched = cut(_searched(rows, most, shard if most == 1 else LARGEST))
             pairs = searched.filter("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             pairs = pairs.distinct() if seen is None else pairs.distinct().join(seen, ["a", "b"], "left_anti")
-            found = pairs.join(a, "a").join(b, "b").select("a", "b", bits.alias("bits"))
-            found = cut(found.filter(F.col("bits") <= RADIUS))
-            # The nearest of each node are tested first, then the others that would still join two parts.
-            todo = found.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x")).select("x.a", "b")
-            while not todo.isEmpty():
-                todo = cut(todo)
-                kept = cut(kept.union(todo if test is None else test(todo)))
-                parts = cut(components(kept))
-                seen = todo if seen is None else seen.union(todo)
-                todo = _joining(found.select("a", "b").join(seen, ["a", "b"], "left_anti"), parts)
+            found = cut(pairs.join(a, "a").join(b, "b").filter(bits <= RADIUS).select("a", "b"))
+            # All candidates of a search are tested together: one pass over their sets, one look for parts.
+            if not found.isEmpty():
+                kept = cut(kept.union(found if test is None else test(found)))
+                parts = components(kept)
+                seen = found if seen is None else seen.union(found)
             left = searched.filter("a IS NULL").select("table", "key", "node", *_HALF)
             if left.isEmpty():
                 break
             rows, most = cut(_cells(cut(_parted(left.distinct(), parts)), shard)), most * 32
-    return kept
+    return kept, parts
+
+
+def links(nodes: DataFrame, shard: int = SHARD, test: Test | None = None) -> DataFrame:
+    """The links of ``joined``."""
+    return joined(nodes, shard, test)[0]
 
 
 def _similar(pairs: DataFrame, table: DataFrame, words: int, similar: float) -> DataFrame:
@@ -297,8 +292,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR) -
     rows = table.select(F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"), "_row")
     own = cut(marks(rows, words))
     nodes = own.groupBy(*_WHOLE, *_SET).agg(F.min("_row").alias("node"))
-    found = links(nodes, test=lambda pairs: _similar(pairs, rows, words, similar))
-    parts = components(found)
+    _, parts = joined(nodes, test=lambda pairs: _similar(pairs, rows, words, similar))
     grouped = own.join(nodes, [*_WHOLE, *_SET]).join(parts, "node", "left")
     least = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "_row"))
     stay = grouped.groupBy(F.coalesce("component", "node").alias("group")).agg(least.alias("least"))
