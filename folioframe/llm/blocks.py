@@ -7,6 +7,7 @@ of its own. Everything here runs inside a task.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -68,6 +69,15 @@ class Block:
         return self.data[self.at[i] : self.at[i + 1]].tobytes()
 
 
+def give_back() -> None:
+    """Returns what the batches of a task took to the system, as workers are used again by other
+    operators; without glibc only Arrow's part of it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES, column: str = "text") -> Iterator[Block]:
     for batch in batches:
         data, at = flat(batch.column(batch.schema.get_field_index(column)))
@@ -78,8 +88,7 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES, column:
                 batch.slice(first, last - first), data[at[first] : at[last]], at[first : last + 1] - at[first]
             )
             first = last
-    # Workers are used again by other operators: give back what the batches took.
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

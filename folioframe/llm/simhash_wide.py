@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .blocks import batch, mixed, texts
+from .blocks import batch, give_back, mixed, texts
 from .components import components
 from .simhash import BKTree, majority_bits, shingle_hashes
 
@@ -95,6 +95,7 @@ def marks(rows: DataFrame, words: int) -> DataFrame:
                 found[i, :4] = fingerprint(shingles)
                 found[i, 4:] = np.frombuffer(xxhash.xxh128_digest(shingles.tobytes()), np.int64)
             yield batch(schema, own["doc_id"], own["_row"], *found.T)
+        give_back()
 
     return texts(rows, "_row").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
@@ -191,6 +192,7 @@ def _searched(rows: DataFrame, most: int, size: int) -> DataFrame:
             yield from give(pieces)
         if held.shape[1] > 1:
             yield from give([(np.ascontiguousarray(held), False)])
+        give_back()
 
     placed = rows.repartition("table", "key", "cell").sortWithinPartitions("table", "key", "cell")
     return placed.select(*names).mapInArrow(run, ", ".join(f"{n} long" for n in schema.names))
@@ -273,6 +275,7 @@ def _similar(pairs: DataFrame, table: DataFrame, words: int, similar: float) ->
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similar * (len(x) + len(y) - both))
             yield own.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     rows = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
     sets = texts(table.join(rows, "_row", "left_semi"), "_row").select("_row", "text")
