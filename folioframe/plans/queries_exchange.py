@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import model as m
 from .. import schemas
 from ..functions.names import last_first
-from ..operators import adapt
+from ..operators import adapt, purge
 from ..session import scratch_path
 from ..sinks import formats, lines, native_xml
 from ..sources import bibtex as bibtex_source
@@ -109,6 +109,17 @@ UNION ALL SELECT key, CASE WHEN pos = 0 THEN '   ' || rpad(field, width, ' ') ||
 UNION ALL SELECT p_partkey + 1, '}}' FROM part"""
 
 
+@query(f"""SELECT line FROM ({_sql_bibtex("value")})
+    WHERE key NOT IN (SELECT l_partkey + 1 FROM lineitem WHERE l_quantity > 45)""")
+def purge_bibtex_files(spark, sf):
+    """Every line of the files that are left, after the entries of some citation keys have gone."""
+    out = scratch_path(spark, "purged")
+    large = b.table(spark, sf, "lineitem").filter(F.col("l_quantity") > 45)
+    cited = large.select(F.concat(F.lit("part"), F.col("l_partkey").cast("string")).alias("citation_key"))
+    purge.purge_files(spark, _bibtex_path(spark, sf), cited, out)
+    return spark.read.text(out).select(F.col("value").alias("line"))
+
+
 @query(_sql_bibtex("value"))
 def export_bibtex(spark, sf):
     """Every line of every entry, as written."""

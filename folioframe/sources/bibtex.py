@@ -224,9 +224,9 @@ def _net_braces() -> Column:
     return count("{") - count("}")
 
 
-def _borders(pieces: DataFrame) -> DataFrame:
-    """``(_file, _block, skip, lone, owner)`` for the blocks that do not start with an entry of their own, or
-    have pieces that never close.
+def _starts(slim: DataFrame) -> DataFrame:
+    """``slim`` (``_file, _block, _mid, _d``: net braces of a piece) with ``_lone`` for the pieces that never
+    close, ``_first`` for those that start an entry of their own, and the running sum ``_p``.
 
     With P the running sum of open braces in a file, a piece closes at the first P that is not
     above the P before it. So pieces before which P is below all that follows never close; they
@@ -234,7 +234,6 @@ def _borders(pieces: DataFrame) -> DataFrame:
     entry before which P is the least so far. Running sums and minima spread over any number of blocks;
     the rows are numbers, the text is not shuffled.
     """
-    slim = pieces.select("_file", "_block", F.monotonically_increasing_id().alias("_mid"), _net_braces().alias("_d"))
     place = ["_file", "_block", "_mid"]
     rows = scan.unplace(scan.run(scan.place(slim, place), ["_file"], {"_p": ("sum", F.col("_d"))}))
     back = scan.place(rows, ["_file", F.desc("_block"), F.desc("_mid")])
@@ -245,7 +244,14 @@ def _borders(pieces: DataFrame) -> DataFrame:
     rows = scan.run(scan.place(back, place), ["_file"], {"_section": ("count", F.when(F.col("_lone"), 1))})
     rows = scan.run(rows, ["_file", "_section"], {"_low": ("min", F.col("_p"))}, inclusive=False)
     low = F.when(F.col("_section") == 0, F.least(F.coalesce("_low", F.lit(0)), F.lit(0))).otherwise(F.col("_low"))
-    rows = rows.withColumn("_first", F.col("_lone") | (before <= low))
+    return rows.withColumn("_first", F.col("_lone") | (before <= low))
+
+
+def _borders(pieces: DataFrame) -> DataFrame:
+    """``(_file, _block, skip, lone, owner)`` for the blocks that do not start with an entry of their own, or
+    have pieces that never close."""
+    slim = pieces.select("_file", "_block", F.monotonically_increasing_id().alias("_mid"), _net_braces().alias("_d"))
+    rows = _starts(slim)
     rows = scan.unplace(scan.run(rows, ["_file"], {"owner": ("last", F.when(F.col("_first"), F.col("_block")))}))
     start = F.min("_mid")
     blocks = rows.groupBy("_file", "_block").agg(
