@@ -284,8 +284,9 @@ def sample(pages: DataFrame) -> list[str]:
     # About twice the number wanted, by hash, so that nothing is sorted as a whole.
     size = 1 << 30
     share = 2 * FIT * size // max(1, rows.count()) + 1
-    drawn = rows.filter(F.pmod("draw", F.lit(size)) < share).collect()
-    return [r.html for r in sorted(drawn, key=lambda r: (r.draw, r.html))[:FIT]]
+    # Rows of one repeated id are drawn together, so the number is limited before it comes to the driver.
+    drawn = rows.filter(F.pmod("draw", F.lit(size)) < share).orderBy("draw", "html").limit(FIT).collect()
+    return [r.html for r in sorted(drawn, key=lambda r: (r.draw, r.html))]
 
 
 def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import Block, batch, blocks, fold_of, text_column
@@ -122,7 +122,10 @@ def sample(docs: DataFrame, folds: int, held_out: int) -> tuple[list[bytes], lis
     share = F.lit(-1)
     for row in counts:
         share = F.when(F.col("lang") == row["lang"], min(size, 2 * FIT * size // row["count"] + 1)).otherwise(share)
-    drawn = usable.filter(F.pmod("draw", F.lit(size)) < share).select("lang", "text", "draw").collect()
+    # Rows of one repeated id are drawn together, so the number is limited before it comes to the driver.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
+    drawn = usable.filter(F.pmod("draw", F.lit(size)) < share).withColumn("place", place).filter(F.col("place") <= FIT)
+    drawn = drawn.select("lang", "text", "draw").collect()
     drawn.sort(key=lambda r: (r.lang, r.draw, r.text))
     texts, labels = [], []
     for row in counts:

@@ -695,3 +695,11 @@ def test_words_and_hashes_of_blocks():
     for w, h in zip(found, lower.hashes.tolist()):
         by[w.translate(LOWER)].add(h)
     assert all(len(h) == 1 for h in by.values()) and len(set.union(*by.values())) == len(by)
+
+
+def test_samples_are_bounded_when_ids_repeat(spark):
+    nothing = [(None, f"text number {i} of many", "en", f"<p>page {i}</p>") for i in range(2000)]
+    rows = spark.createDataFrame(nothing, "doc_id long, text string, lang string, html string")
+    texts, labels = langid.sample(rows, 5, 1)
+    assert len(set(texts)) == langid.FIT and set(labels) == {"en"}
+    assert len(set(html_extract.sample(rows.withColumnRenamed("doc_id", "page_id")))) == html_extract.FIT
