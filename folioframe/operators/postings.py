@@ -33,6 +33,7 @@ WORD_BITS = 6  # 64 keys in a word
 BUCKET_BITS = 15  # keys of a bucket
 SCHEMA = "kind string, name string, at bigint, bucket bigint, words array<struct<word:int,bits:bigint>>"
 _TERM = ["kind", "name", "at"]
+_BY_NAME = ["name", "kind", "at"]  # to group by: nearly all rows are of one kind, so names tell them apart first
 Rows = DataFrame  # (kind, name, at, key)
 
 
@@ -88,7 +89,7 @@ def build(*parts: Rows) -> DataFrame:
     """Postings of ``parts``. Keys of a word are combined before the shuffle; a row has 512 words at most."""
     rows = reduce(DataFrame.unionByName, parts)
     words = rows.groupBy(
-        *_TERM,
+        *_BY_NAME,
         F.shiftright("key", BUCKET_BITS).alias("bucket"),
         F.shiftright("key", WORD_BITS).bitwiseAND(F.lit((1 << BUCKET_BITS - WORD_BITS) - 1)).cast("int").alias("word"),
     ).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(key & {(1 << WORD_BITS) - 1} AS INT))")).alias("bits"))
@@ -97,7 +98,7 @@ def build(*parts: Rows) -> DataFrame:
 
 def _gather(words: DataFrame) -> DataFrame:
     gathered = F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words")
-    return words.groupBy(*_TERM, "bucket").agg(gathered)
+    return words.groupBy(*_BY_NAME, "bucket").agg(gathered).select(*_TERM, "bucket", "words")
 
 
 # --- segments -------------------------------------------------------------------------------
@@ -159,7 +160,7 @@ def compact(spark: SparkSession, path: str, first: int = 1) -> int:
 def term_keys(postings: DataFrame) -> DataFrame:
     """``(term, key)`` of all words: the inverted index as it holds now."""
     words = live(postings.filter(F.col("kind").isin("word", "dead")))
-    return words.select(F.col("name").alias("term"), _keys(F.col("bits")).alias("key"))
+    return _keys(words, F.col("name").alias("term"))
 
 
 def term_stats(postings: DataFrame) -> DataFrame:
@@ -260,16 +261,19 @@ def hits(postings: DataFrame, condition: Condition) -> DataFrame:
     return words.groupBy("bucket", "word").agg(condition.hits(leaf).alias("bits")).filter("bits <> 0")
 
 
-def _keys(bits: Column) -> Column:
-    """A row for each key of a word."""
-    set_ = F.filter(F.sequence(F.lit(0), F.lit((1 << WORD_BITS) - 1)), lambda i: F.bit_get(bits, i) == 1)
+def _keys(words: DataFrame, *columns: Column) -> DataFrame:
+    """``columns`` and a row for each key of a word, as ``key``."""
     first = F.shiftleft("bucket", BUCKET_BITS) + F.shiftleft(F.col("word").cast("bigint"), WORD_BITS)
-    return F.explode(F.transform(set_, lambda i: first + i))
+    places = F.explode(F.sequence(F.lit(0), F.lit((1 << WORD_BITS) - 1)))
+    rows = words.select(*columns, first.alias("_first"), "bits", places.alias("_i"))
+    # A filter on rows is compiled; one inside an array calls a function for each of its elements.
+    set_ = rows.filter(F.bit_get("bits", F.col("_i")) == 1)
+    return set_.withColumn("key", F.col("_first") + F.col("_i")).drop("_first", "bits", "_i")
 
 
 def match(postings: DataFrame, condition: Condition) -> DataFrame:
     """Keys of the matching records."""
-    return hits(postings, condition).select(_keys(F.col("bits")).alias("key"))
+    return _keys(hits(postings, condition))
 
 
 def count(postings: DataFrame, condition: Condition) -> DataFrame:

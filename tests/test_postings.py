@@ -194,3 +194,16 @@ def test_subtree_of_values(spark, places):
     values = make_values(spark, [(k, "topic", "txo", ("t", i)) for k, i in ((1, 1), (2, 3), (3, 4), (4, 9), (5, 55))])
     found = search.match_values(taxonomy.with_places(values, places), search.in_subtree("topic", taxonomy.bounds(places, "t", 2)))
     assert keys(found) == [2]
+
+
+def test_keys_of_words_are_compiled_and_whole(spark):
+    """Every place of a word, and no function for each element of an array; postings group by name first."""
+    ids = [0, 1, 62, 63, 64, 127, (1 << 15) - 1, 1 << 15, (3 << 15) + 63]
+    built = p.build(p.key_rows(spark.createDataFrame([(k,) for k in ids], "key bigint")))
+    words = p._words(built)
+    found = p._keys(words, F.col("kind"))
+    assert found.columns == ["kind", "key"]
+    assert sorted(r.key for r in found.collect()) == ids
+    assert "lambda" not in found._jdf.queryExecution().executedPlan().toString()
+    gathered = built._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate [name#" in gathered and "Aggregate [kind#" not in gathered
