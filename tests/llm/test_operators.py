@@ -153,6 +153,34 @@ def test_remove_repeats(docs, rows, keep, group, monkeypatch):
     same([(r.doc_id, r.n_bytes, len(r.spans), bytes(r.kept)) for r in got], want)
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_strips_around_a_common_passage_stay_few(spark, keep, monkeypatch):
+    """Many texts around one passage: all of one group, and no row for each of their strings."""
+    monkeypatch.setattr(suffix_dedup.repeated_ranges, "__defaults__", (suffix_dedup.GRAM, 8))
+    pick = random.Random(5)
+    noise = lambda n: "".join(pick.choice("abcdefghij ") for _ in range(n))
+    passages = [noise(95), noise(180)]
+    rows = [(i, noise(150) + passages[i % 2] + noise(150)) for i in range(60)] + [(60, None), (61, ""), (7, None)]
+    rows += [(100 + i, rows[i][1][40:-30]) for i in range(5)]
+    made = []
+    divided = suffix_dedup._divided
+
+    def counted(strips, length, gram, width):
+        made.append((strips.count(), divided(strips, length, gram, width).count()))
+        return divided(strips, length, gram, width)
+
+    monkeypatch.setattr(suffix_dedup, "_divided", counted)
+    flags = removed(rows, 100, keep)
+    want = []
+    for doc, text in rows:
+        text = (text or "").encode()
+        own = flags[True, doc, text]
+        want.append((doc, len(text), bytes(b for b, f in zip(text, own) if not f)))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 100, keep).collect()
+    same([(r.doc_id, r.n_bytes, bytes(r.kept)) for r in got], want)
+    assert made and all(pieces <= (suffix_dedup.CELLS + 1) * strips for strips, pieces in made)
+
+
 def test_suffix_order_and_repeats():
     pick = random.Random(5)
     for length in (3, 8, 9, 40):
