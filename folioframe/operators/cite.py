@@ -69,7 +69,11 @@ def letters(n: Column) -> Column:
 
     # n has log26(n) letters at most, rounded up; a step with nothing left adds none.
     most = F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.log(F.lit(26.0))) + 2
-    return F.aggregate(F.sequence(F.lit(1), most.cast("int")), state, step, lambda acc: acc["s"])
+    any_number = F.aggregate(F.sequence(F.lit(1), most.cast("int")), state, step, lambda acc: acc["s"])
+    # One and two letters, by far the most frequent, are plain arithmetic, which is compiled.
+    last = F.chr(F.lit(97) + F.pmod(n - 1, F.lit(26)))
+    two = F.concat(F.chr(F.lit(96) + F.floor((n - 1) / 26)), last)
+    return F.when((n > 0) & (n <= 26), last).when((n > 26) & (n <= 702), two).otherwise(any_number)
 
 
 def disambiguate(based: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from folioframe.operators import cite
 
 
@@ -78,3 +80,19 @@ def test_letters_and_their_numbers(spark):
     df = spark.createDataFrame([(n,) for n in (1, 2, 26, 27, 52, 702, 703, 20000, 475255)], "n long")
     both = df.select("n", cite.letters_number(cite.letters(df.n)).alias("m")).collect()
     assert all(r.n == r.m for r in both)
+
+
+def test_one_and_two_letters_need_no_function_for_each_letter(spark):
+    def spelled(n):
+        out = ""
+        while n and n > 0:
+            n, rest = divmod(n - 1, 26)
+            out = chr(97 + rest) + out
+        return out
+
+    numbers = [None, -3, 0, *range(1, 800), 18277, 18278, 18279, 475255]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n bigint").select("n", cite.letters(F.col("n")).alias("s"))
+    assert {r.n: r.s for r in rows.collect()} == {n: spelled(n) for n in numbers}
+    # The general way comes last, after the branches of plain arithmetic.
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert 0 <= plan.find("CASE WHEN") < plan.find("aggregate(")
