@@ -704,6 +704,47 @@ def test_links_of_a_shard_larger_than_its_limit(spark):
     assert all((parts[i] == parts[j]) == (i // 25 == j // 25) for i in range(75) for j in range(75))
 
 
+def test_a_group_of_unlike_candidates_makes_no_row_for_each_pair(spark, monkeypatch):
+    queries.ship(spark)
+    monkeypatch.setattr(simhash_wide, "EARLY", 2)
+    monkeypatch.setattr(simhash_wide, "TABLES", 4)
+    pick, n = random.Random(53), 90
+    base, signed = pick.getrandbits(256), lambda x: x - (1 << 64) if x >> 63 else x
+    fps = [base ^ sum(1 << b for b in pick.sample(range(256), pick.randint(1, 6))) for _ in range(n)]
+    rows = [(i, *(signed(f >> 64 * k & (1 << 64) - 1) for k in range(4))) for i, f in enumerate(fps)]
+    nodes = spark.createDataFrame(rows, "node long, f0 long, f1 long, f2 long, f3 long")
+    # All are candidates of each other. Sets share half; every tenth is like the one three places on.
+    own = [set(range(40)) | set(range(1000 * i, 1000 * i + 40)) for i in range(n)]
+    for i in range(0, n - 3, 10):
+        own[i + 3] = own[i] | {5}
+        own[i + 3].discard(1000 * i + 7)
+    raw = [(i, bytearray(np.array(sorted(x), np.uint64).tobytes())) for i, x in enumerate(own)]
+    sets = spark.createDataFrame(raw, "node long, shingles binary")
+    tested, similar = [], simhash_wide._similar
+
+    def counted(pairs, *rest):
+        tested.append(pairs.count())
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(simhash_wide, "_similar", counted)
+    whole = np.array([r[1:] for r in rows], np.int64)
+    keys = simhash_wide._keys(list(whole.T), 0, 4)
+    like = lambda i, j: bool((keys[i] == keys[j]).any()) and set_similarity_of(own[i], own[j]) >= 0.8
+    want = closure(range(n), like)
+    assert 70 < len(set(want.values())) < n
+    for shard in (8, 1024):
+        tested.clear()
+        links = [(r.a, r.b) for r in simhash_wide.joined(nodes, shard, lambda wanted: sets.join(wanted.distinct(), "node", "left_semi"))[0].collect()]
+        got = closure(range(n), lambda i, j: (i, j) in links or (j, i) in links)
+        assert all((want[i] == want[j]) == (got[i] == got[j]) for i in range(n) for j in range(n))
+        # A nearest candidate for each node and table, not one row for each of the 4,005 pairs.
+        assert sum(tested) <= n * 4 and len(links) < n
+
+
+def set_similarity_of(x, y):
+    return len(x & y) / len(x | y)
+
+
 # Helpers
 
 
