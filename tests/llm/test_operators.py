@@ -12,10 +12,12 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from folioframe.llm import (
     blocks,
     byte_bpe,
+    components,
     exact_dedup,
     html_blocks,
     html_extract,
@@ -741,6 +743,42 @@ def test_a_group_of_unlike_candidates_makes_no_row_for_each_pair(spark, monkeypa
         assert sum(tested) <= n * 4 and len(links) < n
 
 
+def test_tables_that_see_one_group_give_one_set_of_links(spark):
+    queries.ship(spark)
+    pick, tables, n = random.Random(61), 12, 60
+    bases = [pick.getrandbits(128) for _ in range(2)]
+    fps = [bases[i % 2] ^ sum(1 << b for b in pick.sample(range(128), pick.randint(1, 6))) for i in range(n)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    part = [0 if i == 10 else i for i in range(n)]
+    rows = [(t, 5, 0, i, part[i], signed(fps[i] >> 64), signed(fps[i] & (1 << 64) - 1)) for t in range(tables) for i in pick.sample(range(n), n)]
+    cells = spark.createDataFrame(rows, "table long, key long, cell long, node long, part long, f0 long, f1 long")
+    links = {(r.a, r.b) for r in simhash_wide._chained(cells).collect()}
+    got = closure(range(n), lambda i, j: (i, j) in links or (j, i) in links)
+    assert all((got[i] == got[j]) == (i % 2 == j % 2) for i in range(n) for j in range(n))
+    # One link for each node, however many tables the group is in, and none inside a part alone.
+    assert len(links) < n + 1
+    assert simhash_wide._chained(cells.withColumn("part", F.col("node") % 2)).isEmpty()
+
+
+def test_components_of_odd_graphs(spark):
+    pick = random.Random(67)
+    way = pick.sample(range(1000, 1300), 300)
+    links = list(zip(way, way[1:]))  # a chain in no order
+    links += [(4999, i) for i in range(4000, 4090)]  # the middle is the greatest
+    links += [(9000, i) for i in range(9001, 9090)]
+    links += [(pick.randrange(2000, 2200), pick.randrange(2000, 2200)) for _ in range(150)]
+    links += [(7, 7), (None, 8), (-5, -9), (-9, -5), (-5, -9)]
+    whole = [(a, b) for a, b in links if None not in (a, b) and a != b]
+    nodes = sorted({x for pair in whole for x in pair})
+    least = {x: x for x in nodes}
+    while any(least[a] != least[b] for a, b in whole):
+        for a, b in whole:
+            least[a] = least[b] = min(least[a], least[b])
+    got = components.components(spark.createDataFrame(links, "a long, b long"))
+    assert sorted(map(tuple, got.select("node", "component").collect())) == [(x, least[x]) for x in nodes]
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def set_similarity_of(x, y):
     return len(x & y) / len(x | y)
 
