@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import collapse_whitespace
 from ..functions.latex import latex_encode
+from ..session import cut
 from . import lines as ln
 
 
@@ -46,13 +47,11 @@ def bibtex_lines(
 
     if keep is not None:
         values = values.join(keep.select("key").distinct(), "key", "left_semi")
-    rows = resolve(values, items)
+    # Heads, shapes and lines all start from here: make the values once.
+    rows = cut(resolve(values, items).select("key", "attr", "pos", "type", "text", "person", "date", "name"))
     # key and type of the entry: the first of each, two short strings per record
-    heads = rows.filter(F.col("attr").isin("id", "doctype")).groupBy("key").agg(
-        F.min_by(F.col("text"), F.when(F.col("attr") == "id", F.col("pos"))).alias("id"),
-        F.min_by(F.col("name"), F.when(F.col("attr") == "doctype", F.col("pos"))).alias("kind"),
-    )
-    heads = values.select("key").distinct().join(heads, "key", "left")
+    place = lambda attr: F.when((F.col("attr") == attr) & F.col("key").isNotNull(), F.col("pos"))
+    heads = rows.groupBy("key").agg(F.min_by("text", place("id")).alias("id"), F.min_by("name", place("doctype")).alias("kind"))
     opened = F.concat(
         F.lit("@"), F.coalesce("kind", F.lit("misc")), F.lit("{"), F.coalesce(F.concat("id", F.lit(",")), F.lit(""))
     )

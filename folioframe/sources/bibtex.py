@@ -12,7 +12,7 @@ import sys
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -169,18 +169,34 @@ def _rows(place: tuple, at: int, pieces: list[str]) -> list[tuple]:
     return out
 
 
-_NAMES = [c.split()[0] for c in _ENTRIES.split(", ")]
+# The same columns for Arrow: nested rows go out without a conversion of each value through pandas.
+_FIELD = pa.struct([("name", pa.string()), ("parts", pa.list_(pa.struct([("bare", pa.bool_()), ("text", pa.string())])))])
+_COLUMNS = pa.schema([
+    ("_file", pa.string()), ("_block", pa.int64()), ("at", pa.int32()), ("kind", pa.string()), ("type", pa.string()),
+    ("cite_key", pa.string()), ("fields", pa.list_(_FIELD)), ("raw", pa.string()),
+])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[] for _ in _COLUMNS]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _COLUMNS)], schema=_COLUMNS)
+
+
+def _lists(batch: pa.RecordBatch, columns: list[str]) -> Iterator[tuple]:
+    return zip(*(batch[c].to_pylist() for c in columns))
+
+
 _OPEN, _REST = "open", "rest"  # kinds of rows for an entry that goes on in the next block
 
 
-def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries of the pieces of a partition. ``at`` counts the entries of each block.
 
     ``skip`` pieces of a block belong to an entry of an earlier one, and ``lone`` are those that never
     close and stand alone. From there a piece takes others in until its braces are closed.
     """
     columns = ["_file", "_block", "value", "skip", "lone"]
-    lines = (row for batch in batches for row in zip(*(batch[c] for c in columns)))
+    lines = (row for batch in batches for row in _lists(batch, columns))
     rows: list[tuple] = []
     for (file, start), block in groupby(lines, key=lambda row: row[:2]):
         at, depth, held, rest = 0, 0, [], []
@@ -201,27 +217,28 @@ def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows += new
             at += sum(r[3] == "entry" for r in new)
             if len(rows) >= 1000:
-                yield pd.DataFrame(rows, columns=_NAMES)
+                yield _batch(rows)
                 rows = []
         for kind, pieces in ((_OPEN, held), (_REST, rest)):
             if pieces:
                 rows.append((file, start, at, kind, None, None, [], "\n".join(pieces)))
-    yield pd.DataFrame(rows, columns=_NAMES)
+    yield _batch(rows)
 
 
-def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries that were put together from several blocks."""
     for batch in batches:
         rows: list[tuple] = []
-        for file, start, at, raw in zip(batch["_file"], batch["_block"], batch["at"], batch["raw"]):
+        for file, start, at, raw in _lists(batch, ["_file", "_block", "at", "raw"]):
             first, *others = raw.split("\n@")
             rows += _rows((file, start), at, [first, *("@" + p for p in others)])
-        yield pd.DataFrame(rows, columns=_NAMES)
+        yield _batch(rows)
 
 
 def _net_braces() -> Column:
+    without = lambda b: F.length(F.replace("value", F.lit(b)))
     count = lambda b: F.length(F.regexp_replace("value", rf"(?s)\\.|[^{b}]", ""))
-    return count("{") - count("}")
+    return F.when(F.contains("value", F.lit("\\")), count("{") - count("}")).otherwise(without("}") - without("{"))
 
 
 def _starts(slim: DataFrame) -> DataFrame:
@@ -268,12 +285,12 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
     # A later block also starts after an @ the separator took: its first piece is not a file start.
     pieces = spark.read.option("lineSep", "\n@").text(path).select(*file_place(), "value")
     if pieces.filter(_net_braces() != 0).isEmpty():  # every piece is closed, as in most files
-        return pieces.select("*", F.lit(0).alias("skip"), F.lit(None).cast("array<bigint>").alias("lone")).mapInPandas(_split, _ENTRIES)
+        return pieces.select("*", F.lit(0).alias("skip"), F.lit(None).cast("array<bigint>").alias("lone")).mapInArrow(_split, _ENTRIES)
     borders = cut(_borders(pieces))
     # One row at most for each block of the files; a shuffle would lose the order of the pieces.
     marks = F.broadcast(borders.select("_file", "_block", "skip", "lone"))
     marked = pieces.join(marks, ["_file", "_block"], "left").withColumn("skip", F.coalesce("skip", F.lit(0)))
-    rows = marked.mapInPandas(_split, _ENTRIES)
+    rows = marked.mapInArrow(_split, _ENTRIES)
     if borders.filter("skip > 0").isEmpty():
         return rows
     rows = cut(rows)
@@ -284,7 +301,7 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
     whole = opened.union(rest).groupBy("_file", "_block").agg(
         F.max("at").alias("at"), F.array_join(F.sort_array(F.collect_list("text"))["raw"], "\n").alias("raw")
     )
-    return rows.filter(~F.col("kind").isin(_OPEN, _REST)).unionByName(whole.mapInPandas(_finish, _ENTRIES))
+    return rows.filter(~F.col("kind").isin(_OPEN, _REST)).unionByName(whole.mapInArrow(_finish, _ENTRIES))
 
 
 def _expand(fields: DataFrame, strings: DataFrame) -> DataFrame:
