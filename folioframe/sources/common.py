@@ -72,9 +72,10 @@ def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataF
     would read everything twice.
     """
     rows = read_text(spark, path, f"</{row_tag}>")
-    piece = F.regexp_extract("value", rf"<{row_tag}(?=[\s>])[\s\S]*$", 0)
-    rows = rows.withColumn("_xml", piece).filter(F.col("_xml") != "").drop("value")
-    rows = rows.withColumn("_xml", F.concat("_xml", F.lit(f"</{row_tag}>")))
+    # Split, as a pattern that runs on to the end of the text takes longer than the reading of the XML.
+    rest = F.try_element_at(F.split("value", rf"<{row_tag}(?=[\s>])", 2), F.lit(2))
+    rows = rows.withColumn("_rest", rest).filter(F.col("_rest").isNotNull()).drop("value")
+    rows = rows.withColumn("_xml", F.concat(F.lit(f"<{row_tag}"), "_rest", F.lit(f"</{row_tag}>")))
     parsed = F.from_xml("_xml", f"{schema}, _malformed string", XML_OPTIONS)
     return rows.select("_file", "_block", parsed.alias("_p")).select("_file", "_block", "_p.*")
 

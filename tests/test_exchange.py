@@ -8,6 +8,7 @@ from folioframe.operators import adapt, enrich, tables
 from folioframe.sinks import formats, lines, native_xml
 from folioframe.sources import bibtex, tagged, xml_formats
 from folioframe.sources import native_xml as native
+from folioframe.sources.common import read_xml
 from pyspark.sql import functions as F
 
 
@@ -288,3 +289,28 @@ def test_sections_over_many_blocks_against_a_plain_reader(spark, tmp_path):
         assert {tuple(r) for r in member.collect()} == want
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_a_bibtex_writer_makes_its_values_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    rows = [(k, a, "id" if a == "id" else "text", f"{a}{k}") for k in range(1, 9) for a in ("id", "title", "journal")]
+    values = make_values(spark, rows)
+    values = values.mapInPandas(count, values.schema)
+    text = [r.line for r in lines.ordered(formats.bibtex_lines(values, schemas.bibtex_items(spark))).collect()]
+    assert text[:4] == ["@misc{id1,", "   journal = {journal1},", "   title   = {title1}", "}"] and len(text) == 32
+    assert made.value == len(rows)
+
+
+def test_xml_pieces_start_at_their_first_tag(spark, tmp_path):
+    (tmp_path / "x.xml").write_text(
+        "<?xml version='1.0'?><!-- \U0001d11e é --><recs>\n<record\n n='1'><a>x <![CDATA[<record >]]></a></record>"
+        "<record><a>\U0001d11e</a></record> </recs><recordset><a>y</a></record>", encoding="utf-8"
+    )
+    got = read_xml(spark, str(tmp_path), "record", "_n string, a string").orderBy("_n").collect()
+    assert [(r["_n"], r["a"]) for r in got] == [(None, "\U0001d11e"), ("1", "x <record >")]
